@@ -70,9 +70,9 @@ def _key_sql(c: str) -> str:
 
 _ORPHANS_SQL = f"""
 WITH refs AS (
-  SELECT 'sales_orders' AS ref_table, 'customer_id' AS ref_field, o.id AS row_id, CAST(o.customer_id AS VARCHAR) AS key, m.at
+  SELECT 'sales_orders' AS ref_table, 'customer_id' AS ref_field, o.id AS row_id, CAST(o.customer_id AS VARCHAR) AS key, m.ref_at
   FROM (SELECT DISTINCT id, customer_id FROM sales_orders WHERE customer_id IS NOT NULL) o
-  JOIN (SELECT id, min(loaded_at) AS at FROM sales_orders GROUP BY id) m ON m.id = o.id
+  JOIN (SELECT id, min(loaded_at) AS ref_at FROM sales_orders GROUP BY id) m ON m.id = o.id
   UNION SELECT 'mentions', 'entity_id', mention_id, {_key_sql("entity_id")}, seen_at FROM mentions WHERE entity_id IS NOT NULL
   UNION SELECT 'edges', 'source_id', edge_id, {_key_sql("source_id")}, seen_at FROM edges WHERE source_id IS NOT NULL
   UNION SELECT 'edges', 'target_id', edge_id, {_key_sql("target_id")}, seen_at FROM edges WHERE target_id IS NOT NULL
@@ -80,12 +80,12 @@ WITH refs AS (
   SELECT 'sales_orders' AS side, CAST(id AS VARCHAR) AS key, created_at, deleted_at FROM customers
   UNION ALL SELECT 'entities', {_key_sql("id")}, created_at, deleted_at FROM entities
 ), met AS (
-  SELECT r.*, count(p.key) AS n, coalesce(bool_or((p.created_at IS NULL OR p.created_at <= r.at) AND (p.deleted_at IS NULL OR p.deleted_at > r.at)), false) AS there,
-         bool_and(p.created_at > r.at) AS late
+  SELECT r.*, count(p.key) AS n, coalesce(bool_or((p.created_at IS NULL OR p.created_at <= r.ref_at) AND (p.deleted_at IS NULL OR p.deleted_at > r.ref_at)), false) AS there,
+         bool_and(p.created_at > r.ref_at) AS late
   FROM refs r LEFT JOIN parents p ON p.key = r.key AND (p.side = 'sales_orders') = (r.ref_table = 'sales_orders')
   GROUP BY ALL
 ), orphans AS (
-  SELECT ref_table, ref_field, row_id, key, at, CASE WHEN n = 0 THEN 'missing' WHEN late THEN 'late' ELSE 'deleted' END AS reason
+  SELECT ref_table, ref_field, row_id, key, ref_at, CASE WHEN n = 0 THEN 'missing' WHEN late THEN 'late' ELSE 'deleted' END AS reason
   FROM met WHERE n = 0 OR NOT there
 )
 """
@@ -93,7 +93,7 @@ WITH refs AS (
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_customer_runs": p1_customer_runs}
 SQL = {
     "p1_found": _ORPHANS_SQL + "SELECT DISTINCT ref_table, ref_field, row_id, reason FROM orphans",
-    "p1_report": _ORPHANS_SQL + "SELECT ref_table, ref_field, strftime(at, '%Y-%m') AS period, reason, count(*) AS n_refs, count(DISTINCT key) AS n_keys FROM orphans GROUP BY ALL",
+    "p1_report": _ORPHANS_SQL + "SELECT ref_table, ref_field, strftime(ref_at, '%Y-%m') AS period, reason, count(*) AS n_refs, count(DISTINCT key) AS n_keys FROM orphans GROUP BY ALL",
     "p1_customer_runs": """
 WITH k AS (SELECT DISTINCT id, id >> 14 AS key_range FROM customers WHERE id IS NOT NULL),
 r AS (SELECT *, coalesce(id <> lag(id) OVER (PARTITION BY key_range ORDER BY id) + 1, true) AS starts FROM k)
