@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .mixing import actual_shares, mix_sources, token_counter
 from .sentences import split_sentences
+from .splitting import split_items
+
+#: A vocabulary file of a public tokenizer; the counts of p7 are in its tokens.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _units(spark: SparkSession, sf_dir: str, *which: tuple[str, str, str]) -> DataFrame:
@@ -31,5 +36,38 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sentences(_units(spark, sf_dir, *_P4).distinct())
 
 
-QUERIES = {"p4_found": p4_found, "p4_sentences": p4_sentences}
-SQL: dict[str, str] = {}
+# ---- p5: oversized items
+def _p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("item_table"), F.col("doc_id").cast("string").alias("item_id"), F.lit(None).cast("string").alias("heading"), "text")
+    return documents.unionByName(table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("item_table"), F.col("id").alias("item_id"), "heading", "text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_items(_p5_items(spark, sf_dir), with_text=False).where("position = 1").select("item_table", "item_id").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of the oversized items, with heading, position and text."""
+    return split_items(_p5_items(spark, sf_dir).where(F.length("text") > 900).distinct())
+
+
+# ---- p7: mixing
+def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix_sources(table(spark, sf_dir, "documents"), targets, token_counter(TOKENIZER)), targets
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actual_shares(*_p7(spark, sf_dir))
+
+
+QUERIES = {"p4_found": p4_found, "p4_sentences": p4_sentences, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_mix": p7_mix, "p7_shares": p7_shares}
+SQL: dict[str, str] = {
+    "p5_found": """
+SELECT DISTINCT 'documents' AS item_table, CAST(doc_id AS VARCHAR) AS item_id FROM documents WHERE length(text) > 900
+UNION SELECT DISTINCT 'chunks', id FROM chunks WHERE length(text) > 900""",
+}

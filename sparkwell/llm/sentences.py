@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 64
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 # ---- symbols
 NL, SP, OQ, CQ, OB, CB, HARD, FULL, WEAK, ELL, COLON, LOW, UP, CJK, ARAB, DIGIT, COMMA, OTHER = range(18)
@@ -45,7 +45,7 @@ NEVER_END = set(
 MAY_END = set("etc usw u.s.w a.m p.m am pm jr sr u.k u.s u.s.a e.u".split())
 LEGAL = set("inc ltd co corp s.a a.g g.m.b.h l.l.c plc soc cie s.p.a b.v n.v s.a.r.l".split())
 TRADE = set("eng sys rob tech auto frt fds distr mfg whsg intl pharm logist log masch ind manuf int warehsg cc wh".split())
-AFTER_NAME = re.compile(r"(?:&|und\b|and\b|\(|co\b|kg\b|k\.g|s\.a|sa\b|a\.g|ag\b|g\.m\.b\.h|gmbh\b|mbh\b|inc|ltd|limited|soc|gesellschaft|aktiengesellschaft|incorporated|corp)", re.I)
+AFTER_NAME = re.compile(r"(?:&|\(|(?:und|and|co|kg|sa|ag|gmbh|mbh|inc|ltd)(?![a-z])|k\.g|s\.a|a\.g|g\.m\.b\.h|limited|soc|anonyme|gesellschaft|aktiengesellschaft|incorporated|corp)", re.I)
 # Words that carry a sentence on after a name that ends in an abbreviation, in scripts without case.
 CARRY_ON = set("تورد في كل يتوافق هي من على إلى و لجهاز لـ نے ہر کا کو معیار کی کے میں سے پر ہے اور تک".split())
 MONTHS = re.compile(r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert)\b")
@@ -54,8 +54,8 @@ BEFORE_ORDINAL = set("am vom zum im beim die der das dem den des seit bis ab jed
 _CLOSERS = ")]}»”’\"'」』）】〉》›‘“"
 _QUOTED = re.compile(r"„[^„“”\n]*[“”]|“[^“”\n]*”|«[^«»\n]*»|’’[^’‘\n]*‘‘|‘‘[^’‘\n]*’’|「[^「」\n]*」|『[^『』\n]*』|(?<![^\s(\[（:：،,。！？])\"[^\"\n]+\"|(?<=[:：一-鿿])\"[^\"\n]+\"")
 _BRACKETED = re.compile(r"\([^()\n]*\)|（[^（）\n]*）|\[[^\[\]\n]*\]|【[^【】\n]*】")
-_DOT = re.compile(r"\.+")
-_WORDCASE = re.compile(r"(?<![^\W\d_])[a-z](?=[A-Z])")
+# Dots that need their word looked at; any other follows a word too long for an abbreviation.
+_DOT = re.compile(r"\.(?!\.)(?:(?<![a-zäöüß]{5}\.)(?<![\u0620-\u06ff]{3}\.)|(?<=pharm\.|masch\.|ogist\.|pprox\.|bschn\.|distr\.))(?<!\.\.)")
 _NEXT = re.compile(r"\s*(\S*)")
 _NO_SPACE = re.compile(r"[A-ZÄÖÜ][a-zäöüß]|[A-ZÄÖÜ] ")
 
@@ -86,6 +86,7 @@ def _symbol_table() -> np.ndarray:
     for ch in "!?。！？؟۔｡‼⁇⁈⁉":
         t[ord(ch)] = HARD
     t[ord("…")] = ELL
+    t[ord(".")] = FULL
     for ch in ":：﹕":
         t[ord(ch)] = COLON
     for ch in ",;،؛，；、–—":
@@ -93,6 +94,16 @@ def _symbol_table() -> np.ndarray:
     return t
 
 
+@lru_cache(maxsize=1)
+def _mark_table() -> np.ndarray:
+    t = np.zeros(0x10000, np.uint8)
+    for ch in "([（【":
+        t[ord(ch)] = 1
+    for ch in "„“«’‘「『\"":
+        t[ord(ch)] = 2
+    return t
+
+
 @lru_cache(maxsize=1)
 def transducer() -> tuple[np.ndarray, np.ndarray]:
     """(next state, emit) by state * SYMBOLS + symbol; emit: a sentence ended before this symbol."""
@@ -144,6 +155,12 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
     return to.ravel(), out.ravel()
 
 
+@lru_cache(maxsize=1)
+def _pairs() -> np.ndarray:
+    to = transducer()[0].reshape(STATES, SYMBOLS).astype(np.intp)
+    return np.ascontiguousarray(to[to].reshape(STATES, -1) * SYMBOLS * SYMBOLS).ravel()
+
+
 def _dot_symbol(text: str, at: int, end: int) -> int:
     """The symbol of the single dot at `at`; text[at + 1:] goes on."""
     nxt = text[end] if end < len(text) else "\n"
@@ -199,22 +216,25 @@ def symbols(text: str) -> np.ndarray:
     """One symbol per code point."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     found = _symbol_table()[points]
-    for m in _BRACKETED.finditer(text):
-        found[m.start()], found[m.end() - 1] = OB, CB
-    for m in _QUOTED.finditer(text):
-        a, b = m.span()
-        double = text[a] in "’‘"
-        found[a : a + 1 + double], found[b - 1 - double : b] = OQ, CQ
-        if double:
-            found[a + 1], found[b - 2] = OTHER, OTHER
+    marks = _mark_table()[np.minimum(points, 0xFFFF)]
+    for pattern, kind, opening, closing in ((_BRACKETED, 1, OB, CB), (_QUOTED, 2, OQ, CQ)):
+        done = 0
+        for at in np.flatnonzero(marks == kind).tolist():
+            m = pattern.match(text, at) if at >= done else None
+            if m is None:
+                continue
+            a, b = m.span()
+            done = b
+            found[a], found[b - 1] = opening, closing
+            if text[a] in "’‘" and text[a + 1] == text[a]:
+                found[a : a + 2], found[b - 2 : b] = (opening, OTHER), (OTHER, closing)
     for m in _DOT.finditer(text):
-        a, b = m.span()
-        if b - a > 1:
-            found[a:b] = ELL
-        else:
-            found[a] = _dot_symbol(text, a, b)
-    for m in _WORDCASE.finditer(text):
-        found[m.start()] = UP
+        found[m.start()] = _dot_symbol(text, m.start(), m.end())
+    dots = points == ord(".")
+    found[1:][dots[1:] & dots[:-1]] = ELL
+    found[:-1][dots[1:] & dots[:-1]] = ELL
+    low, up = found == LOW, found == UP
+    found[1:-1][low[1:-1] & up[2:] & ~low[:-2] & ~up[:-2]] = UP
     return found
 
 
@@ -223,12 +243,15 @@ def _run(found: np.ndarray) -> np.ndarray:
     to, out = transducer()
     n = len(found)
     blocks = -(-n // BLOCK)
-    padded = np.full(blocks * BLOCK, NL, np.uint8)
+    padded = np.full(blocks * BLOCK, NL, np.intp)
     padded[:n] = found
-    column = np.ascontiguousarray(padded.reshape(blocks, BLOCK).T).astype(np.intp)
-    maps = np.tile(np.arange(STATES, dtype=np.intp), (blocks, 1))
-    for symbol in column:
-        maps = to[maps * SYMBOLS + symbol[:, None]].astype(np.intp)
+    column = np.ascontiguousarray(padded.reshape(blocks, BLOCK).T)
+    # two symbols at a step; states come multiplied by the width of the table
+    two, width = _pairs(), SYMBOLS * SYMBOLS
+    maps = np.tile(np.arange(STATES, dtype=np.intp) * width, (blocks, 1))
+    for k in range(0, BLOCK, 2):
+        maps = two.take(maps + (column[k] * SYMBOLS + column[k + 1])[:, None])
+    maps //= width
     step = 1
     while step < blocks:
         composed = maps.copy()
@@ -239,8 +262,8 @@ def _run(found: np.ndarray) -> np.ndarray:
     emitted = np.empty((BLOCK, blocks), bool)
     for k, symbol in enumerate(column):
         at = state * SYMBOLS + symbol
-        emitted[k] = out[at]
-        state = to[at].astype(np.intp)
+        emitted[k] = out.take(at)
+        state = to.take(at).astype(np.intp)
     return np.flatnonzero(emitted.T.ravel()[:n])
 
 
