@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .leaks import find_leaks
 from .mixing import actual_shares, mix_sources, token_counter
 from .sentences import split_sentences
 from .splitting import split_items
@@ -51,6 +52,16 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_items(_p5_items(spark, sf_dir).where(F.length("text") > 900).distinct())
 
 
+# ---- p6: leaks of evaluation items
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak, with what of the item the document holds."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "golden_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_leaks(spark, sf_dir).select("item_id", "doc_id").distinct()
+
+
 # ---- p7: mixing
 def _p7(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
@@ -65,7 +76,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actual_shares(*_p7(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_sentences": p4_sentences, "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p4_found": p4_found, "p4_sentences": p4_sentences, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL: dict[str, str] = {
     "p5_found": """
 SELECT DISTINCT 'documents' AS item_table, CAST(doc_id AS VARCHAR) AS item_id FROM documents WHERE length(text) > 900
