@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .leaks import find_leaks
 from .mixing import actual_shares, mix_sources, token_counter
+from .readability import reading_bands
 from .sentences import split_sentences
 from .splitting import split_items
 
@@ -76,7 +77,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actual_shares(*_p7(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_sentences": p4_sentences, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares}
+# ---- p8: reading level
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band of each document with the measures behind it."""
+    return reading_bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).select("doc_id", "band").distinct()
+
+
+QUERIES = {"p4_found": p4_found, "p4_sentences": p4_sentences, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels}
 SQL: dict[str, str] = {
     "p5_found": """
 SELECT DISTINCT 'documents' AS item_table, CAST(doc_id AS VARCHAR) AS item_id FROM documents WHERE length(text) > 900
