@@ -208,6 +208,9 @@ def reading_bands(docs: DataFrame, ratings: DataFrame, least_chars: int = 200, s
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= least_chars)
     measured = docs.mapInPandas(_measure, MEASURES).persist()
     measures = coverage_ranks(measured, share, vocabulary).persist()
+    # counted before several stages read it at once, each of which would compute it otherwise
+    measures.count()
     bands = calibrate(measures, ratings).persist()
+    bands.count()
     bands.createOrReplaceTempView("_reading_bands")
     return docs.sparkSession.sql(_BANDS)
