@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import use_shared_checkpoints
 from .sentences import sentence_ends
 
 _WORD = re.compile(r"[㐀-䶿一-鿿]|[^\W\d_㐀-䶿一-鿿]+(?:['’-][^\W\d_㐀-䶿一-鿿]+)*")
@@ -207,10 +208,11 @@ def reading_bands(docs: DataFrame, ratings: DataFrame, least_chars: int = 200, s
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= least_chars)
     measured = docs.mapInPandas(_measure, MEASURES).persist()
-    measures = coverage_ranks(measured, share, vocabulary).persist()
-    # counted before several stages read it at once, each of which would compute it otherwise
-    measures.count()
-    bands = calibrate(measures, ratings).persist()
-    bands.count()
+    # a few numbers per document, read by many steps of the calibration: cut off from their lineage
+    use_shared_checkpoints(docs.sparkSession)
+    measures = coverage_ranks(measured, share, vocabulary).checkpoint()
+    measured.unpersist()
+    bands = calibrate(measures, ratings).checkpoint()
+    measures.createOrReplaceTempView("_reading_measures")
     bands.createOrReplaceTempView("_reading_bands")
     return docs.sparkSession.sql(_BANDS)
