@@ -386,17 +386,19 @@ def _stretches_of(batches: Iterator[pd.DataFrame], model: ByteGRU) -> Iterator[p
         rows = []
         for a in range(0, len(pdf), PART):
             part = pdf.iloc[a : a + PART]
-            for table, unit, told in zip(part["unit_table"], part["unit_id"], _tell(model, part["text"].tolist(), known)):
+            texts = part["text"].tolist()
+            for table, unit, text, told in zip(part["unit_table"], part["unit_id"], texts, _tell(model, texts, known)):
                 own: list[list] = []
                 for start, end, language, confidence, strong, _ in told:
-                    if strong < 2 and own or language < 0:
+                    if language < 0 or strong < 2 and own:
                         if own:
                             own[-1][1] = end
-                        continue
-                    if own and own[-1][2] == language:
+                    elif own and own[-1][2] == language:
                         own[-1][1], own[-1][3], own[-1][4] = end, own[-1][3] + confidence * (end - start), own[-1][4] + end - start
                     else:
                         own.append([start if own else 0, end, language, confidence * (end - start), end - start])
+                if own:
+                    own[-1][1] = len(text)
                 rows += [(table, unit, s, e, LANGUAGES[k], w / n) for s, e, k, w, n in own]
             if len(known) > KNOWN:
                 known.clear()

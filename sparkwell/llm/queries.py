@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .langid import detect_languages, fit, language_stretches, latest_guess, mislabelled
 from .leaks import find_leaks
 from .mixing import actual_shares, mix_sources, token_counter
 from .readability import reading_bands
@@ -25,6 +26,28 @@ def _units(spark: SparkSession, sf_dir: str, *which: tuple[str, str, str]) -> Da
     return out
 
 
+# ---- p3: languages
+def _p3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("unit_table"), F.col("doc_id").cast("string").alias("unit_id"), F.col("lang").alias("label"), "text")
+    chunks = table(spark, sf_dir, "chunks").join(latest_guess(table(spark, sf_dir, "language_guesses")), F.col("id") == F.col("chunk_id"), "left")
+    return documents.unionByName(chunks.select(F.lit("chunks").alias("unit_table"), F.col("id").alias("unit_id"), "label", "text"))
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language of every document and chunk, with its confidence."""
+    return detect_languages(_p3_units(spark, sf_dir), fit(table(spark, sf_dir, "documents"))).drop("label").distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = detect_languages(_p3_units(spark, sf_dir), fit(table(spark, sf_dir, "documents")))
+    return mislabelled(told).select("unit_table", "unit_id", "language").distinct()
+
+
+def p3_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-language stretches of the documents."""
+    return language_stretches(_p3_units(spark, sf_dir).where("unit_table = 'documents'"), fit(table(spark, sf_dir, "documents")))
+
+
 # ---- p4: sentences
 _P4 = (("chunks", "id", "text"), ("edges", "edge_id", "sentence"))
 
@@ -87,7 +110,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_levels(spark, sf_dir).select("doc_id", "band").distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_sentences": p4_sentences, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels}
+QUERIES = {"p3_found": p3_found, "p3_languages": p3_languages, "p3_stretches": p3_stretches, "p4_found": p4_found, "p4_sentences": p4_sentences, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels}
 SQL: dict[str, str] = {
     "p5_found": """
 SELECT DISTINCT 'documents' AS item_table, CAST(doc_id AS VARCHAR) AS item_id FROM documents WHERE length(text) > 900
