@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from .sentences import sentence_ends
 
 LANGUAGES = ("en", "de", "zh", "ar", "ur")
+SCRIPTS = ([0, 1], [2], [3, 4])
 HIDDEN = 8
 #: Lines whose results a task keeps at a time.
 KNOWN = 100_000
@@ -250,7 +251,8 @@ def prepared(line: str) -> tuple[str, int]:
         # Latin letters in a line of another script are names and codes
         words = _FOREIGN.findall(line)
         if words:
-            return " ".join(words), 2 if sum(map(len, words)) >= 3 else 1
+            enough = len(words) >= 2 or len(words[0]) >= 3 and "㐀" <= words[0][0] <= "鿿"
+            return " ".join(words), 2 if enough else 1
     tokens = [t for t in line.split() if not _CODE.search(t)]
     words = [t for t in tokens if t[0].islower()]
     if len(words) >= 2:
@@ -318,7 +320,9 @@ def _with_context(told: list[tuple], doubt: float = 0.05) -> list[tuple]:
     for start, end, p, strong, whole in told:
         if p is not None and strong == 2:
             share += p * (end - start)
-    share /= share.sum()
+    # languages of one script share what the script has: only they can be taken for one another
+    for script in SCRIPTS:
+        share[script] /= share[script].sum()
     out = []
     for start, end, p, strong, whole in told:
         if p is None:
