@@ -9,6 +9,7 @@ from ..session import table
 from .langid import detect_languages, fit, language_stretches, latest_guess, mislabelled
 from .leaks import find_leaks
 from .mixing import actual_shares, mix_sources, token_counter
+from .names import link_names, name_pairs
 from .readability import reading_bands
 from .sentences import split_sentences
 from .splitting import split_items
@@ -26,6 +27,19 @@ def _units(spark: SparkSession, sf_dir: str, *which: tuple[str, str, str]) -> Da
     return out
 
 
+# ---- p2: variant names
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_pairs(table(spark, sf_dir, "customers"), table(spark, sf_dir, "entities"), table(spark, sf_dir, "mentions"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct name of customers, companies, persons and unlinked mentions with the class that it belongs to."""
+    customers = table(spark, sf_dir, "customers").select(F.lit("customer").alias("space"), "name")
+    entities = table(spark, sf_dir, "entities").where(F.col("type").isin("COMPANY", "PERSON")).select(F.lit("entity").alias("space"), "name")
+    mentions = table(spark, sf_dir, "mentions").where("entity_id is null").select(F.lit("entity").alias("space"), F.col("surface").alias("name"))
+    return link_names(customers.unionByName(entities).unionByName(mentions))
+
+
 # ---- p3: languages
 def _p3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("unit_table"), F.col("doc_id").cast("string").alias("unit_id"), F.col("lang").alias("label"), "text")
@@ -110,7 +124,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_levels(spark, sf_dir).select("doc_id", "band").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_languages": p3_languages, "p3_stretches": p3_stretches, "p4_found": p4_found, "p4_sentences": p4_sentences, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_languages": p3_languages, "p3_stretches": p3_stretches, "p4_found": p4_found, "p4_sentences": p4_sentences, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_levels": p8_levels}
 SQL: dict[str, str] = {
     "p5_found": """
 SELECT DISTINCT 'documents' AS item_table, CAST(doc_id AS VARCHAR) AS item_id FROM documents WHERE length(text) > 900
