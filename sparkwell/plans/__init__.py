@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("orphans",)
+FAMILIES = ("orphans", "relational")
 
 
 def modules() -> list:
