@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .lang import CHINESE_STOP_CHARS, CJK, STOPWORDS, detect_language
 
-TOKEN = r"[\p{L}\p{N}](?:[\p{L}\p{N}]|-)*"
+TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}\-]*"
 
 
 def normalize_ws(text: Column) -> Column:
@@ -33,12 +33,18 @@ def raw_tokens(text: Column) -> Column:
 
 def tokens(text: Column, language: Column | None = None) -> Column:
     """Tokens without the stop words of the text's language and without single letters."""
-    language = detect_language(text) if language is None else language
-    plain = lambda t: ~F.when(language == "de", t.isin(*STOPWORDS["de"])).when(language == "ar", t.isin(*STOPWORDS["ar"])).when(language == "ur", t.isin(*STOPWORDS["ur"])).when(
-        language == "zh", F.lit(False)
-    ).otherwise(t.isin(*STOPWORDS["en"]))
-    keep = lambda t: F.when(t.rlike(f"^[{CJK}]"), ~t.rlike(f"^[{CHINESE_STOP_CHARS}]+$")).otherwise((F.length(t) > 1) & plain(t))
-    return F.filter(raw_tokens(text), keep)
+    code = detect_language(text) if language is None else language
+    raw = raw_tokens(text)
+
+    def kept(words: list[str]) -> Column:
+        keep = lambda t: F.when(t.rlike(f"^[{CJK}]"), ~t.rlike(f"^[{CHINESE_STOP_CHARS}]+$")).otherwise((F.length(t) > 1) & (~t.isin(*words) if words else F.lit(True)))
+        return F.filter(raw, keep)
+
+    def by_language(code: Column) -> Column:
+        return F.when(code == "de", kept(STOPWORDS["de"])).when(code == "ar", kept(STOPWORDS["ar"])).when(code == "ur", kept(STOPWORDS["ur"])).when(code == "zh", kept([])).otherwise(kept(STOPWORDS["en"]))
+
+    # bound once, so that the language isn't found out again for every token
+    return F.transform(F.array(code), by_language)[0]
 
 
 def content_tokens(text: Column, language: Column | None = None) -> Column:

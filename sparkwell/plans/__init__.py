@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("orphans", "relational")
+FAMILIES = ("orphans", "relational", "text", "retrieval")
 
 
 def modules() -> list:

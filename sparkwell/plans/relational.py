@@ -39,11 +39,11 @@ STATEMENTS = {
     "cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "grouping_sets": "SELECT p_brand, p_size, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())",
     "window_frame_sum": "SELECT o_orderkey, o_custkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last_three FROM orders",
-    "rank_windows": "SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rn, rank() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000)) AS rk, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000)) AS dr FROM supplier",
+    "rank_windows": "SELECT s_suppkey, s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS BIGINT) AS rn, CAST(rank() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000)) AS BIGINT) AS rk, CAST(dense_rank() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000)) AS BIGINT) AS dr FROM supplier",
     "lag_lead": "SELECT event_id, user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type FROM events",
     "top_per_group": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) x WHERE rn <= 3",
     "limit_topk": "SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25",
-    "order_nulls": "SELECT id, name, industry, row_number() OVER (ORDER BY industry ASC NULLS FIRST, id, name, created_at, deleted_at NULLS LAST, country NULLS LAST) AS place FROM (SELECT DISTINCT * FROM customers) c",
+    "order_nulls": "SELECT id, name, industry, CAST(row_number() OVER (PARTITION BY country ORDER BY industry ASC NULLS FIRST, id, name, created_at, deleted_at NULLS LAST) AS BIGINT) AS place FROM (SELECT DISTINCT * FROM customers) c",
     "union_all": "SELECT c_nationkey AS nation, 'customer' AS kind FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier",
     "union_distinct": "SELECT lower(country) AS word FROM customers UNION SELECT lower(industry) FROM customers",
     "intersect": "SELECT c_nationkey AS nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier",
@@ -75,7 +75,6 @@ ELSEWHERE = {
     "date_functions": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month_start FROM orders",
     "revenue_by_year": STATEMENTS["revenue_by_year"].replace("year(o.o_orderdate) AS y", "CAST(year(o.o_orderdate) AS INT) AS y"),
     "string_functions": STATEMENTS["string_functions"].replace("length(name) AS n", "CAST(length(name) AS INT) AS n").replace("instr(name, 'a')", "CAST(instr(name, 'a') AS INT)"),
-    "rank_windows": STATEMENTS["rank_windows"].replace("row_number()", "row_number()"),
 }
 
 
