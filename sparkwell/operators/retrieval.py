@@ -55,7 +55,8 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str, k: int = 5) -> DataFra
     met = asked.join(weights, "term").join(post, "term").join(F.broadcast(stats.select("avg_len")))
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    scored = met.groupBy("qid", key).agg(F.sum(part).alias("score")).where("score > 0")
+    # sums in another order differ in their last digits; ties must not
+    scored = met.groupBy("qid", key).agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     return top_k(scored, k, key)
 
 
@@ -82,7 +83,7 @@ def hashed_vectors(docs: DataFrame, key: str, text: str = "text", dim: int = DIM
 def sparse_cosine(vectors: DataFrame, asked: DataFrame, key: str, k: int) -> DataFrame:
     """Best documents by cosine of sparse vectors; asked: qid, bucket, value."""
     met = asked.select("qid", "bucket", F.col("value").alias("q")).join(vectors, "bucket")
-    return top_k(met.groupBy("qid", key).agg(F.sum(F.col("q") * F.col("value")).alias("score")), k, key)
+    return top_k(met.groupBy("qid", key).agg(F.round(F.sum(F.col("q") * F.col("value")), 9).alias("score")), k, key)
 
 
 def dot(a: Column, b: Column) -> Column:

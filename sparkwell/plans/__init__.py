@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("orphans", "relational", "text", "retrieval")
+FAMILIES = ("orphans", "relational", "text", "retrieval", "graph")
 
 
 def modules() -> list:

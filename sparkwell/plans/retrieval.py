@@ -215,7 +215,7 @@ stats AS (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM dt),
 post AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS doc_len FROM (SELECT doc_id, len(toks) AS n, unnest(toks) AS term FROM dt) x GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(toks) AS term FROM qt) x GROUP BY qid, term),
-s AS (SELECT q.qid, p.doc_id, sum(q.qtf * ln(1 + (stats.n - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.doc_len / stats.avg_len))) AS score
+s AS (SELECT q.qid, p.doc_id, round(sum(q.qtf * ln(1 + (stats.n - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.doc_len / stats.avg_len))), 9) AS score
       FROM q JOIN df USING (term) JOIN post p USING (term), stats GROUP BY q.qid, p.doc_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
 """
