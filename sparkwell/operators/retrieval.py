@@ -18,9 +18,9 @@ K1, B, RRF_K, DIM = 1.5, 0.75, 60, 768
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, term, tf, doc_len."""
-    words = docs.select(key, tokens(F.col(text)).alias("tokens"))
-    words = words.select(key, F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    words = docs.select(key, F.explode(tokens(F.col(text))).alias("term"))
+    counted = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return counted.withColumn("doc_len", F.sum("tf").over(Window.partitionBy(key)))
 
 
 def term_stats(post: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -30,9 +30,9 @@ def term_stats(post: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: number of documents, mean length in tokens."""
-    return docs.select(F.size(tokens(F.col(text))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+def corpus_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
+    """One row: number of documents, mean length in tokens; texts aren't read again."""
+    return docs.agg(F.count("*").alias("n")).join(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avg_len"))
 
 
 def top_k(scored: DataFrame, k: int, tie: str, by: str = "qid") -> DataFrame:
@@ -46,7 +46,10 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str, k: int = 5) -> DataFra
 
     A term asked twice counts twice; only positive scores rank; ties go by the key.
     """
-    post, stats = postings(docs, key), corpus_stats(docs)
+    # the index: tokenised once, then read by the counts, the weights and the scores
+    post = postings(docs, key).persist()
+    post.count()
+    stats = corpus_stats(docs, post)
     asked = questions.select("qid", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     terms = asked.select("term").distinct()
     # only postings of asked terms go on

@@ -242,7 +242,7 @@ SQL = {
     "catalog_lookup": f"WITH own AS (SELECT p_partkey, unnest(list_distinct({tokens_sql('concat_ws(chr(32), p_name, p_brand, p_type)')})) AS t FROM part), a AS (SELECT n_nationkey AS qid, unnest(list_distinct({tokens_sql(chr(39) + 'Which parts are of the type and name ' + chr(39) + ' || n_name || ' + chr(39) + ' steel copper part?' + chr(39))})) AS t FROM nation), s AS (SELECT qid, p_partkey, CAST(count(*) AS DOUBLE) AS score FROM a JOIN own USING (t) GROUP BY qid, p_partkey), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, p_partkey) AS INT) AS rank FROM s) SELECT qid, p_partkey, score, rank FROM r WHERE rank <= 3",
     "evidence_dedup": _EVIDENCE + "SELECT qid, id, CAST(ord AS INT) AS ord, round(best, 6) AS score FROM d",
     "rrf_fuse": _EVIDENCE + "SELECT qid, id, ord, fused_score FROM g",
-    "citation_extract": _ANSWERED + ", m AS (SELECT qid, list_transform(regexp_extract_all(answer, '\\[(\\d{1,2})\\]', 1), lambda x: CAST(x AS INT)) AS ms FROM a), u AS (SELECT qid, unnest(ms) AS marker, generate_subscripts(ms, 1) AS at FROM m), f AS (SELECT qid, marker, min(at) AS first FROM u GROUP BY qid, marker) SELECT qid, marker, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) - 1 AS INT) AS place FROM f",
+    "citation_extract": _ANSWERED + ", m AS (SELECT qid, list_transform(regexp_extract_all(answer, '\\[(\\d{1,2})\\]', 1), lambda x: CAST(x AS INT)) AS ms FROM a), u AS (SELECT qid, unnest(ms) AS marker, generate_subscripts(ms, 1) AS pos FROM m), f AS (SELECT qid, marker, min(pos) AS first FROM u GROUP BY qid, marker) SELECT qid, marker, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) - 1 AS INT) AS place FROM f",
     "eval_summary": _ANSWERED + ", s AS (SELECT coalesce(category, 'none') AS category, len(list_filter(expected, lambda x: NOT contains(lower(answer), lower(x)))) = 0 AS correct, regexp_matches(answer, '\\[\\d{1,2}\\]') AS cited FROM a) SELECT category, count(*) AS n, count(*) FILTER (WHERE correct) AS n_correct, count(*) FILTER (WHERE cited) AS n_cited, round(count(*) FILTER (WHERE correct) / count(*), 4) AS pass_rate FROM s GROUP BY category",
     "hash_embed": f"WITH one AS (SELECT id, min(text) AS text FROM chunks GROUP BY id), {_token_ctes('dt', 'one', 'id', 'text')}, t AS (SELECT id, unnest(toks) AS t FROM dt), f AS (SELECT id, unnest(CASE WHEN length(t) >= 5 THEN list_concat([t], list_transform(range(1, length(t) - 1), lambda i: 'cg:' || substr(t, i, 3))) ELSE [t] END) AS feature FROM t), w AS (SELECT id, feature, (1 + ln(count(*))) * CASE WHEN feature LIKE 'cg:%' THEN 0.4::DOUBLE ELSE 1 END AS weight FROM f GROUP BY id, feature), b AS (SELECT id, CAST(('0x' || substr(md5(feature), 1, 8))::BIGINT % 768 AS INT) AS bucket, sum(weight * CASE WHEN ('0x' || substr(md5(feature), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2) SELECT id, bucket, round(v / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS value FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY id)) AS n FROM b) x",
 }
