@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 BLOCK_TOKENS = 65_536
 MAX_PERIOD = 10_000
 RANGES = 512
@@ -113,7 +115,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, counter, block_tokens: int
         raise ValueError("more sources than the period has slots")
     table = spark.createDataFrame([(r["key"], r["target"]) for r in keys], T.StructType([T.StructField("key", T.StringType()), T.StructField("target", T.StringType())]))
     # as many rows as there are targets, max_period at most
-    sized = docs.select("doc_id", source_key(F.col("source")).alias("key"), counter(F.col("text")).alias("tokens")).join(F.broadcast(table), "key")
+    sized = spread(docs.select("doc_id", "source", "text")).select("doc_id", source_key(F.col("source")).alias("key"), counter(F.col("text")).alias("tokens")).join(F.broadcast(table), "key")
     sized = sized.where("tokens > 0").withColumn("h", F.xxhash64("doc_id")).withColumn("range", F.pmod(F.shiftrightunsigned("h", 40), F.lit(ranges)))
     sized = sized.persist()
     sums = sized.groupBy("key", "range").agg(F.sum("tokens").alias("sum"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import use_shared_checkpoints
+from ..session import spread, use_shared_checkpoints
 from .sentences import sentence_ends
 
 _WORD = re.compile(r"[㐀-䶿一-鿿]|[^\W\d_㐀-䶿一-鿿]+(?:['’-][^\W\d_㐀-䶿一-鿿]+)*")
@@ -207,7 +207,7 @@ def reading_bands(docs: DataFrame, ratings: DataFrame, least_chars: int = 200, s
     docs: doc_id, text. ratings: doc_id, band, labeller.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= least_chars)
-    measured = docs.mapInPandas(_measure, MEASURES).persist()
+    measured = spread(docs).mapInPandas(_measure, MEASURES).persist()
     # a few numbers per document, read by many steps of the calibration: cut off from their lineage
     use_shared_checkpoints(docs.sparkSession)
     measures = coverage_ranks(measured, share, vocabulary).checkpoint()

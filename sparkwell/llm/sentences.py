@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 BLOCK = 64
 SLICE = 1 << 18
 
@@ -318,4 +320,4 @@ def split_sentences(units: DataFrame, with_text: bool = True) -> DataFrame:
     """
     schema = T.StructType(ENDS.fields + ([T.StructField("sentence", T.StringType())] if with_text else []))
     units = units.select("unit_table", "unit_id", "text").where(F.col("text").isNotNull())
-    return units.mapInPandas(lambda batches: _ends_of(batches, with_text), schema)
+    return spread(units).mapInPandas(lambda batches: _ends_of(batches, with_text), schema)

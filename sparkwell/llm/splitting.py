@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from .sentences import sentence_ends
 
 LIMIT, OVERLAP = 900, 150
@@ -123,4 +124,4 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, wi
         raise ValueError("the overlap must be less than the limit")
     schema = T.StructType(PIECES.fields + ([T.StructField("text", T.StringType())] if with_text else []))
     items = items.select("item_table", "item_id", "heading", "text").where(F.col("text").isNotNull())
-    return items.mapInPandas(lambda batches: _pieces_of(batches, limit, overlap, with_text), schema)
+    return spread(items).mapInPandas(lambda batches: _pieces_of(batches, limit, overlap, with_text), schema)
