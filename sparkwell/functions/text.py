@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lang import CHINESE_STOP_CHARS, CJK, STOPWORDS, detect_language
+from .lang import CHINESE_STOP_CHARS, CJK, STOPWORDS, detect_language, listed_in
 
 TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}\-]*"
 
@@ -37,7 +37,7 @@ def tokens(text: Column, language: Column | None = None) -> Column:
     raw = raw_tokens(text)
 
     def kept(words: list[str]) -> Column:
-        keep = lambda t: F.when(t.rlike(f"^[{CJK}]"), ~t.rlike(f"^[{CHINESE_STOP_CHARS}]+$")).otherwise((F.length(t) > 1) & (~t.isin(*words) if words else F.lit(True)))
+        keep = lambda t: F.when(t.rlike(f"^[{CJK}]"), ~t.rlike(f"^[{CHINESE_STOP_CHARS}]+$")).otherwise((F.length(t) > 1) & (~listed_in(t, words) if words else F.lit(True)))
         return F.filter(raw, keep)
 
     def by_language(code: Column) -> Column:

@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import spread
 
 K1, B, RRF_K, DIM = 1.5, 0.75, 60, 768
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, term, tf, doc_len."""
-    words = docs.select(key, F.explode(tokens(F.col(text))).alias("term"))
+    words = spread(docs.select(key, text)).select(key, F.explode(tokens(F.col(text))).alias("term"))
     counted = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
     return counted.withColumn("doc_len", F.sum("tf").over(Window.partitionBy(key)))
 
@@ -65,7 +66,7 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str, k: int = 5) -> DataFra
 
 def feature_weights(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, feature, weight: tokens, and at 0.4 the letter triples of longer tokens."""
-    words = docs.select(key, F.explode(tokens(F.col(text))).alias("t"))
+    words = spread(docs.select(key, text)).select(key, F.explode(tokens(F.col(text))).alias("t"))
     triples = F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.concat(F.lit("cg:"), F.substring(F.col("t"), i, F.lit(3))))
     features = words.select(key, F.explode(F.when(F.length("t") >= 5, F.concat(F.array("t"), triples)).otherwise(F.array("t"))).alias("feature"))
     counted = features.groupBy(key, "feature").agg(F.count("*").alias("n"))

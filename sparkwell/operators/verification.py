@@ -63,7 +63,10 @@ def extract_answers(questions: DataFrame, sources: DataFrame) -> DataFrame:
     """
     words = questions.select("qid", content_tokens(F.col("question")).alias("asked"))
     said = sources.select("qid", "marker", F.posexplode(split_sentences(F.col("text"))).alias("at", "sentence"))
-    met = words.join(said, "qid").withColumn("n", F.size(F.array_intersect("asked", content_tokens(F.col("sentence"))))).where("n > 0")
+    # one row per word: the shared words are counted by a join, and a sentence is tokenised once
+    said_words = said.select("qid", "marker", "at", "sentence", F.explode(content_tokens(F.col("sentence"))).alias("w"))
+    asked = words.select("qid", F.explode("asked").alias("w"))
+    met = said_words.join(asked, ["qid", "w"]).groupBy("qid", "marker", "at", "sentence").agg(F.count("*").alias("n"))
     order = Window.partitionBy("qid").orderBy(F.desc("n"), "marker", "at")
     ranked = met.withColumn("place", F.row_number().over(order))
     first = ranked.where("place = 1").select("qid", F.col("n").alias("best"), F.col("marker").alias("first_marker"), F.col("sentence").alias("first_sentence"))

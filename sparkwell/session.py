@@ -40,3 +40,13 @@ def use_shared_checkpoints(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sparkwell-checkpoint-"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where the input has fewer partitions than there are cores.
+
+    Large inputs have far more partitions and stay as they are; a small file that is one
+    partition would otherwise keep a single core busy with work that costs more than its shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
