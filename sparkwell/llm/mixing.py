@@ -73,6 +73,8 @@ def source_key(c: Column) -> Column:
 def pfair_period(weights: dict[str, float], max_period: int = MAX_PERIOD) -> tuple[int, dict[str, list[int]]]:
     """One period of the schedule: its length and the slots of each source, in order."""
     total = sum(weights.values())
+    if total <= 0:
+        return 0, {}
     parts = {s: Fraction(w / total).limit_denominator(max_period) for s, w in sorted(weights.items()) if w > 0}
     period = math.lcm(*(p.denominator for p in parts.values())) if parts else 0
     if period > max_period or sum(parts.values()) != 1:
