@@ -412,7 +412,10 @@ def _stretches_of(batches: Iterator[pd.DataFrame], model: ByteGRU) -> Iterator[p
 def fit(labelled: DataFrame, train_docs: int = 1200, lines_each: int = 1500) -> ByteGRU:
     """Train on a bounded sample of labelled rows (doc_id, text, lang)."""
     sample = labelled.select("doc_id", "text", language_label(F.col("lang")).alias("y")).where("y is not null and text is not null")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).collect()
+    # the ids first, so that no partition sends train_docs texts of its own
+    chosen = sample.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    sample = sample.join(F.broadcast(chosen), "doc_id", "left_semi").collect()
+    sample.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
     lines: list[tuple[bytes, int]] = []
     count = [0] * len(LANGUAGES)
     texts = [r["text"] for r in sample]
