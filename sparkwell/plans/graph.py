@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.normalize import ascii_normal_name, normal_key_udf
 from ..functions.text import content_tokens
-from ..operators import graph
+from ..operators import extraction, graph
 from ..session import table
 from ..streaming import events as streams
 
@@ -71,6 +72,26 @@ def kg_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.relations(mentions, edges.select(F.col("edge_id").alias("sentence_id"), "sentence"))
 
 
+def _chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "chunks").select(F.col("id").alias("chunk_id"), "text").distinct()
+    rows = rows.select("chunk_id", F.posexplode(text.split_sentences(F.col("text"))).alias("sentence_no", "sentence"))
+    return rows.withColumn("sentence_id", F.concat_ws("/", "chunk_id", "sentence_no"))
+
+
+def kg_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mentions that the rules find in the sentences of all chunks, of at most twelve entities a chunk."""
+    sentences = _chunk_sentences(spark, sf_dir)
+    found = extraction.extract_mentions(sentences)
+    place = F.regexp_extract("sentence_id", r"^(.*)/(\d+)$", 1).alias("chunk_id"), F.regexp_extract("sentence_id", r"/(\d+)$", 1).cast("int").alias("sentence_no")
+    return extraction.cap_entities(found.select(*place, "entity_id", "name", "type", "start", "end").distinct())
+
+
+def kg_extract_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations between the mentions that the rules find in the stored sentences of edges."""
+    sentences = table(spark, sf_dir, "edges").where("sentence is not null").select(F.md5("sentence").alias("sentence_id"), "sentence").distinct()
+    return extraction.extract_relations(sentences, extraction.extract_mentions(sentences))
+
+
 def seed_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that a document's title names in full: joined on the words of the name, then checked."""
     titles = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring_index("text", "\n", 3)).alias("head"))
@@ -162,7 +183,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        kg_stats, kg_upsert, kg_edge_domain, kg_used_entities, kg_neighbours, kg_walk, kg_paths, kg_chunks, kg_relations, seed_link, kg_normalize, route_tool, decompose_split,
+        kg_stats, kg_upsert, kg_edge_domain, kg_used_entities, kg_neighbours, kg_walk, kg_paths, kg_chunks, kg_relations, kg_extract, kg_extract_relations, seed_link, kg_normalize, route_tool, decompose_split,
         events_tumbling, events_sliding, events_sessions, events_stream, step_budget, stream_ingest,
     )
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import assembly, retrieval, verification
-from ..session import table
+from ..session import table, use_shared_checkpoints
 from .text import tokens_sql
 
 
@@ -41,7 +41,7 @@ def bm25_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks").groupBy("id").agg(F.min("text").alias("text"))
-    return retrieval.hashed_vectors(chunks, "id").select("id", "bucket", F.round("value", 6).alias("value"))
+    return retrieval.hashed_vectors(chunks, "id").select("id", "bucket", (F.round("value", 6) + 0.0).alias("value"))
 
 
 def hashed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +167,11 @@ def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieved_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End to end: hybrid retrieval, an extracted answer from the best three documents, and its check."""
-    best = hybrid_rrf(spark, sf_dir).where("rank <= 3")
+    use_shared_checkpoints(spark)
+    # the best documents and the answers are small and read several times: retrieval runs once
+    best = hybrid_rrf(spark, sf_dir).where("rank <= 3").checkpoint()
     sources = best.join(_docs(spark, sf_dir), "doc_id").select("qid", F.col("rank").alias("marker"), "text")
-    answers = verification.extract_answers(_questions(spark, sf_dir), sources)
+    answers = verification.extract_answers(_questions(spark, sf_dir), sources).checkpoint()
     claims = verification.split_claims(answers)
     return answers.join(verification.report(claims, verification.support(claims, sources)), "qid", "left")
 
@@ -244,5 +246,5 @@ SQL = {
     "rrf_fuse": _EVIDENCE + "SELECT qid, id, ord, fused_score FROM g",
     "citation_extract": _ANSWERED + ", m AS (SELECT qid, list_transform(regexp_extract_all(answer, '\\[(\\d{1,2})\\]', 1), lambda x: CAST(x AS INT)) AS ms FROM a), u AS (SELECT qid, unnest(ms) AS marker, generate_subscripts(ms, 1) AS pos FROM m), f AS (SELECT qid, marker, min(pos) AS first FROM u GROUP BY qid, marker) SELECT qid, marker, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) - 1 AS INT) AS place FROM f",
     "eval_summary": _ANSWERED + ", s AS (SELECT coalesce(category, 'none') AS category, len(list_filter(expected, lambda x: NOT contains(lower(answer), lower(x)))) = 0 AS correct, regexp_matches(answer, '\\[\\d{1,2}\\]') AS cited FROM a) SELECT category, count(*) AS n, count(*) FILTER (WHERE correct) AS n_correct, count(*) FILTER (WHERE cited) AS n_cited, round(count(*) FILTER (WHERE correct) / count(*), 4) AS pass_rate FROM s GROUP BY category",
-    "hash_embed": f"WITH one AS (SELECT id, min(text) AS text FROM chunks GROUP BY id), {_token_ctes('dt', 'one', 'id', 'text')}, t AS (SELECT id, unnest(toks) AS t FROM dt), f AS (SELECT id, unnest(CASE WHEN length(t) >= 5 THEN list_concat([t], list_transform(range(1, length(t) - 1), lambda i: 'cg:' || substr(t, i, 3))) ELSE [t] END) AS feature FROM t), w AS (SELECT id, feature, (1 + ln(count(*))) * CASE WHEN feature LIKE 'cg:%' THEN 0.4::DOUBLE ELSE 1 END AS weight FROM f GROUP BY id, feature), b AS (SELECT id, CAST(('0x' || substr(md5(feature), 1, 8))::BIGINT % 768 AS INT) AS bucket, sum(weight * CASE WHEN ('0x' || substr(md5(feature), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2) SELECT id, bucket, round(v / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS value FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY id)) AS n FROM b) x",
+    "hash_embed": f"WITH one AS (SELECT id, min(text) AS text FROM chunks GROUP BY id), {_token_ctes('dt', 'one', 'id', 'text')}, t AS (SELECT id, unnest(toks) AS t FROM dt), f AS (SELECT id, unnest(CASE WHEN length(t) >= 5 THEN list_concat([t], list_transform(range(1, length(t) - 1), lambda i: 'cg:' || substr(t, i, 3))) ELSE [t] END) AS feature FROM t), w AS (SELECT id, feature, (1 + ln(count(*))) * CASE WHEN feature LIKE 'cg:%' THEN 0.4::DOUBLE ELSE 1 END AS weight FROM f GROUP BY id, feature), b AS (SELECT id, CAST(('0x' || substr(md5(feature), 1, 8))::BIGINT % 768 AS INT) AS bucket, sum(weight * CASE WHEN ('0x' || substr(md5(feature), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2) SELECT id, bucket, round(v / CASE WHEN n = 0 THEN 1 ELSE n END, 6) + 0.0::DOUBLE AS value FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY id)) AS n FROM b) x",
 }
