@@ -3,8 +3,8 @@
 The words of the sentences of all documents are counted per language and ranked by
 frequency. The coverage rank of a document is the size of the smallest such
 vocabulary, most frequent words first, that covers a fixed share of its words.
-Ranks end at `vocabulary` words per language; rarer words all have the next rank, so
-what is sent to tasks is bounded. Sentence complexity is the length of sentences and
+The first `vocabulary` ranks of each language are sent to tasks, which bounds what is sent;
+documents that need rarer words get their rank from a join with all ranked words. Sentence complexity is the length of sentences and
 of words, taken as medians that weigh each sentence by its length, so that fillers,
 headings and foreign passages don't move them. Only whole sentences in the language
 that most of the document is written in count; lists, headings and codes don't.
@@ -112,17 +112,35 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[f.name for f in MEASURES.fields])
 
 
+def _ranked(word: DataFrame) -> DataFrame:
+    """language, word, rank: all words, numbered within ranges of the sorted whole instead of in one window a language."""
+    order = [F.col("language"), F.desc("n"), F.col("word")]
+    # where the ranges end is found by sampling: fixed before they are numbered
+    sorted_words = word.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).checkpoint()
+    within = Window.partitionBy("language", "part").orderBy(F.desc("n"), "word")
+    before = Window.partitionBy("language").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range and language
+    starts = sorted_words.groupBy("language", "part").agg(F.count("*").alias("size")).select("language", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    numbered = sorted_words.withColumn("k", F.row_number().over(within))
+    return numbered.join(F.broadcast(starts), ["language", "part"]).select("language", "word", (F.col("start") + F.col("k")).alias("rank"))
+
+
 def coverage_ranks(measured: DataFrame, share: float, vocabulary: int) -> DataFrame:
-    """The measures with `coverage_rank` instead of the words."""
+    """The measures with `coverage_rank` instead of the words; `vocabulary` doesn't change it."""
     spark = measured.sparkSession
-    word = measured.select("language", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("language", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n"))
+    use_shared_checkpoints(spark)
+    word = measured.select("language", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("language", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n")).persist()
     ranked = word.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= vocabulary)
     # at most `vocabulary` words for each of the languages that language_of knows
     ranks: dict[str, dict[str, int]] = {}
     for r in ranked.toLocalIterator():
         ranks.setdefault(r["language"], {})[r["word"]] = r["rank"]
     shared = spark.sparkContext.broadcast(ranks)
-    schema = T.StructType([*MEASURES.fields[:4], T.StructField("coverage_rank", T.DoubleType())])
+    # of documents whose rank lies beyond the vocabulary: the words to cover, those covered, and the rarer words
+    schema = T.StructType([
+        *MEASURES.fields[:4], T.StructField("coverage_rank", T.DoubleType()), T.StructField("target", T.DoubleType()), T.StructField("covered", T.LongType()),
+        T.StructField("rarer", T.ArrayType(T.StringType())), T.StructField("rarer_counts", T.ArrayType(T.LongType())),
+    ])
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -130,15 +148,42 @@ def coverage_ranks(measured: DataFrame, share: float, vocabulary: int) -> DataFr
             for language, words, counts in zip(pdf["language"], pdf["words"], pdf["counts"]):
                 own = shared.value.get(language, {})
                 if len(words) == 0:
-                    out.append(None)
+                    out.append((None, None, None, None, None))
                     continue
                 rank = np.array([own.get(w, vocabulary + 1) for w in words])
                 order = np.argsort(rank)
                 upto = np.cumsum(np.asarray(counts)[order])
-                out.append(float(rank[order][np.searchsorted(upto, share * upto[-1])]))
-            yield pdf[["doc_id", "language", "sentence_words", "word_chars"]].assign(coverage_rank=pd.Series(out, dtype="float64"))
+                target = share * upto[-1]
+                at = rank[order][np.searchsorted(upto, target)]
+                if at <= vocabulary:
+                    out.append((float(at), None, None, None, None))
+                else:
+                    rarer = [(w, int(n)) for w, n, r in zip(words, counts, rank) if r > vocabulary]
+                    out.append((None, float(target), int(upto[-1]) - sum(n for _, n in rarer), [w for w, _ in rarer], [n for _, n in rarer]))
+            more = pd.DataFrame(out, columns=["coverage_rank", "target", "covered", "rarer", "rarer_counts"], index=pdf.index)
+            # whole numbers with nulls
+            more = more.astype({"coverage_rank": "float64", "target": "float64", "covered": "Int64"})
+            yield pd.concat([pdf[["doc_id", "language", "sentence_words", "word_chars"]], more], axis=1)
 
-    return measured.mapInPandas(cover, schema)
+    columns = ["doc_id", "language", "sentence_words", "word_chars", "coverage_rank"]
+    covered = measured.mapInPandas(cover, schema).persist()
+    tail = covered.where("target is not null")
+    if tail.isEmpty():
+        word.unpersist()
+        out = covered.select(*columns).checkpoint()
+        covered.unpersist()
+        return out
+    key = F.xxhash64("doc_id", "language", "rarer", "rarer_counts").alias("key")
+    words = tail.select(key, "language", "target", "covered", "rarer", "rarer_counts").dropDuplicates(["key"])
+    words = words.select("key", "language", "target", "covered", F.explode(F.arrays_zip("rarer", "rarer_counts")).alias("x"))
+    words = words.select("key", "language", "target", "covered", F.col("x.rarer").alias("word"), F.col("x.rarer_counts").alias("n"))
+    upto = F.col("covered") + F.sum("n").over(Window.partitionBy("key").orderBy("rank"))
+    reached = words.join(_ranked(word), ["language", "word"]).withColumn("upto", upto).where("upto >= target").groupBy("key").agg(F.min("rank").cast("double").alias("coverage_rank"))
+    exact = tail.drop("coverage_rank").withColumn("key", key).join(reached, "key", "left")
+    out = covered.where("target is null").select(*columns).unionByName(exact.select(*columns)).checkpoint()
+    word.unpersist()
+    covered.unpersist()
+    return out
 
 
 _CALIBRATE = """
@@ -209,8 +254,7 @@ def reading_bands(docs: DataFrame, ratings: DataFrame, least_chars: int = 200, s
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= least_chars)
     measured = spread(docs).mapInPandas(_measure, MEASURES).persist()
     # a few numbers per document, read by many steps of the calibration: cut off from their lineage
-    use_shared_checkpoints(docs.sparkSession)
-    measures = coverage_ranks(measured, share, vocabulary).checkpoint()
+    measures = coverage_ranks(measured, share, vocabulary)
     measured.unpersist()
     bands = calibrate(measures, ratings).checkpoint()
     measures.createOrReplaceTempView("_reading_measures")

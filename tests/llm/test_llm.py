@@ -174,3 +174,33 @@ def test_reading_bands(spark):
     got = {x["doc_id"]: x["band"] for x in readability.reading_bands(d, r).collect()}
     assert got == {**{k: 1 for k in range(6)}, **{k: 3 for k in range(10, 16)}, 97: 2}
     assert {x["band"] for x in readability.reading_bands(d, r.limit(0)).collect()} == {None}
+
+
+def test_coverage_ranks_beyond_the_vocabulary(spark):
+    r = random.Random(7)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for doc in range(40):
+        bag = {}
+        for w in r.choices(words, weights=[1 / (k + 1) for k in range(300)], k=r.randrange(1, 60)):
+            bag[w] = bag.get(w, 0) + 1
+        rows.append((doc, r.choice(["en", "de"]), 1.0, 1.0, list(bag), list(bag.values())))
+    rows += [rows[0], (90, None, None, None, [], [])]
+    measured = spark.createDataFrame(rows, readability.MEASURES)
+    total = {}
+    for _, language, _, _, own, counts in rows:
+        for w, n in zip(own, counts):
+            total[language, w] = total.get((language, w), 0) + n
+    rank = {code: {w: k + 1 for k, w in enumerate(sorted((w for c, w in total if c == code), key=lambda w: (-total[code, w], w)))} for code in ("en", "de")}
+    expected = []
+    for doc, language, _, _, own, counts in rows:
+        upto, at = 0, None
+        for k, n in sorted((rank[language][w], n) for w, n in zip(own, counts)):
+            upto += n
+            if upto >= 0.9 * sum(counts):
+                at = float(k)
+                break
+        expected.append((doc, at))
+    for vocabulary in (1, 5, 1000):
+        got = [(x["doc_id"], x["coverage_rank"]) for x in readability.coverage_ranks(measured, 0.9, vocabulary).collect()]
+        assert sorted(got) == sorted(expected)
