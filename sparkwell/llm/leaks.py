@@ -12,9 +12,11 @@ come out, without a limit on their number.
 Each retrieved pair is verified: names, codes and figures (the terms that few items
 have) and all terms must overlap enough, in any order, so that a text of
 the same kind about other names or figures is none. A document holds an item if it
-holds its whole question, or two different sentences of its passage that are no
-stock sentences: found in more than `stock_share` of all documents (and more than
-`stock_least`), or without names and figures in more than PLAIN_LEAST.
+holds its whole question, however many documents do, or two different sentences of its
+passage that are no stock sentences: found in more contexts than `stock_share` of the
+number of documents (and more than `stock_least`), or without names and figures in more
+than PLAIN_SHARE of it (and more than PLAIN_LEAST). Documents whose other sentences are
+partly the same are one context: near copies don't make a leak stock.
 
 The index of `shard_items` items is the largest thing sent to tasks; more items go
 in several passes. Texts are compared after NFKC, without markup, entities, case and
@@ -31,10 +33,12 @@ import html
 import math
 import re
 import unicodedata
+import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +48,11 @@ from .sentences import sentence_ends
 
 K1, B = 1.5, 0.75
 POSTING_BLOCK = 32
-#: A sentence without any name, code or figure is stock when more documents than this hold it.
+#: A sentence without any name, code or figure is stock in more contexts than this share of the documents, and than PLAIN_LEAST.
+PLAIN_SHARE = 0.0003
 PLAIN_LEAST = 3
+#: Min-hashes of a document's other sentences; documents with one of them in common are one context. Fixed odd factors.
+_CONTEXT = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], dtype=np.uint32)
 #: Sentences whose results a task keeps at a time.
 KNOWN = 100_000
 
@@ -172,6 +179,16 @@ class ItemIndex:
         return found
 
 
+def context_of(sentences: list[str]) -> list[int]:
+    """Min-hashes of the sentences, the same however they are ordered, spaced and capitalised."""
+    hashes = {zlib.crc32(" ".join(words).encode("utf-8", "replace")) for words in map(terms, sentences) if words}
+    if not hashes:
+        return [-1] * len(_CONTEXT)
+    mixed = np.array(list(hashes), dtype=np.uint32)[:, None] * _CONTEXT
+    mixed ^= mixed >> np.uint32(15)
+    return (mixed * np.uint32(0x2C1B3C6D)).min(axis=0).tolist()
+
+
 def _matches(batches: Iterator[pd.DataFrame], index: ItemIndex, questions: set[int], threshold: float, all_share: float, rare_share: float, question_share: float) -> Iterator[pd.DataFrame]:
     highest = index.highest
     # sentences repeat a lot; results of those just seen are looked up
@@ -196,6 +213,7 @@ def _matches(batches: Iterator[pd.DataFrame], index: ItemIndex, questions: set[i
         rows = []
         for doc, text, ends in zip(ids, texts, sentence_ends(texts)):
             found: dict[int, float] = {}
+            others: list[str] = []
             start = 0
             for end in ends.tolist():
                 sentence = text[start:end]
@@ -205,10 +223,14 @@ def _matches(batches: Iterator[pd.DataFrame], index: ItemIndex, questions: set[i
                     if len(known) >= KNOWN:
                         known.clear()
                     known[sentence] = kept = verified(set(terms(sentence)))
+                if not kept:
+                    others.append(sentence)
                 for s, score in kept:
                     found[s] = max(found.get(s, 0.0), score)
-            rows += [(doc, s, score, bool(index.rare[s])) for s, score in found.items()]
-        yield pd.DataFrame(rows, columns=["doc_id", "sentence", "score", "named"])
+            if found:
+                context = context_of(others)
+                rows += [(doc, s, score, bool(index.rare[s]), context) for s, score in found.items()]
+        yield pd.DataFrame(rows, columns=["doc_id", "sentence", "score", "named", "context"])
 
 
 def find_leaks(
@@ -222,7 +244,7 @@ def find_leaks(
     docs = docs.select("doc_id", "text").where("text is not null")
     items = items.select("item_id", "question", "passage").dropDuplicates()
     shards = max(1, -(-items.count() // shard_items))
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("sentence", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("named", T.BooleanType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("sentence", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("named", T.BooleanType()), T.StructField("context", T.ArrayType(T.LongType()))])
     results = []
     for shard in range(shards):
         # shard_items items are meant; the hash spreads them, so a shard is about as large
@@ -265,8 +287,11 @@ def find_leaks(
     hits.count()
     # one row
     n_docs = docs.agg(F.count("*").alias("n_docs"))
-    many = F.when(F.col("named"), F.greatest(F.lit(stock_share) * F.col("n_docs"), F.lit(stock_least))).otherwise(F.lit(PLAIN_LEAST))
-    stock = hits.groupBy("sentence", "named").agg(F.countDistinct("doc_id").alias("df")).crossJoin(F.broadcast(n_docs)).where(F.col("df") > many).select("sentence")
-    counted = hits.join(stock, "sentence", "left_anti")
+    many = F.when(F.col("named"), F.greatest(F.lit(stock_share) * F.col("n_docs"), F.lit(stock_least))).otherwise(F.greatest(F.lit(PLAIN_SHARE) * F.col("n_docs"), F.lit(PLAIN_LEAST)))
+    # a context counts by its first document, which no min-hash of its own joins to an earlier one
+    first = hits.where("not is_question").select("sentence", "named", "doc_id", F.posexplode("context").alias("slot", "hash")).groupBy("sentence", "named", "slot", "hash").agg(F.min("doc_id").alias("doc_id"))
+    contexts = first.groupBy("sentence", "named", "doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(_CONTEXT))
+    stock = contexts.groupBy("sentence", "named").agg(F.count("*").alias("contexts")).crossJoin(F.broadcast(n_docs)).where(F.col("contexts") > many).select("sentence", F.lit(False).alias("is_question"))
+    counted = hits.join(stock, ["sentence", "is_question"], "left_anti")
     per = counted.groupBy("item_id", "doc_id").agg(F.max("is_question").alias("question"), F.countDistinct(F.when(~F.col("is_question"), F.col("sentence"))).alias("n_sentences"), F.max("score").alias("score"))
     return per.where("question or n_sentences >= 2")

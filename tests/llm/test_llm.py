@@ -90,6 +90,26 @@ def test_leaks(spark):
     assert sorted((r["item_id"], r["doc_id"]) for r in got.collect()) == [(1, 10), (1, 12), (2, 10)]
 
 
+def test_leaks_in_many_copies_are_no_stock(spark):
+    others = [[f"Part {w}{k} of this text is about {w} matters." for w in "abcdefgh"] for k in range(60)]
+    plain = ["The old cart waits quietly near the door.", "Nobody knows when the green gate opens."]
+    items = [*ITEMS, *((k, None, " ".join(plain)) for k in range(40, 45))]
+    leaked = ITEMS[0][2]
+    docs = []
+    for k in range(60):
+        # near copies, each with one sentence of its own edited
+        own = list(others[0])
+        own[k % 8] = f"Edited {k} stands here."
+        docs.append((k, " ".join([*own[:4], leaked, *own[4:]])))
+        docs.append((100 + k, " ".join([*own[:4], *plain, *own[4:]])))
+        docs.append((200 + k, " ".join([*others[k], ITEMS[0][1]])))
+        # the same passage in texts that have nothing else in common is stock
+        docs.append((300 + k, " ".join([*others[k], ITEMS[3][2]])))
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string, passage string"))
+    expected = [(i, k) for i in (1, 2) for k in range(60)] + [(1, 200 + k) for k in range(60)] + [(i, 100 + k) for i in range(40, 45) for k in range(60)]
+    assert sorted((r["item_id"], r["doc_id"]) for r in got.collect()) == sorted(expected)
+
+
 def test_block_max_wand_finds_all_that_a_full_scan_finds():
     r = random.Random(2)
     vocabulary = [f"w{k}" for k in range(60)]
