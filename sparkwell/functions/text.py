@@ -74,6 +74,7 @@ def text_hash(text: Column) -> Column:
 
 # The marker, and what text addressed to an assistant looks like.
 REMOVED = "[removed: text addressed to the assistant rather than the reader]"
+ROLE_TAG = r"(?iU)<\s*(system|assistant|instructions?)\s*>[^<]{0,500}(?:<\s*/\s*\1\s*>)?|<\s*/\s*(?:system|assistant|instructions?)\s*>"
 _SPACE = r"[^.!?\n]{0,40}"
 INJECTION = "|".join([
     rf"\b(?:ignore|disregard|forget|override){_SPACE}\b(?:previous|prior|above|earlier|all|any|your)\b{_SPACE}\b(?:instructions?|prompts?|rules|directions|guidelines)\b",
@@ -86,17 +87,19 @@ INJECTION = "|".join([
 
 
 def strip_injections(text: Column) -> Column:
-    """struct(text, removed): sentences addressed to an assistant give way to one marker.
+    """struct(text, removed): role-tag spans, then sentences addressed to an assistant, give way to one marker.
 
     Text that matches nothing comes back as it is; sentences of other text are joined with single spaces.
     """
+    spans = F.regexp_count(text, F.lit(ROLE_TAG))
+    text = F.regexp_replace(text, ROLE_TAG, REMOVED)
     sentences = F.split(text, r"(?<=[.!?])\s+")
     hit = lambda s: s.rlike(f"(?i)(?:{INJECTION})")
     removed = F.size(F.filter(sentences, hit))
     marked = F.transform(sentences, lambda s: F.when(hit(s), F.lit(REMOVED)).otherwise(s))
     before = lambda i: F.element_at(marked, i)
     kept = F.filter(marked, lambda s, i: (i == 0) | (s != REMOVED) | (before(F.greatest(i, F.lit(1))) != REMOVED))
-    return F.struct(F.when(removed > 0, F.array_join(kept, " ")).otherwise(text).alias("text"), removed.alias("removed"))
+    return F.struct(F.when(removed > 0, F.array_join(kept, " ")).otherwise(text).alias("text"), (spans + removed).alias("removed"))
 
 
 def format_number(x: Column) -> Column:
