@@ -20,7 +20,16 @@ def tokenize_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens_without_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _docs(spark, sf_dir).select("doc_id", text.tokens(F.col("text"), F.lit("en")).alias("t"))
+    """Without the English stop words, as its SQL has it."""
+    return _token_digest(_docs(spark, sf_dir).select("doc_id", text.tokens(F.col("text"), F.lit("en")).alias("t")))
+
+
+def tokens_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the stop words of each document's own language."""
+    return _token_digest(_docs(spark, sf_dir).select("doc_id", text.tokens(F.col("text")).alias("t")))
+
+
+def _token_digest(words: DataFrame) -> DataFrame:
     return words.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
@@ -156,7 +165,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block, run)
 _FLAT = _ws("text")
 QUERIES = {
     f.__name__: f
-    for f in (tokenize_freq, tokens_without_stopwords, script_counts, detect_language, sentence_split, normalize_preview, text_dedup_md5, doc_id_hash, document_titles, ingest_antijoin, heading_segments, chunk_by_length, chunk_structure, inject_strip, html_extract, chunk_ordinals, number_format)
+    for f in (tokenize_freq, tokens_without_stopwords, tokens_by_language, script_counts, detect_language, sentence_split, normalize_preview, text_dedup_md5, doc_id_hash, document_titles, ingest_antijoin, heading_segments, chunk_by_length, chunk_structure, inject_strip, html_extract, chunk_ordinals, number_format)
 }
 SQL = {
     "tokenize_freq": f"SELECT term, count(*) AS n FROM (SELECT unnest({raw_tokens_sql('text')}) AS term FROM documents) t GROUP BY term",
