@@ -16,7 +16,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English questions: a stated set of the evaluation items."""
+    """The questions of all evaluation items, in every language."""
+    items = table(spark, sf_dir, "golden_items").where("question is not null").groupBy(F.col("item_id").alias("qid"))
+    return items.agg(F.min("question").alias("question"))
+
+
+def _ascii_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions that the SQL of bm25_topk and bm25_normalised asks; the queries named _all ask every one."""
     items = table(spark, sf_dir, "golden_items").where(F.col("question").rlike("^[ -~]+$")).groupBy(F.col("item_id").alias("qid"))
     return items.agg(F.min("question").alias("question"))
 
@@ -30,13 +36,29 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.term_stats(_en_postings(spark, sf_dir), n).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def _best(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    return retrieval.bm25(docs, questions, "doc_id").select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _normalised(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    best = F.max("score").over(Window.partitionBy("qid"))
+    return retrieval.bm25(docs, questions, "doc_id", 8).select("qid", "doc_id", F.round(F.col("score") / best, 4).alias("score"))
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), "doc_id").select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _best(_docs(spark, sf_dir), _ascii_questions(spark, sf_dir))
+
+
+def bm25_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(_docs(spark, sf_dir), _questions(spark, sf_dir))
 
 
 def bm25_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = F.max("score").over(Window.partitionBy("qid"))
-    return retrieval.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), "doc_id", 8).select("qid", "doc_id", F.round(F.col("score") / best, 4).alias("score"))
+    return _normalised(_docs(spark, sf_dir), _ascii_questions(spark, sf_dir))
+
+
+def bm25_normalised_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalised(_docs(spark, sf_dir), _questions(spark, sf_dir))
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +204,7 @@ _ASKED = "SELECT item_id AS qid, min(question) AS question FROM golden_items WHE
 QUERIES = {
     f.__name__: f
     for f in (
-        term_stats, bm25_topk, bm25_normalised, hash_embed, hashed_search, l2_norm, cosine_topk, maxsim_rank, hybrid_rrf, rerank_squash, catalog_lookup,
+        term_stats, bm25_topk, bm25_topk_all, bm25_normalised, bm25_normalised_all, hash_embed, hashed_search, l2_norm, cosine_topk, maxsim_rank, hybrid_rrf, rerank_squash, catalog_lookup,
         evidence_dedup, rrf_fuse, greedy_pack, citation_extract, claim_split, lexical_support, verify_report, judge_lexical, eval_summary, extractive_answer, retrieved_answers,
     )
 }
