@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import use_shared_checkpoints
+from ..session import spread, use_shared_checkpoints
 
 # Which types an edge may join.
 DOMAINS = [("MADE_BY", "PRODUCT", "COMPANY"), ("SUPPLIES", "COMPANY", "COMPANY"), ("SUPPLIES", "COMPANY", "PRODUCT"), ("COMPLIES_WITH", "PRODUCT", "STANDARD"), ("COMPLIES_WITH", "COMPANY", "STANDARD"), ("LOCATED_IN", "COMPANY", "LOCATION"), ("LOCATED_IN", "PERSON", "LOCATION")]
@@ -91,3 +95,56 @@ def relations(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
     allowed = F.broadcast(domains(spark).join(cues, "type"))
     met = pairs.join(allowed, ["source_type", "target_type"]).where(F.exists("cues", lambda c: F.contains(F.col("gap"), c)))
     return met.groupBy("sentence_id", "source_id", "target_id").agg(F.min_by("type", "n").alias("type"))
+
+
+#: Length of the piece of a name by which it is looked up in texts.
+GRAM = 4
+
+
+@F.pandas_udf(T.StringType())
+def _folded(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: n.strip().casefold(), na_action="ignore")
+
+
+def _keyed(names: list[str]) -> tuple[dict[str, list[int]], list[int]]:
+    """Numbers of the names by the least frequent of their pieces; numbers of those shorter than a piece."""
+    pieces = [{n[k : k + GRAM] for k in range(len(n) - GRAM + 1)} for n in names]
+    count = Counter(g for own in pieces for g in own)
+    keyed: dict[str, list[int]] = {}
+    for k, own in enumerate(pieces):
+        if own:
+            keyed.setdefault(min(own, key=lambda g: (count[g], g)), []).append(k)
+    return keyed, [k for k, own in enumerate(pieces) if not own]
+
+
+def link_names(texts: DataFrame, key: str, text: str, names: DataFrame, shard_names: int = 200_000) -> DataFrame:
+    """key, id of the entities one of whose names (id, name) stands in the text, whatever its case and what it touches.
+
+    `shard_names` names are sent to tasks at most; more go in several passes over the texts. Names are
+    trimmed. Null and blank names, null texts link to nothing. Repeated texts and names give one row.
+    """
+    spark = texts.sparkSession
+    names = names.where("name is not null").select("id", _folded("name").alias("name")).where("name <> ''").distinct().persist()
+    shards = max(1, -(-names.select("name").distinct().count() // shard_names))
+    texts = spread(texts.select(key, text).where(F.col(text).isNotNull()))
+    out = None
+    for shard in range(shards):
+        part = names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == shard)
+        each = [r["name"] for r in part.select("name").distinct().toLocalIterator()]
+        shared = spark.sparkContext.broadcast((each, *_keyed(each)))
+
+        def run(batches, shared=shared):
+            each, keyed, short = shared.value
+            for pdf in batches:
+                rows = []
+                for k, x in zip(pdf[key], pdf[text]):
+                    x = x.casefold()
+                    near = keyed.keys() & {x[i : i + GRAM] for i in range(len(x) - GRAM + 1)}
+                    rows += [(k, each[n]) for g in near for n in keyed[g] if each[n] in x]
+                    rows += [(k, each[n]) for n in short if each[n] in x]
+                yield pd.DataFrame(rows, columns=[key, "name"])
+
+        found = texts.mapInPandas(run, T.StructType([texts.schema[key], T.StructField("name", T.StringType())]))
+        found = found.join(part, "name").select(key, "id")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()

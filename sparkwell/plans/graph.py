@@ -92,13 +92,24 @@ def kg_extract_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_relations(sentences, extraction.extract_mentions(sentences))
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, name: what each entity is called, by itself and where it is mentioned."""
+    entities = table(spark, sf_dir, "entities").select("id", "name").distinct()
+    keys = entities.select("id", normal_key_udf("id").alias("key")).distinct()
+    surfaces = table(spark, sf_dir, "mentions").where("entity_id is not null").select("entity_id", F.col("surface").alias("name")).distinct()
+    surfaces = surfaces.withColumn("key", normal_key_udf("entity_id")).join(keys, "key")
+    return entities.unionByName(surfaces.select("id", "name"))
+
+
 def seed_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities that a document's title names in full: joined on the words of the name, then checked."""
-    titles = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring_index("text", "\n", 3)).alias("head"))
-    words = titles.select("doc_id", "head", F.explode(F.array_distinct(F.split("head", r"[^\p{L}\p{N}]+"))).alias("w")).where("w <> ''")
-    names = table(spark, sf_dir, "entities").select("id", F.lower(F.trim("name")).alias("name")).distinct()
-    names = names.withColumn("w", F.element_at(F.array_sort(F.filter(F.split("name", r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda a, b: F.length(b) - F.length(a)), 1))
-    return words.join(names, "w").where(F.contains(F.col("head"), F.col("name"))).select("doc_id", "id").distinct()
+    """Entities that a document names in full, by their name or a surface that mentions record."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return graph.link_names(documents, "doc_id", "text", _names(spark, sf_dir))
+
+
+def seed_link_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the questions of the evaluation items."""
+    return graph.link_names(_questions(spark, sf_dir), "qid", "question", _names(spark, sf_dir))
 
 
 def kg_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +194,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        kg_stats, kg_upsert, kg_edge_domain, kg_used_entities, kg_neighbours, kg_walk, kg_paths, kg_chunks, kg_relations, kg_extract, kg_extract_relations, seed_link, kg_normalize, route_tool, decompose_split,
+        kg_stats, kg_upsert, kg_edge_domain, kg_used_entities, kg_neighbours, kg_walk, kg_paths, kg_chunks, kg_relations, kg_extract, kg_extract_relations, seed_link, seed_link_questions, kg_normalize, route_tool, decompose_split,
         events_tumbling, events_sliding, events_sessions, events_stream, step_budget, stream_ingest,
     )
 }
