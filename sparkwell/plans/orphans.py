@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normal_key_udf
-from ..operators.orphans import orphan_references, orphan_report
+from ..operators.orphans import key_numbers, orphan_references, orphan_report, runs_of
 from ..session import table
 
 
@@ -19,18 +19,24 @@ def customer_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = orders.groupBy("id").agg(F.min("loaded_at").alias("loaded_at"), F.collect_set("customer_id").alias("customer_ids"))
     refs = _ref(first.withColumn("customer_id", F.explode("customer_ids")), "sales_orders", "customer_id", "id", "customer_id", "loaded_at")
     parents = table(spark, sf_dir, "customers").select(F.col("id").alias("key"), "created_at", "deleted_at")
-    return orphan_references(refs, parents, hashed=False).withColumn("key", F.col("key").cast("string"))
+    return orphan_references(refs, parents).withColumn("key", F.col("key").cast("string"))
 
 
-def entity_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _entity_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = table(spark, sf_dir, "mentions")
-    edges = table(spark, sf_dir, "edges")
     refs = _ref(mentions, "mentions", "entity_id", "mention_id", "entity_id", "seen_at")
-    for side in ("source_id", "target_id"):
-        refs = refs.unionByName(_ref(edges, "edges", side, "edge_id", side, "seen_at"))
-    refs = refs.withColumn("key", normal_key_udf("key"))
-    parents = table(spark, sf_dir, "entities").select(normal_key_udf("id").alias("key"), "created_at", "deleted_at")
-    return orphan_references(refs, parents, hashed=True)
+    # both ends of an edge from one scan
+    ends = F.explode(F.array(F.struct(F.lit("source_id").alias("field"), F.col("source_id").alias("id")), F.struct(F.lit("target_id").alias("field"), F.col("target_id").alias("id"))))
+    edges = table(spark, sf_dir, "edges").select("edge_id", "seen_at", ends.alias("end"))
+    return refs.unionByName(edges.select(F.lit("edges").alias("ref_table"), F.col("end.field").alias("ref_field"), F.col("edge_id").cast("long").alias("row_id"), F.col("end.id").alias("key"), F.col("seen_at").alias("at")))
+
+
+def _entity_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "entities").select(F.col("id").alias("key"), "created_at", "deleted_at")
+
+
+def entity_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphan_references(_entity_references(spark, sf_dir), _entity_lives(spark, sf_dir), normal_key_udf)
 
 
 def p1_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,16 +51,20 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(p1_orphans(spark, sf_dir))
 
 
+def _run_report(runs: DataFrame) -> DataFrame:
+    length = F.col("run_end") - F.col("run_start") + 1
+    return runs.groupBy("key_range").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.count("*").alias("n_runs"), F.sum(length).alias("n_keys"), F.max(length).alias("longest"))
+
+
 def p1_customer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contiguous runs of customer ids that the match is made against, joined over range borders."""
-    from pyspark.sql import Window
+    """What the runs of customer ids, against which the match is made, look like in each key range."""
+    return _run_report(runs_of(table(spark, sf_dir, "customers").select(F.col("id").alias("k"))))
 
-    from ..operators.orphans import runs_of
 
-    runs = runs_of(table(spark, sf_dir, "customers").select(F.col("id").alias("k")), 14)
-    # one row per run of the id space: far fewer than ids, and ranged by the same high bits
-    first = runs.groupBy("key_range").agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.count("*").alias("n_runs"), F.sum(F.col("run_end") - F.col("run_start") + 1).alias("n_keys"))
-    return first.select("key_range", "run_start", "run_end", "n_runs", "n_keys")
+def p1_entity_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for entity keys, by the number of the key among all keys of entities and references."""
+    refs, lives = _entity_references(spark, sf_dir), _entity_lives(spark, sf_dir)
+    return _run_report(runs_of(key_numbers(refs, lives, normal_key_udf)[1].where("is_parent")))
 
 
 # Full-width forms, as NFKC folds them; written by rule.
@@ -90,12 +100,23 @@ WITH refs AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_customer_runs": p1_customer_runs}
+_RUNS = """
+r AS (SELECT *, coalesce(k <> lag(k) OVER (PARTITION BY key_range ORDER BY k) + 1, true) AS starts FROM k),
+n AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY key_range ORDER BY k) AS run FROM r),
+l AS (SELECT key_range, min(k) AS run_start, max(k) AS run_end, count(*) AS size FROM n GROUP BY key_range, run)
+SELECT key_range, min(run_start) AS run_start, max(run_end) AS run_end, count(*) AS n_runs, CAST(sum(size) AS BIGINT) AS n_keys, max(size) AS longest FROM l GROUP BY key_range"""
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_customer_runs": p1_customer_runs, "p1_entity_runs": p1_entity_runs}
 SQL = {
     "p1_found": _ORPHANS_SQL + "SELECT DISTINCT ref_table, ref_field, row_id, reason FROM orphans",
     "p1_report": _ORPHANS_SQL + "SELECT ref_table, ref_field, strftime(ref_at, '%Y-%m') AS period, reason, count(*) AS n_refs, count(DISTINCT key) AS n_keys FROM orphans GROUP BY ALL",
-    "p1_customer_runs": """
-WITH k AS (SELECT DISTINCT id, id >> 14 AS key_range FROM customers WHERE id IS NOT NULL),
-r AS (SELECT *, coalesce(id <> lag(id) OVER (PARTITION BY key_range ORDER BY id) + 1, true) AS starts FROM k)
-SELECT key_range, min(id) AS run_start, max(id) AS run_end, CAST(sum(CAST(starts AS INT)) AS BIGINT) AS n_runs, count(*) AS n_keys FROM r GROUP BY key_range""",
+    "p1_customer_runs": "WITH k AS (SELECT DISTINCT id AS k, id >> 14 AS key_range FROM customers WHERE id IS NOT NULL)," + _RUNS,
+    "p1_entity_runs": f"""
+WITH ids AS (SELECT {_key_sql("id")} AS key, true AS parent FROM entities WHERE id IS NOT NULL
+  UNION SELECT {_key_sql("entity_id")}, false FROM mentions WHERE entity_id IS NOT NULL
+  UNION SELECT {_key_sql("source_id")}, false FROM edges WHERE source_id IS NOT NULL
+  UNION SELECT {_key_sql("target_id")}, false FROM edges WHERE target_id IS NOT NULL),
+one AS (SELECT key, bool_or(parent) AS parent FROM ids GROUP BY key),
+d AS (SELECT *, row_number() OVER (ORDER BY key) AS number FROM one),
+k AS (SELECT number AS k, number >> 14 AS key_range FROM d WHERE parent),""" + _RUNS,
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from sparkwell.functions import lang, text
 from sparkwell.functions.normalize import normal_key
 from sparkwell.operators import assembly, graph, ingest, relational, retrieval, verification
-from sparkwell.operators.orphans import orphan_references, runs_of
+from sparkwell.operators.orphans import key_numbers, orphan_references, runs_of
+from sparkwell.session import once
 from sparkwell.streaming import events as streams
 
 REFS = "ref_table string, ref_field string, row_id long, key {}, at timestamp"
@@ -23,26 +24,42 @@ def test_orphan_reasons(spark):
     parents = spark.createDataFrame([(1, DAY(0), None), (2, DAY(5), None), (3, DAY(0), DAY(2)), (3, DAY(4), None), (7, None, None), (None, DAY(0), None)], LIVES.format("long"))
     rows = [("t", "f", 1, 1, DAY(1)), ("t", "f", 2, 2, DAY(1)), ("t", "f", 3, 3, DAY(3)), ("t", "f", 4, 9, DAY(1)), ("t", "f", 5, None, DAY(1)), ("t", "f", 6, 9, None), ("t", "f", 7, 1, None), ("t", "f", 8, 7, DAY(0)), ("t", "f", 4, 9, DAY(1))]
     refs = spark.createDataFrame(rows, REFS.format("long"))
-    assert found(orphan_references(refs, parents, hashed=False)) == [(2, "late"), (3, "deleted"), (4, "missing"), (6, "missing")]
-    assert found(orphan_references(refs, parents.limit(0), hashed=False)) == [(k, "missing") for k in (1, 2, 3, 4, 6, 7, 8)]
-    assert found(orphan_references(refs.limit(0), parents, hashed=False)) == []
+    assert found(orphan_references(refs, parents)) == [(2, "late"), (3, "deleted"), (4, "missing"), (6, "missing")]
+    assert found(orphan_references(refs, parents.limit(0))) == [(k, "missing") for k in (1, 2, 3, 4, 6, 7, 8)]
+    assert found(orphan_references(refs.limit(0), parents)) == []
 
 
 def test_orphans_against_brute_force_with_a_hot_key(spark):
     r = random.Random(3)
     parents = [(f"K:{r.randrange(40)}", DAY(r.randrange(20)), DAY(20 + r.randrange(20)) if r.random() < 0.5 else None) for _ in range(60)]
-    refs = [("t", "f", n, "K:1" if n % 3 == 0 else f"K:{r.randrange(60)}", DAY(r.randrange(45))) for n in range(400)]
+    refs = [("t", "f", n, ("k:1" if n % 2 else "K:1") if n % 3 == 0 else f"K:{r.randrange(60)}", DAY(r.randrange(45))) for n in range(400)]
     expected = []
     for _, _, n, key, at in refs:
-        own = [p for p in parents if p[0] == key]
+        own = [p for p in parents if p[0] == key.upper()]
         if not own:
             expected.append((n, "missing"))
         elif not any(c <= at and (d is None or d > at) for _, c, d in own):
             expected.append((n, "late" if all(c > at for _, c, _ in own) else "deleted"))
-    got = orphan_references(spark.createDataFrame(refs, REFS.format("string")), spark.createDataFrame(parents, LIVES.format("string")), hashed=True)
+    got = orphan_references(spark.createDataFrame(refs, REFS.format("string")), spark.createDataFrame(parents, LIVES.format("string")), F.upper)
     assert found(got) == sorted(expected)
 
 
+def test_text_keys_get_dense_numbers(spark):
+    refs = spark.createDataFrame([("t", "f", n, k, DAY(1)) for n, k in enumerate(["b", "d", "a", "d", None, ""])], REFS.format("string"))
+    parents = spark.createDataFrame([(k, DAY(0), None) for k in ["c", "B", "a", "e", "e", None]], LIVES.format("string"))
+    keys = key_numbers(refs, parents, F.lower)[1].orderBy("k").collect()
+    assert [(r["k"], r["key"], r["is_parent"]) for r in keys] == [(1, "", False), (2, "a", True), (3, "b", True), (4, "c", True), (5, "d", False), (6, "e", True)]
+    assert found(orphan_references(refs, parents, F.lower)) == [(1, "missing"), (3, "missing"), (5, "missing")]
+
+
+def test_repeated_rows_of_a_scan_once(spark, tmp_path):
+    rows = [(1, "x", "p"), (1, "x", "q"), (1, None, "r"), (1, "", "s"), (1, None, "t"), (2, "x", "u"), (None, "x", "v"), (None, "x", "w")]
+    spark.createDataFrame(rows, "k long, t string, other string").write.parquet(str(tmp_path / "t"))
+    got = once(spark.read.parquet(str(tmp_path / "t")), "k", "t").collect()
+    assert sorted((r["k"] or 0, r["t"] is None, r["t"] or "") for r in got) == [(0, False, "x"), (1, False, ""), (1, False, "x"), (1, True, ""), (2, False, "x")]
+    assert once(spark.read.parquet(str(tmp_path / "t")).where("k = 2"), "k", "t").count() == 1
+
+
 def test_runs_end_at_gaps_and_range_borders(spark):
     keys = spark.createDataFrame([(k,) for k in [1, 2, 3, 7, 8, 15, 16, 17, 3]], "k long")
     assert sorted((r["run_start"], r["run_end"]) for r in runs_of(keys, 4).collect()) == [(1, 3), (7, 8), (15, 15), (16, 17)]
