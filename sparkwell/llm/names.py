@@ -1,31 +1,33 @@
 """Variant spellings of names: which records mean the same person or organisation.
 
 A name is taken apart into its core (what the organisation is called, or the
-surname), a first name and a trade; legal forms, titles and remarks in brackets are
-left out. Core words are folded: case, diacritics, doubled letters and letters often
-written for one another. Equal forms become one representative at once.
+surname), a first name, a trade and codes (words with figures, words of places); legal forms, titles and
+remarks in brackets are left out. The word lists are a parameter. Core words are folded: case, diacritics,
+doubled letters and letters often written for one another. Equal forms become one representative at once.
 
 Suffix blocking finds candidates. Every core word is indexed by its suffixes above a
-minimum length, and so are the consonants of the whole core in either order of its
+minimum length, and so are its consonants and those of the whole core in either order of its
 words, which a wrong vowel or a swap of neighbours leaves as they are. A suffix of
 more than `common` representatives isn't used as it is: it is refined with the
-consonants of the rest of the core, at its start and at its end. Candidates are
+consonants of the rest of the core, at its start and at its end, as often as it takes. Candidates are
 compared by the ratio of their longest common subsequence, in either order of words;
-first names (with nicknames and initials) and trades must not contradict, nor may a
+first names (with nicknames and initials), trades and codes must not contradict, nor may a
 name that tells neither join two organisations of different trades. Links are
 closed to classes by alternating large-star and small-star steps.
 
-Defined results: null and blank names, and names without a core, link to nothing.
-Equal names are linked. Customers and entities are never compared with each other.
-Repeated rows count once. Empty tables give no rows.
+Defined results: null and blank names link to nothing, and have no class. Every other name has one.
+Equal names are linked, also those of titles, legal forms, first names or marks only.
+Customers and entities are never compared with each other. Repeated rows count once. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,27 +36,29 @@ from pyspark.sql import types as T
 from ..session import use_shared_checkpoints
 
 SUFFIX, SKELETON, COMMON = 4, 5, 12
+#: How often a block that stays large is refined, each time with two more consonants of either end.
+LEVELS = 4
+#: A refined block may be so many times as large before it is refined again: that parts more of the misspelt.
+DEEPER = 10
 
-# Nicknames by first name; legal forms; trades with their short forms; titles; words of places.
+# Fixed values, the defaults of `Words`: nicknames by first name; legal forms; trades with their short forms; titles; words of places.
 NICKNAMES = {
-    "alexandra": "alex sascha sandra lexi", "antonia": "toni nia", "bartholomew": "bart barty", "benedikt": "bene ben", "christopher": "chris kit",
-    "dorothea": "dora thea", "elisabeth": "lisa ela betty liz elsa", "emmanuel": "manu emil", "frederike": "rike freddy", "gabriele": "gabi ela", "josephine": "josie fina",
-    "katharina": "kati kathi kate", "konstantin": "konni kosta", "leopold": "leo poldi", "magdalena": "lena magda", "margarethe": "greta grete", "maximilian": "max maxi",
-    "nathaniel": "nat nate", "raphael": "rafa raffi", "rosalinde": "rosa linde", "sebastian": "basti seb", "theodor": "theo teddy", "valentin": "val valti", "wilhelmina": "willa mina",
+    "alexander": "alex sascha sandy xander", "alexandra": "alex sascha sandra lexi", "andreas": "andi andy", "anthony": "tony ant", "antonia": "toni nia", "bartholomew": "bart barty", "benedikt": "bene ben",
+    "benjamin": "ben benny", "catherine": "cathy kate katie cat", "christopher": "chris kit topher", "daniel": "dan danny", "dorothea": "dora thea", "edward": "ed eddie ted ned", "elisabeth": "lisa ela betty liz elsa",
+    "elizabeth": "liz beth betty eliza lizzie", "emmanuel": "manu emil", "frederick": "fred freddy", "frederike": "rike freddy", "friedrich": "fritz fred", "gabriele": "gabi ela", "heinrich": "heinz heiner", "james": "jim jimmy jamie",
+    "johannes": "hannes hans jo", "john": "jack johnny", "josef": "sepp jupp", "joseph": "joe joey", "josephine": "josie fina", "katharina": "kati kathi kate", "konstantin": "konni kosta", "leopold": "leo poldi",
+    "magdalena": "lena magda", "margaret": "maggie meg peggy", "margarethe": "greta grete", "matthew": "matt", "maximilian": "max maxi", "michael": "mike mick micha", "mohammed": "mohamed muhammad mo", "nathaniel": "nat nate",
+    "nicholas": "nick nico", "patricia": "pat patty trish", "raphael": "rafa raffi", "richard": "rick dick richie", "robert": "bob rob bobby robbie", "rosalinde": "rosa linde", "samuel": "sam sammy", "sebastian": "basti seb",
+    "stephan": "steffen steve", "susanne": "susi sanne", "theodor": "theo teddy", "thomas": "tom tommy", "valentin": "val valti", "wilhelm": "willi willy", "wilhelmina": "willa mina", "william": "bill billy will liam",
 }
-LEGAL = set("gmbh mbh gesellschaft ag aktiengesellschaft inc incorporated ltd limited sa soc societe anonyme co kg and und plc llc corp company".split())
+LEGAL = "gmbh mbh gesellschaft ag aktiengesellschaft inc incorporated ltd limited sa soc societe anonyme co kg and und plc llc llp corp corporation company se nv bv spa srl oy ab ohg gbr ug ev kgaa"
 TRADES = {
     "engineering": "eng", "systems": "sys", "robotics": "rob", "technologies": "tech", "automotive": "auto", "freight": "frt", "foods": "fds", "distribution": "distr",
     "manufacturing": "mfg", "warehousing": "whsg", "international": "intl", "pharma": "pharm", "logistik": "log logist logistics", "maschinenbau": "maschbau masch bau", "cold": "cc coldchain", "chain": "",
 }
-TITLES = set("hr herr frau mr mrs ms dr prof ing dipl jr sr".split())
-PLACES = set("yard park".split())
-
-_TRADE_OF = {short: full for full, shorts in TRADES.items() for short in [full, *shorts.split()]}
-_FIRST_OF: dict[str, set[str]] = {}
-for _full, _short in NICKNAMES.items():
-    for _x in [_full, *_short.split()]:
-        _FIRST_OF.setdefault(_x, set()).add(_full)
+TITLES = "hr herr frau mr mrs ms dr prof ing dipl jr sr"
+PLACES = "yard park"
+
 _BRACKETS = re.compile(r"[(（][^)）]*[)）]?")
 _PIECE = re.compile(r"[^\W_]+(?:\.[^\W_]+)*\.?")
 _CAMEL = re.compile(r"(?<=[a-zß-ÿ])(?=[A-ZÀ-Þ])")
@@ -93,59 +97,94 @@ def folded(word: str) -> str:
     return _TWICE.sub(r"\1", word.translate(_LIKE))
 
 
-_known_words: dict[str, tuple[str, str]] = {}
-
-
-def _role(word: str) -> tuple[str, str]:
-    """What a plain word is: legal, title, place, model, first (with its names), trade or core."""
-    role = _known_words.get(word)
-    if role is None:
-        asked = word
+class Words:
+    """The word lists that names are read with. None is needed: a name without listed words is all core."""
+
+    def __init__(self, nicknames: dict[str, str] = NICKNAMES, legal: str = LEGAL, trades: dict[str, str] = TRADES, titles: str = TITLES, places: str = PLACES):
+        self.legal, self.titles, self.places = set(legal.split()), set(titles.split()), set(places.split())
+        self.trade_of = {short: full for full, shorts in trades.items() for short in [full, *shorts.split()]}
+        self.first_of: dict[str, set[str]] = {}
+        for full, shorts in nicknames.items():
+            for x in [full, *shorts.split()]:
+                self.first_of.setdefault(x, set()).add(full)
+        # long words are known although they are misspelt
+        self.long = [("trade", w) for w in trades] + [("first", w) for w in nicknames] + [("legal", w) for w in self.legal if len(w) > 6]
+        self.bags = [(kind, w, Counter(w)) for kind, w in self.long]
+        self.known: dict[str, tuple[str, str]] = {}
+
+    def role(self, word: str) -> tuple[str, str]:
+        """What a plain word is: legal, title, place, code, first (with its names), trade, initial or core."""
+        role = self.known.get(word)
+        if role is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            role = self.known[word] = self._role(word)
+        return role
+
+    def _role(self, word: str) -> tuple[str, str]:
         # a zero or one among letters is a letter
-        read = word.translate(_DIGIT_LETTERS) if not word.isdigit() else word
-        if read in LEGAL or read in _TRADE_OF or read in _FIRST_OF or read in TITLES:
+        read = word.translate(_DIGIT_LETTERS) if sum(map(str.isalpha, word)) > 1 else word
+        if read in self.legal or read in self.trade_of or read in self.first_of or read in self.titles:
             word = read
-        if word in LEGAL:
-            role = ("legal", "")
-        elif word in TITLES:
-            role = ("title", "")
-        elif word in PLACES:
-            role = ("place", "")
-        elif _MODEL.fullmatch(word):
-            role = ("model", word)
-        elif word in _TRADE_OF:
-            role = ("trade", _TRADE_OF[word])
-        elif word in _FIRST_OF:
-            role = ("first", word)
-        elif len(word) == 1:
-            role = ("initial", word)
-        else:
-            role = ("core", word)
-            like = word.replace("0", "o").replace("1", "l")
-            if len(like) >= 4:
-                best = max((ratio(like, w), w) for w in [*TRADES, *NICKNAMES, "incorporated", "limited", "aktiengesellschaft", "gesellschaft", "anonyme"])
-                if best[0] >= (0.8 if len(like) > 5 else 0.86):
-                    role = ("trade", best[1]) if best[1] in TRADES else ("first", best[1]) if best[1] in NICKNAMES else ("legal", "")
-        if len(_known_words) > 200_000:
-            _known_words.clear()
-        _known_words[asked] = role
-    return role
-
-
-def parse(name: str) -> dict | None:
-    """core (folded words), first (plain, may be an initial), trade; None without a core, or for a place or model."""
+        if word in self.legal:
+            return "legal", ""
+        if word in self.titles:
+            return "title", ""
+        if word in self.places:
+            return "place", word
+        if _MODEL.fullmatch(word):
+            return "code", word
+        if word in self.trade_of:
+            return "trade", self.trade_of[word]
+        if word in self.first_of:
+            return "first", word
+        if len(word) == 1 and word.isascii():
+            return "initial", word
+        like = word.replace("0", "o").replace("1", "l")
+        return self._misspelt(like) or ("core", word)
+
+    def _misspelt(self, like: str) -> tuple[str, str] | None:
+        if len(like) < 4:
+            return None
+        least, bag, best = 0.8 if len(like) > 4 else 0.86, Counter(like), (0.0, "", "")
+        for kind, w, own in self.bags:
+            size = len(like) + len(w)
+            # letters in common bound the common subsequence
+            if 2 * min(len(like), len(w)) < least * size or 2 * sum((bag & own).values()) < least * size:
+                continue
+            near = 1.0 if bag == own and like[0] == w[0] else ratio(like, w)
+            best = max(best, (near, kind, w))
+        return (best[1], best[2] if best[1] != "legal" else "") if best[0] >= least else None
+
+    def same_first(self, a: str, b: str) -> bool:
+        if not a or not b or a == b:
+            return True
+        full = lambda x: self.first_of.get(x, {x})
+        if len(a) == 1 or len(b) == 1:
+            return any(x[0] == y[0] for x in full(a) | {a} for y in full(b) | {b})
+        return bool(full(a) & full(b)) or ratio(a, b) >= 0.8
+
+
+def parse(name: str, words: Words) -> dict | None:
+    """core (folded words), first (plain, may be an initial), trade, codes (what has to agree exactly); None if blank.
+
+    Codes are words with figures, and words of places: a model or a site is told apart by them. A name
+    of codes alone has them as its core. A name of nothing but first names, forms and titles, or without
+    letters, is its own code: it agrees with equal names only.
+    """
     text = _BRACKETS.sub(" ", unicodedata.normalize("NFKC", name))
-    core, first, initial, trade, company = [], "", "", "", False
+    core, codes, first, initial, trade, company = [], [], "", "", "", False
     for piece in _PIECE.findall(text.replace("&", " ")):
-        parts = [piece.replace(".", "")] if "." in piece else [piece]
-        if "." not in piece and not piece.isupper():
+        parts = [piece.replace(".", "")]
+        if "." not in piece and not piece.isupper() and words.role(plain(piece))[0] == "core":
+            # two words in one; a legal form of mixed case is one word
             parts = _CAMEL.split(piece)
         for part in parts:
             word = plain(part)
-            role, value = _role(word)
-            if role in ("place", "model"):
-                return None
-            if role == "legal":
+            role, value = words.role(word)
+            if role in ("place", "code"):
+                codes.append(value)
+            elif role == "legal":
                 company = True
             elif role == "trade":
                 # cold chain is one trade in two words
@@ -157,75 +196,129 @@ def parse(name: str) -> dict | None:
                 initial = value
             elif role == "core":
                 core.append(folded(word))
-    if not core or sum(map(len, core)) < 5:
-        return None
+    if not core:
+        if not codes:
+            whole = " ".join(plain(unicodedata.normalize("NFKC", name)).split())
+            return {"core": [whole.replace(" ", "")], "first": "", "trade": "", "codes": "="} if whole else None
+        core = [folded(c) for c in codes]
     if company:
         first = initial = ""
-    return {"core": core, "first": first or initial, "trade": trade}
+    return {"core": core, "first": first or initial, "trade": trade, "codes": " ".join(sorted(codes))}
+
 
+def blocks(core: list[str]) -> list[tuple[str, str, str]]:
+    """(block, letter before it, consonants of the rest) of a core.
 
-def blocks(core: list[str]) -> list[tuple[str, str]]:
-    """(suffix key, consonants of the rest) of a core."""
-    out: dict[str, str] = {}
+    Two names that share a suffix share the shorter ones too: the letter before tells where they part.
+    """
+    out: dict[str, tuple[str, str]] = {}
     bones = [_VOWELS.sub("", w) for w in core]
     for k, w in enumerate(core):
         rest = "".join(bones[:k] + bones[k + 1 :]) or bones[k]
         for a in range(max(1, len(w) - SUFFIX + 1)):
-            out.setdefault("w" + w[a:], rest)
+            out.setdefault("w" + w[a:], (w[a - 1] if a else "", rest))
+        if len(core) > 1 and len(bones[k]) > 2:
+            out.setdefault("b" + bones[k], ("", rest))
     for order in {tuple(bones), tuple(reversed(bones))}:
         whole = _TWICE.sub(r"\1", "".join(order))
         for a in range(max(1, len(whole) - SKELETON + 1)):
-            out.setdefault("s" + whole[a:], "".join(sorted(whole[: max(a, 2)])))
-    return list(out.items())
-
-
-def _first_agrees(a: str, b: str) -> bool:
-    if not a or not b or a == b:
-        return True
-    full = lambda x: _FIRST_OF.get(x, {x})
-    if len(a) == 1 or len(b) == 1:
-        return any(x[0] == y[0] for x in full(a) | {a} for y in full(b) | {b})
-    return bool(full(a) & full(b)) or ratio(a, b) >= 0.8
-
-
-def same_name(a: tuple, b: tuple, least: float, least_word: float) -> bool:
-    """Whether two parsed names (core, first, trade) mean the same."""
-    (ca, fa, ta), (cb, fb, tb) = a, b
-    if bool(fa) and bool(tb) or bool(fb) and bool(ta) or ta and tb and ta != tb or not _first_agrees(fa, fb):
-        return False
-    one, other = "".join(ca), "".join(cb)
-    if ratio(one, other) >= least:
-        if len(ca) == len(cb) == 2 and min(ratio(ca[0], cb[0]), ratio(ca[1], cb[1])) < least_word:
-            pass
-        else:
-            return True
-    if len(ca) == 2 and ratio(ca[1] + ca[0], other) >= least:
-        return len(cb) != 2 or min(ratio(ca[1], cb[0]), ratio(ca[0], cb[1])) >= least_word
-    return len(cb) == 2 and len(ca) != 2 and ratio(one, cb[1] + cb[0]) >= least
-
-
-PARSED = T.StructType([
-    T.StructField("space", T.StringType()), T.StructField("name", T.StringType()), T.StructField("form", T.StringType()),
-    T.StructField("core", T.ArrayType(T.StringType())), T.StructField("first", T.StringType()), T.StructField("trade", T.StringType()),
-])
-INDEXED = T.StructType([*PARSED.fields[:1], *PARSED.fields[2:], T.StructField("block", T.StringType()), T.StructField("rest", T.StringType())])
-
-
-def _parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out.setdefault("s" + whole[a:], ("", "".join(sorted(whole[: max(a, 2)]))))
+    return [(block, *x) for block, x in out.items()]
+
+
+def same_name(a: tuple, b: tuple, least: float, least_word: float, words: Words) -> bool:
+    """Whether two parsed names (core, first, trade, codes) mean the same."""
+    return bool(same_names([(a, b)], least, least_word, words)[0])
+
+
+def _letters(words: list[str], width: int) -> np.ndarray:
+    joined = "".join(w.ljust(width, "\0") for w in words)
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width)
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """ratio() of many pairs at once: each row of the bit-parallel recurrence is one step for all pairs."""
+    out = np.zeros(len(a))
+    sizes = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+    for k in np.flatnonzero(sizes > 62).tolist():
+        out[k] = ratio(a[k], b[k])
+    for low, width in ((0, 8), (8, 16), (16, 32), (32, 62)):
+        at = np.flatnonzero((sizes > low) & (sizes <= width))
+        if not len(at):
+            continue
+        left, right = [a[k] for k in at], [b[k] for k in at]
+        na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+        x, y = _letters(left, width), _letters(right, width)
+        powers = np.uint64(1) << np.arange(width, dtype=np.uint64)
+        full = (np.uint64(1) << na.astype(np.uint64)) - np.uint64(1)
+        row = full.copy()
+        for j in range(int(nb.max())):
+            m = ((x == y[:, j, None]) * powers).sum(1, dtype=np.uint64)
+            m &= row
+            row = np.where(j < nb, ((row + m) | (row - m)) & full, row)
+        left_over = (((row[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).sum(1)).astype(np.int64)
+        out[at] = 2 * (na - left_over) / (na + nb)
+    return out
+
+
+def same_names(pairs: list[tuple[tuple, tuple]], least: float, least_word: float, words: Words) -> np.ndarray:
+    """same_name of many pairs.
+
+    Words of two names of two words each must be alike one by one, short ones more so. Cores of
+    fewer than five letters must be equal.
+    """
+    n = len(pairs)
+    agree = [not (fa and tb or fb and ta or ta and tb and ta != tb) and xa == xb and (xa != "=" or ca == cb) and words.same_first(fa, fb) for (ca, fa, ta, xa), (cb, fb, tb, xb) in pairs]
+    at = np.flatnonzero(np.array(agree, bool))
+    cores = [(pairs[k][0][0], pairs[k][1][0]) for k in at]
+    out = np.zeros(n, bool)
+    if not len(at):
+        return out
+    two = np.array([len(ca) == len(cb) == 2 for ca, cb in cores], bool)
+    swaps = np.array([len(ca) == 2 or len(cb) == 2 for ca, cb in cores], bool)
+    one, other = ["".join(ca) for ca, _ in cores], ["".join(cb) for _, cb in cores]
+    turned = [(ca[1] + ca[0], "".join(cb)) if len(ca) == 2 else ("".join(ca), cb[1] + cb[0]) if len(cb) == 2 else ("", "") for ca, cb in cores]
+
+    def alike(mask: np.ndarray, turn: bool) -> np.ndarray:
+        """Whether the words of pairs of two words each agree."""
+        ok = np.ones(len(cores), bool)
+        k = np.flatnonzero(mask & two)
+        for i in (0, 1):
+            left, right = [cores[j][0][i] for j in k], [cores[j][1][1 - i if turn else i] for j in k]
+            short = np.array([min(len(x), len(y)) < 5 for x, y in zip(left, right)], bool)
+            ok[k] &= ratios(left, right) >= np.where(short, np.maximum(least_word, 0.8), least_word)
+        return ok
+
+    small = np.array([min(len(x), len(y)) < 5 for x, y in zip(one, other)], bool)
+    straight = ratios(one, other) >= np.where(small, 1.0, least)
+    straight &= alike(straight, False)
+    rest = swaps & ~straight
+    crossed = np.zeros(len(cores), bool)
+    k = np.flatnonzero(rest)
+    crossed[k] = ratios([turned[j][0] for j in k], [turned[j][1] for j in k]) >= np.where(small[k], 1.0, least)
+    crossed &= alike(crossed, True)
+    out[at] = straight | crossed
+    return out
+
+
+FORM = ("core", "first", "trade", "codes")
+PARSED = T.StructType([T.StructField(c, T.StringType()) for c in ("space", "name", *FORM)])
+
+
+def _parse_all(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for space, name in zip(pdf["space"], pdf["name"]):
-            p = parse(name)
+            p = parse(name, words)
             if p:
-                form = " ".join(p["core"]) + "|" + p["first"] + "|" + p["trade"]
-                rows.append((space, name, form, p["core"], p["first"], p["trade"]))
-        yield pd.DataFrame(rows, columns=[f.name for f in PARSED.fields])
+                rows.append((space, name, " ".join(p["core"]), p["first"], p["trade"], p["codes"]))
+        yield pd.DataFrame(rows, columns=PARSED.names)
 
 
 def _index_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(space, form, core, first, trade, key, rest) for space, form, core, first, trade in pdf.itertuples(index=False) for key, rest in blocks(list(core))]
-        yield pd.DataFrame(rows, columns=[f.name for f in INDEXED.fields])
+        rows = [(node, *x) for node, core in zip(pdf["node"], pdf["core"]) for x in blocks(core.split(" "))]
+        yield pd.DataFrame(rows, columns=["node", "block", "before", "rest"])
 
 
 def flavour(first: str, trade: str) -> str:
@@ -233,13 +326,15 @@ def flavour(first: str, trade: str) -> str:
     return trade or (first and "person")
 
 
-def _compare_all(batches: Iterator[pd.DataFrame], least: float, least_word: float) -> Iterator[pd.DataFrame]:
+LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("flavour_a", T.StringType()), T.StructField("flavour_b", T.StringType())])
+
+
+def _compare_all(batches: Iterator[pd.DataFrame], least: float, least_word: float, words: Words) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for a, b, ca, fa, ta, cb, fb, tb in zip(*(pdf[c] for c in ("a", "b", "core", "first", "trade", "core2", "first2", "trade2"))):
-            if same_name((list(ca), fa, ta), (list(cb), fb, tb), least, least_word):
-                rows.append((a, b, flavour(fa, ta), flavour(fb, tb)))
-        yield pd.DataFrame(rows, columns=["a", "b", "flavour_a", "flavour_b"])
+        sides = [list(zip(map(str.split, pdf["core" + x]), pdf["first" + x], pdf["trade" + x], pdf["codes" + x])) for x in ("", "2")]
+        same = same_names(list(zip(*sides)), least, least_word, words)
+        rows = [(a, b, flavour(x[1], x[2]), flavour(y[1], y[2])) for a, b, x, y, ok in zip(pdf["a"], pdf["b"], *sides, same.tolist()) if ok]
+        yield pd.DataFrame(rows, columns=LINK.names)
 
 
 def without_contradictions(links: DataFrame) -> DataFrame:
@@ -258,52 +353,85 @@ def without_contradictions(links: DataFrame) -> DataFrame:
 
 
 def connected(spark, links: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """node, root (the least node of its class) from links (a, b), by large-star and small-star."""
+    """node, root (the least node of its class) from links (a, b), by large-star and small-star.
+
+    Each round ends in stars or goes on: once no centre has a centre of its own, the classes are there.
+    """
     use_shared_checkpoints(spark)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
-    before = None
     for _ in range(most_rounds):
+        ends = edges.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w"))
+        centres = edges.select(F.col("v").alias("u")).distinct()
+        if ends.where("v <> w").isEmpty() and edges.join(centres, "u", "left_semi").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = small.where("u <> v").distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        edges = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
     else:
         raise RuntimeError("classes did not settle")
-    roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def link_names(names: DataFrame, common: int = COMMON, least: float = 0.82, least_word: float = 0.7) -> DataFrame:
+def candidate_pairs(forms: DataFrame, common: int = COMMON, least: float = 0.0) -> DataFrame:
+    """a < b: nodes of forms (node, space, core, first, trade, codes) that share a block and may be alike.
+
+    A block of more than `common` forms is refined with two consonants of the rest of the core, at its start
+    and at its end; one that still has DEEPER times as many with four, and so on, up to LEVELS times. What stays large then differs in hardly more than vowels:
+    its pairs are compared as they are, by a join that Spark splits.
+    """
+    use_shared_checkpoints(forms.sparkSession)
+    schema = T.StructType([forms.schema["node"], *[T.StructField(c, T.StringType()) for c in ("block", "before", "rest")]])
+    # Spark joins what it can in one stage of few tasks: the number of tasks is told, as a form is worth some work
+    index = forms.select("node", "core").mapInPandas(_index_all, schema)
+    own = forms.select("node", F.concat_ws("\x1f", "space", "codes").alias("within"), "first", "trade", F.length(F.replace("core", F.lit(" "), F.lit(""))).alias("size"))
+    index = index.join(own, "node").withColumn("part", F.lit("")).checkpoint()
+    done, key = None, ["within", "block", "part"]
+    for level in range(1, LEVELS + 1):
+        most = common if level == 1 else DEEPER * common
+        large = index.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*key, F.lit(True).alias("large")).checkpoint()
+        if large.isEmpty():
+            break
+        index = index.join(large, key, "left")
+        small = index.where("large is null").drop("large")
+        done = small if done is None else done.unionByName(small)
+        # the start and the end go their own ways from the first level on
+        side = F.substring("part", 1, 1)
+        start, end = F.concat(F.lit("<"), F.substring("rest", 1, 2 * level)), F.concat(F.lit(">"), F.expr(f"right(rest, {2 * level})"))
+        parts = F.when(side == "<", F.array(start)).when(side == ">", F.array(end)).otherwise(F.array(start, end))
+        index = index.where("large").drop("large").withColumn("part", F.explode(parts))
+    index = index if done is None else done.unionByName(index)
+    other = index.select(*key, *[F.col(c).alias(c + "2") for c in ("node", "before", "first", "trade", "size")])
+    met = index.join(other, key).where("node < node2")
+    # a longer suffix in common has its own block
+    met = met.where("before = '' or before <> before2")
+    met = met.where("not (trade <> '' and trade2 <> '' and trade <> trade2) and not (first <> '' and trade2 <> '') and not (trade <> '' and first2 <> '')")
+    met = met.where(2 * F.least("size", "size2") >= least * (F.col("size") + F.col("size2")))
+    return met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def link_names(names: DataFrame, common: int = COMMON, least: float = 0.82, least_word: float = 0.7, words: Words | None = None) -> DataFrame:
     """space, name, class_id: equal class ids mean the same person or organisation.
 
     names: space, name. Names of different spaces are never linked.
     """
     spark = names.sparkSession
     use_shared_checkpoints(spark)
+    words = words or Words()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = names.select("space", "name").where("name is not null").distinct()
-    parsed = distinct.mapInPandas(_parse_all, PARSED).checkpoint()
-    forms = parsed.groupBy("space", "form").agg(F.first("core").alias("core"), F.first("first").alias("first"), F.first("trade").alias("trade"))
-    index = forms.mapInPandas(_index_all, INDEXED)
-    size = index.groupBy("space", "block").agg(F.count("*").alias("n")).where(F.col("n") > common).select("space", "block", F.lit(True).alias("is_common"))
-    index = index.join(size, ["space", "block"], "left")
-    start, end = F.concat(F.lit("<"), F.substring("rest", 1, 2)), F.concat(F.lit(">"), F.substring("rest", -2, 2))
-    index = index.withColumn("part", F.explode(F.when(F.col("is_common"), F.array(start, end)).otherwise(F.array(F.lit(""))))).drop("is_common", "rest")
-    node = F.concat_ws("\x1f", "space", "form")
-    index = index.withColumn("node", node)
-    other = index.select("space", "block", "part", *[F.col(c).alias(c + "2") for c in ("core", "first", "trade", "node")])
-    met = index.join(other, ["space", "block", "part"]).where("node < node2")
-    pairs = met.select(F.col("node").alias("a"), F.col("node2").alias("b"), "core", "first", "trade", "core2", "first2", "trade2").dropDuplicates(["a", "b"])
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "b", "flavour_a", "flavour_b")])
-    links = pairs.mapInPandas(lambda batches: _compare_all(batches, least, least_word), schema).checkpoint()
+    # a told number of tasks: names are few bytes and much work
+    parsed = distinct.repartition(tasks).mapInPandas(lambda batches: _parse_all(batches, words), PARSED).checkpoint()
+    forms = parsed.select("space", *FORM).distinct().withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    pairs = candidate_pairs(forms.repartition(tasks), common, least)
+    left, right = forms.withColumnRenamed("node", "a").drop("space"), forms.select(F.col("node").alias("b"), *[F.col(c).alias(c + "2") for c in FORM])
+    pairs = pairs.join(left, "a").join(right, "b").repartition(tasks)
+    links = pairs.mapInPandas(lambda batches: _compare_all(batches, least, least_word, words), LINK).checkpoint()
     classes = connected(spark, without_contradictions(links))
-    parsed = parsed.withColumn("node", node)
-    return parsed.join(classes, "node", "left").select("space", "name", F.coalesce("root", "node").alias("class_id"))
+    rooted = forms.join(classes, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
+    return parsed.join(rooted.drop("node", "root"), ["space", *FORM]).select("space", "name", "class_id")
 
 
 def name_pairs(customers: DataFrame, entities: DataFrame, mentions: DataFrame, **settings) -> DataFrame:

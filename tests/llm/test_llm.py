@@ -133,6 +133,45 @@ def test_names(spark):
     assert names.name_pairs(customers.limit(0), entities.limit(0), mentions.limit(0)).count() == 0
 
 
+def _linked(spark, names_, **settings):
+    rows = names.link_names(spark.createDataFrame([("s", n) for n in names_], "space string, name string"), **settings).collect()
+    return {r["name"]: r["class_id"] for r in rows}
+
+
+def test_every_name_keeps_a_class(spark):
+    odd = ["BMW AG", "BMW", "Ford Inc", "3M Company", "3M", "7-Eleven Inc", "Studio 54 GmbH", "Studio 55 GmbH", "Robert Park", "Hyde Park Foods Ltd", "李伟", "GmbH", "Dr.", "Zeguvan M4", "Zeguvan M5", "Zeguvan Foods", "x", "=", "a|b", "Antonia"]
+    got = _linked(spark, [*odd, *odd, None, " "])
+    assert set(got) == set(odd)
+    assert got["BMW AG"] == got["BMW"] and got["3M Company"] == got["3M"]
+    assert len({got[n] for n in ("BMW AG", "Ford Inc", "3M", "7-Eleven Inc", "Studio 54 GmbH", "Studio 55 GmbH", "Robert Park", "Hyde Park Foods Ltd", "李伟", "Zeguvan M4", "Zeguvan M5", "Zeguvan Foods")}) == 12
+
+
+def test_names_without_the_word_lists_of_the_data(spark):
+    got = _linked(spark, ["Deutsche Bank AG", "Deutsche Bahn AG", "DEUTSCHE BANK", "Müller Bau GmbH", "Mueller Bau", "Bob Hanselmann", "Robert Hanselmann", "Bill Hanselmann", "William Hanselman"])
+    assert got["Deutsche Bank AG"] == got["DEUTSCHE BANK"] != got["Deutsche Bahn AG"]
+    assert got["Müller Bau GmbH"] == got["Mueller Bau"]
+    assert got["Bob Hanselmann"] == got["Robert Hanselmann"] != got["Bill Hanselmann"] == got["William Hanselman"]
+    none = names.Words({}, "", {}, "", "")
+    got = _linked(spark, ["Bofojel Welude", "Welude Bofoyel", "Bofojel Welude Systems", "Sehula Bofojel"], words=none)
+    assert got["Bofojel Welude"] == got["Welude Bofoyel"] != got["Sehula Bofojel"]
+
+
+def test_large_blocks_are_refined_and_lose_no_equal_pair(spark):
+    r = random.Random(9)
+    made = sorted({"".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)})[:200]
+    cores = [f"{w} tanobel" for w in made] + [f"{w[:-1]}x tanobel" for w in made[:50]]
+    forms = spark.createDataFrame([(n, "s", c, "", "", "") for n, c in enumerate(cores)], "node long, space string, core string, first string, trade string, codes string")
+    pairs = {(x["a"], x["b"]) for x in names.candidate_pairs(forms, common=5).collect()}
+    assert {(n, 200 + n) for n in range(50)} <= pairs
+    assert len(pairs) < len(cores) * (len(cores) - 1) / 4
+
+
+def test_ratios_of_many_pairs():
+    r = random.Random(4)
+    a, b = (["".join(r.choices("abcdé", k=r.choice([0, 3, 7, 12, 30, 61, 90]))) for _ in range(300)] for _ in range(2))
+    assert np.allclose(names.ratios(a, b), [names.ratio(x, y) for x, y in zip(a, b)])
+
+
 def test_lcs():
     r = random.Random(1)
     for _ in range(200):
