@@ -24,12 +24,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,8 +107,9 @@ class Words:
             for x in [full, *shorts.split()]:
                 self.first_of.setdefault(x, set()).add(full)
         # long words are known although they are misspelt
-        self.long = [("trade", w) for w in trades] + [("first", w) for w in nicknames] + [("legal", w) for w in self.legal if len(w) > 6]
-        self.bags = [(kind, w, Counter(w)) for kind, w in self.long]
+        self.long = [("trade", w) for w in trades] + [("first", w) for w in nicknames] + [("legal", w) for w in sorted(self.legal) if len(w) > 6]
+        self.bags = np.array([_bag(w) for _, w in self.long], np.int8).reshape(-1, 32)
+        self.sizes = np.array([len(w) for _, w in self.long], np.int64)
         self.known: dict[str, tuple[str, str]] = {}
 
     def role(self, word: str) -> tuple[str, str]:
@@ -146,13 +146,13 @@ class Words:
     def _misspelt(self, like: str) -> tuple[str, str] | None:
         if len(like) < 4:
             return None
-        least, bag, best = 0.8 if len(like) > 4 else 0.86, Counter(like), (0.0, "", "")
-        for kind, w, own in self.bags:
-            size = len(like) + len(w)
-            # letters in common bound the common subsequence
-            if 2 * min(len(like), len(w)) < least * size or 2 * sum((bag & own).values()) < least * size:
-                continue
-            near = 1.0 if bag == own and like[0] == w[0] else ratio(like, w)
+        least, best = 0.8 if len(like) > 4 else 0.86, (0.0, "", "")
+        bag = np.array(_bag(like), np.int8)
+        # letters in common bound the common subsequence
+        common = np.minimum(self.bags, bag).sum(1)
+        for k in np.flatnonzero(2 * common >= least * (self.sizes + len(like))).tolist():
+            kind, w = self.long[k]
+            near = 1.0 if common[k] == len(like) == len(w) and like[0] == w[0] else ratio(like, w)
             best = max(best, (near, kind, w))
         return (best[1], best[2] if best[1] != "legal" else "") if best[0] >= least else None
 
@@ -165,6 +165,15 @@ class Words:
         return bool(full(a) & full(b)) or ratio(a, b) >= 0.8
 
 
+def _bag(word: str) -> list[int]:
+    """How often each letter stands in a word, 31 letters and all others."""
+    out = [0] * 32
+    for ch in word:
+        k = ord(ch) - 96 if "a" <= ch <= "z" else 0
+        out[k] = min(127, out[k] + 1)
+    return out
+
+
 def parse(name: str, words: Words) -> dict | None:
     """core (folded words), first (plain, may be an initial), trade, codes (what has to agree exactly); None if blank.
 
@@ -384,34 +393,44 @@ def candidate_pairs(forms: DataFrame, common: int = COMMON, least: float = 0.0)
     """
     use_shared_checkpoints(forms.sparkSession)
     schema = T.StructType([forms.schema["node"], *[T.StructField(c, T.StringType()) for c in ("block", "before", "rest")]])
-    # Spark joins what it can in one stage of few tasks: the number of tasks is told, as a form is worth some work
     index = forms.select("node", "core").mapInPandas(_index_all, schema)
-    own = forms.select("node", F.concat_ws("\x1f", "space", "codes").alias("within"), "first", "trade", F.length(F.replace("core", F.lit(" "), F.lit(""))).alias("size"))
-    index = index.join(own, "node").withColumn("part", F.lit("")).checkpoint()
-    done, key = None, ["within", "block", "part"]
+    own = forms.select("node", "space", "codes", F.hash("trade").alias("trade"), (F.col("trade") != "").alias("has_trade"), (F.col("first") != "").alias("has_first"), F.length(F.replace("core", F.lit(" "), F.lit(""))).cast("short").alias("size"))
+    # blocks as hashes: a collision only adds a pair to compare
+    index = index.join(own, "node").withColumn("block", F.xxhash64("space", "codes", "block")).drop("space", "codes").withColumn("side", F.lit("")).withColumn("key", F.col("block")).checkpoint()
+    done = None
     for level in range(1, LEVELS + 1):
         most = common if level == 1 else DEEPER * common
-        large = index.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*key, F.lit(True).alias("large")).checkpoint()
+        large = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("large")).checkpoint()
         if large.isEmpty():
             break
-        index = index.join(large, key, "left")
-        small = index.where("large is null").drop("large")
+        index = index.join(large, "key", "left")
+        small = index.where("large is null").drop("large", "rest", "side", "block")
         done = small if done is None else done.unionByName(small)
         # the start and the end go their own ways from the first level on
-        side = F.substring("part", 1, 1)
-        start, end = F.concat(F.lit("<"), F.substring("rest", 1, 2 * level)), F.concat(F.lit(">"), F.expr(f"right(rest, {2 * level})"))
-        parts = F.when(side == "<", F.array(start)).when(side == ">", F.array(end)).otherwise(F.array(start, end))
-        index = index.where("large").drop("large").withColumn("part", F.explode(parts))
+        sides = F.when(F.col("side") == "", F.array(F.lit("<"), F.lit(">"))).otherwise(F.array("side"))
+        index = index.where("large").drop("large").withColumn("side", F.explode(sides))
+        part = F.when(F.col("side") == "<", F.substring("rest", 1, 2 * level)).otherwise(F.expr(f"right(rest, {2 * level})"))
+        index = index.withColumn("key", F.xxhash64("block", "side", part))
+    index = index.drop("rest", "side", "block")
     index = index if done is None else done.unionByName(index)
-    other = index.select(*key, *[F.col(c).alias(c + "2") for c in ("node", "before", "first", "trade", "size")])
-    met = index.join(other, key).where("node < node2")
+    other = index.select("key", *[F.col(c).alias(c + "2") for c in index.columns if c != "key"])
+    met = index.join(other, "key").where("node < node2")
     # a longer suffix in common has its own block
     met = met.where("before = '' or before <> before2")
-    met = met.where("not (trade <> '' and trade2 <> '' and trade <> trade2) and not (first <> '' and trade2 <> '') and not (trade <> '' and first2 <> '')")
+    met = met.where("not (has_trade and has_trade2 and trade <> trade2) and not (has_first and has_trade2) and not (has_trade and has_first2)")
     met = met.where(2 * F.least("size", "size2") >= least * (F.col("size") + F.col("size2")))
     return met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
+def _may_be_alike(least: float) -> Column:
+    """Edits bound the common subsequence: pairs of core and core2 that can't reach `least` in either order of words."""
+    solid = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    turned = lambda c: F.when(F.size(F.split(c, " ")) == 2, F.concat(F.element_at(F.split(c, " "), 2), F.element_at(F.split(c, " "), 1))).otherwise(solid(c))
+    most = (1 - least) * (F.length(solid(F.col("core"))) + F.length(solid(F.col("core2")))) + 1e-9
+    near = lambda a, b: F.levenshtein(a, b) <= most
+    return near(solid(F.col("core")), solid(F.col("core2"))) | near(turned(F.col("core")), solid(F.col("core2"))) | near(solid(F.col("core")), turned(F.col("core2")))
+
+
 def link_names(names: DataFrame, common: int = COMMON, least: float = 0.82, least_word: float = 0.7, words: Words | None = None) -> DataFrame:
     """space, name, class_id: equal class ids mean the same person or organisation.
 
@@ -427,7 +446,7 @@ def link_names(names: DataFrame, common: int = COMMON, least: float = 0.82, leas
     forms = parsed.select("space", *FORM).distinct().withColumn("node", F.monotonically_increasing_id()).checkpoint()
     pairs = candidate_pairs(forms.repartition(tasks), common, least)
     left, right = forms.withColumnRenamed("node", "a").drop("space"), forms.select(F.col("node").alias("b"), *[F.col(c).alias(c + "2") for c in FORM])
-    pairs = pairs.join(left, "a").join(right, "b").repartition(tasks)
+    pairs = pairs.join(left, "a").join(right, "b").where(_may_be_alike(least)).repartition(tasks)
     links = pairs.mapInPandas(lambda batches: _compare_all(batches, least, least_word, words), LINK).checkpoint()
     classes = connected(spark, without_contradictions(links))
     rooted = forms.join(classes, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
