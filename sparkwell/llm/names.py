@@ -324,10 +324,18 @@ def _parse_all(batches: Iterator[pd.DataFrame], words: Words) -> Iterator[pd.Dat
         yield pd.DataFrame(rows, columns=PARSED.names)
 
 
+INDEXED = T.StructType([
+    T.StructField("node", T.LongType()), T.StructField("within", T.StringType()), T.StructField("block", T.StringType()), T.StructField("before", T.StringType()), T.StructField("rest", T.StringType()),
+    T.StructField("trade", T.IntegerType()), T.StructField("has_first", T.BooleanType()), T.StructField("size", T.ShortType()),
+])
+
+
 def _index_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(node, *x) for node, core in zip(pdf["node"], pdf["core"]) for x in blocks(core.split(" "))]
-        yield pd.DataFrame(rows, columns=["node", "block", "before", "rest"])
+        rows = []
+        for node, within, core, trade, has_first, size in pdf[["node", "within", "core", "trade", "has_first", "size"]].itertuples(index=False):
+            rows += [(node, within, *x, trade, has_first, size) for x in blocks(core.split(" "))]
+        yield pd.DataFrame(rows, columns=INDEXED.names)
 
 
 def flavour(first: str, trade: str) -> str:
@@ -392,11 +400,12 @@ def candidate_pairs(forms: DataFrame, common: int = COMMON, least: float = 0.0)
     its pairs are compared as they are, by a join that Spark splits.
     """
     use_shared_checkpoints(forms.sparkSession)
-    schema = T.StructType([forms.schema["node"], *[T.StructField(c, T.StringType()) for c in ("block", "before", "rest")]])
-    index = forms.select("node", "core").mapInPandas(_index_all, schema)
-    own = forms.select("node", "space", "codes", F.hash("trade").alias("trade"), (F.col("trade") != "").alias("has_trade"), (F.col("first") != "").alias("has_first"), F.length(F.replace("core", F.lit(" "), F.lit(""))).cast("short").alias("size"))
+    size = F.length(F.replace("core", F.lit(" "), F.lit(""))).cast("short").alias("size")
+    # no trade is 0
+    trade = F.when(F.col("trade") != "", F.hash("trade")).otherwise(0).alias("trade")
+    index = forms.select("node", F.concat_ws("\x1f", "space", "codes").alias("within"), "core", trade, (F.col("first") != "").alias("has_first"), size).mapInPandas(_index_all, INDEXED)
     # blocks as hashes: a collision only adds a pair to compare
-    index = index.join(own, "node").withColumn("block", F.xxhash64("space", "codes", "block")).drop("space", "codes").withColumn("side", F.lit("")).withColumn("key", F.col("block")).checkpoint()
+    index = index.withColumn("block", F.xxhash64("within", "block")).drop("within").withColumn("side", F.lit("")).withColumn("key", F.col("block")).checkpoint()
     done = None
     for level in range(1, LEVELS + 1):
         most = common if level == 1 else DEEPER * common
@@ -417,7 +426,7 @@ def candidate_pairs(forms: DataFrame, common: int = COMMON, least: float = 0.0)
     met = index.join(other, "key").where("node < node2")
     # a longer suffix in common has its own block
     met = met.where("before = '' or before <> before2")
-    met = met.where("not (has_trade and has_trade2 and trade <> trade2) and not (has_first and has_trade2) and not (has_trade and has_first2)")
+    met = met.where("not (trade <> 0 and trade2 <> 0 and trade <> trade2) and not (has_first and trade2 <> 0) and not (trade <> 0 and has_first2)")
     met = met.where(2 * F.least("size", "size2") >= least * (F.col("size") + F.col("size2")))
     return met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
