@@ -110,11 +110,37 @@ def test_leaks_in_many_copies_are_no_stock(spark):
     assert sorted((r["item_id"], r["doc_id"]) for r in got.collect()) == sorted(expected)
 
 
+def test_leaks_do_not_depend_on_the_number_of_shards(spark):
+    docs = spark.createDataFrame([(k, f"Some text {k}. " + (ITEMS[k % len(ITEMS)][2] or "")) for k in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, question string, passage string")
+    got = [sorted((r["item_id"], r["doc_id"], r["n_sentences"]) for r in leaks.find_leaks(docs, items, shard_sentences=n).collect()) for n in (100_000, 7)]
+    assert got[0] == got[1] and len(got[0]) > 20
+
+
+def test_a_plain_pair_in_many_documents_is_no_stock_but_a_common_opener_is(spark):
+    r = random.Random(8)
+    plain = "The old cart waits quietly near the door. Nobody knows when the green gate opens."
+    opener = "Please read the whole page before you begin."
+    items = [(k, None, f"{opener} {ITEMS[k - 20 + 3][2]}") for k in range(20, 26)] + [(99, None, plain)]
+    docs = [(k, " ".join(f"Part {r.random()} of {r.random()}." for _ in range(5)) + (f" {plain}" if k % 400 == 0 else "") + (f" {opener} {ITEMS[3][2].split('. ')[0]}." if k == 7 else "")) for k in range(20_000)]
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string, passage string"))
+    assert sorted((r["item_id"], r["doc_id"]) for r in got.collect()) == [(99, k) for k in range(0, 20_000, 400)]
+
+
+@pytest.mark.parametrize("text", ["انخفض الجهد إلى", "Привет мир", "Καλημέρα"])
+def test_cleaning_keeps_letters(text):
+    assert len(leaks.cleaned(text).replace(" ", "")) == len(text.replace(" ", ""))
+
+
 def test_block_max_wand_finds_all_that_a_full_scan_finds():
     r = random.Random(2)
     vocabulary = [f"w{k}" for k in range(60)]
-    stored = [" ".join(r.choices(vocabulary, k=r.randrange(3, 12))) for _ in range(300)]
-    index = leaks.ItemIndex(stored, [{k} for k in range(300)], 3)
+    rows = []
+    for k in range(300):
+        own = sorted(set(r.choices(vocabulary, k=r.randrange(3, 12))))
+        w = [r.random() + 0.1 for _ in own]
+        rows.append((k, False, [(t, x / sum(w), False) for t, x in zip(own, w)]))
+    index = leaks.ItemIndex(rows)
     for _ in range(60):
         query = set(r.choices(vocabulary, k=8))
         full = {}
