@@ -31,15 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lang import ENGLISH_ONLY, GERMAN_ONLY, URDU_ONLY
 from ..session import spread, use_shared_checkpoints
 from .sentences import sentence_ends
 
 _WORD = re.compile(r"[㐀-䶿一-鿿]|[^\W\d_㐀-䶿一-鿿]+(?:['’-][^\W\d_㐀-䶿一-鿿]+)*")
 _WHOLE = re.compile(r"[.!?。！？؟۔…][\"”»’‘“)）\]*_]*$")
-# Frequent words that tell two languages of one script apart.
-_ENGLISH = set("the and is of to a an in on with for when it this that we you each by at are be not if from how can after before".split())
-_GERMAN = set("der die das und ist nicht ein eine den dem des mit auf von zu im in bei für dann wenn wir sie heute bitte nur am wird werden sich wie kann nach vor über hier".split())
-_URDU = set("ٹڈڑںےہھگچپژکی")
+_ENGLISH, _GERMAN = set(ENGLISH_ONLY), set(GERMAN_ONLY)
+_URDU = set(URDU_ONLY)
 
 
 def language_of(words: list[str]) -> str:
@@ -79,11 +78,15 @@ def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
 
 
 MEASURES = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("language", T.StringType()), T.StructField("sentence_words", T.DoubleType()), T.StructField("word_chars", T.DoubleType()),
+    T.StructField("language", T.StringType()), T.StructField("sentence_words", T.DoubleType()), T.StructField("word_chars", T.DoubleType()),
     T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType())),
 ])
 
 
+def _with_id(docs: DataFrame, *fields: T.StructField) -> T.StructType:
+    return T.StructType([docs.schema["doc_id"], *fields])
+
+
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -109,7 +112,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             chars = np.array([sum(map(len, w)) for w in own]) / n
             bag = Counter(w for words in own for w in words)
             rows.append((doc, language, _weighted_median(n.astype(float), n), _weighted_median(chars, n), list(bag), list(bag.values())))
-        yield pd.DataFrame(rows, columns=[f.name for f in MEASURES.fields])
+        yield pd.DataFrame(rows, columns=["doc_id", *MEASURES.names])
 
 
 def _ranked(word: DataFrame) -> DataFrame:
@@ -130,17 +133,17 @@ def coverage_ranks(measured: DataFrame, share: float, vocabulary: int) -> DataFr
     spark = measured.sparkSession
     use_shared_checkpoints(spark)
     word = measured.select("language", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("language", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n")).persist()
-    ranked = word.withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= vocabulary)
+    ranked = _ranked(word)
     # at most `vocabulary` words for each of the languages that language_of knows
     ranks: dict[str, dict[str, int]] = {}
-    for r in ranked.toLocalIterator():
+    for r in ranked.where(F.col("rank") <= vocabulary).toLocalIterator():
         ranks.setdefault(r["language"], {})[r["word"]] = r["rank"]
     shared = spark.sparkContext.broadcast(ranks)
     # of documents whose rank lies beyond the vocabulary: the words to cover, those covered, and the rarer words
-    schema = T.StructType([
-        *MEASURES.fields[:4], T.StructField("coverage_rank", T.DoubleType()), T.StructField("target", T.DoubleType()), T.StructField("covered", T.LongType()),
+    schema = _with_id(
+        measured, *MEASURES.fields[:3], T.StructField("coverage_rank", T.DoubleType()), T.StructField("target", T.DoubleType()), T.StructField("covered", T.LongType()),
         T.StructField("rarer", T.ArrayType(T.StringType())), T.StructField("rarer_counts", T.ArrayType(T.LongType())),
-    ])
+    )
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -178,7 +181,7 @@ def coverage_ranks(measured: DataFrame, share: float, vocabulary: int) -> DataFr
     words = words.select("key", "language", "target", "covered", F.explode(F.arrays_zip("rarer", "rarer_counts")).alias("x"))
     words = words.select("key", "language", "target", "covered", F.col("x.rarer").alias("word"), F.col("x.rarer_counts").alias("n"))
     upto = F.col("covered") + F.sum("n").over(Window.partitionBy("key").orderBy("rank"))
-    reached = words.join(_ranked(word), ["language", "word"]).withColumn("upto", upto).where("upto >= target").groupBy("key").agg(F.min("rank").cast("double").alias("coverage_rank"))
+    reached = words.join(ranked, ["language", "word"]).withColumn("upto", upto).where("upto >= target").groupBy("key").agg(F.min("rank").cast("double").alias("coverage_rank"))
     exact = tail.drop("coverage_rank").withColumn("key", key).join(reached, "key", "left")
     out = covered.where("target is null").select(*columns).unionByName(exact.select(*columns)).checkpoint()
     word.unpersist()
@@ -217,23 +220,20 @@ SELECT language, measure, CAST(band AS INT) AS band, middle, width FROM widths
 
 def calibrate(measures: DataFrame, ratings: DataFrame, prior: int = 4) -> DataFrame:
     """language, measure, band, middle, width: where the raters' bands lie."""
-    spark = measures.sparkSession
-    measures.createOrReplaceTempView("_reading_measures")
-    ratings.select("doc_id", "band", "labeller").createOrReplaceTempView("_reading_ratings")
-    return spark.sql(_CALIBRATE.format(measures="_reading_measures", ratings="_reading_ratings", prior=prior))
+    return measures.sparkSession.sql(_CALIBRATE, measures=measures, ratings=ratings.select("doc_id", "band", "labeller"), prior=prior)
 
 
 _BANDS = """
 WITH points AS (
   SELECT doc_id, language, stack(3, 'coverage', ln(1 + coverage_rank), 'sentence', ln(1 + sentence_words), 'word', ln(1 + word_chars)) AS (measure, x)
-  FROM _reading_measures WHERE language IS NOT NULL
+  FROM {measures} WHERE language IS NOT NULL
 ), spreads AS (
   SELECT language, measure, percentile_approx(x, 0.5, 1000) AS middle, greatest(0.02, (percentile_approx(x, 0.9, 1000) - percentile_approx(x, 0.1, 1000)) / 2) AS spread
   FROM points GROUP BY language, measure
 ), offsets AS (
   SELECT b.language, b.band,
          array_agg(struct(b.measure AS measure, s.middle + b.middle * s.spread AS middle, b.width * s.spread AS width)) AS at, sum(ln(b.width)) AS cost
-  FROM _reading_bands b JOIN spreads s USING (language, measure) GROUP BY b.language, b.band
+  FROM {bands} b JOIN spreads s USING (language, measure) GROUP BY b.language, b.band
 ), near AS (
   SELECT language, array_agg(struct(band, at, cost)) AS bands FROM offsets GROUP BY language
 )
@@ -242,7 +242,7 @@ SELECT m.doc_id, m.language, m.coverage_rank, m.sentence_words, m.word_chars,
          b.cost + aggregate(b.at, 0D, (sum, p) -> sum + least(25D, power(
            (CASE p.measure WHEN 'coverage' THEN ln(1 + m.coverage_rank) WHEN 'sentence' THEN ln(1 + m.sentence_words) ELSE ln(1 + m.word_chars) END - p.middle) / p.width, 2)) / 2) AS distance,
          b.band AS band))).band, CASE WHEN r.any THEN 2 END) AS band
-FROM _reading_measures m LEFT JOIN near n ON n.language = m.language CROSS JOIN (SELECT count(*) > 0 AS any FROM _reading_bands) r
+FROM {measures} m LEFT JOIN near n ON n.language = m.language CROSS JOIN (SELECT count(*) > 0 AS any FROM {bands}) r
 """
 
 
@@ -251,12 +251,10 @@ def reading_bands(docs: DataFrame, ratings: DataFrame, least_chars: int = 200, s
 
     docs: doc_id, text. ratings: doc_id, band, labeller.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= least_chars)
-    measured = spread(docs).mapInPandas(_measure, MEASURES).persist()
+    docs = docs.select("doc_id", "text").where(F.length("text") >= least_chars)
+    measured = spread(docs).mapInPandas(_measure, _with_id(docs, *MEASURES.fields)).persist()
     # a few numbers per document, read by many steps of the calibration: cut off from their lineage
     measures = coverage_ranks(measured, share, vocabulary)
     measured.unpersist()
     bands = calibrate(measures, ratings).checkpoint()
-    measures.createOrReplaceTempView("_reading_measures")
-    bands.createOrReplaceTempView("_reading_bands")
-    return docs.sparkSession.sql(_BANDS)
+    return docs.sparkSession.sql(_BANDS, measures=measures, bands=bands)

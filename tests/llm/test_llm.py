@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkwell.llm import langid, leaks, mixing, names, readability, sentences, splitting
 
@@ -259,6 +260,17 @@ def test_reading_bands(spark):
     got = {x["doc_id"]: x["band"] for x in readability.reading_bands(d, r).collect()}
     assert got == {**{k: 1 for k in range(6)}, **{k: 3 for k in range(10, 16)}, 97: 2}
     assert {x["band"] for x in readability.reading_bands(d, r.limit(0)).collect()} == {None}
+    # ids of any type
+    d, r = (x.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")) for x in (d, r))
+    assert {x["doc_id"]: x["band"] for x in readability.reading_bands(d, r).collect()} == {f"d{k}": b for k, b in got.items()}
+
+
+def test_ranks_of_more_words_than_are_sent(spark):
+    words = spark.range(60_000).select(F.lit("en").alias("language"), F.concat(F.lit("w"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("word"), (F.lit(60_000) - F.col("id") + F.pmod("id", F.lit(2))).alias("n"))
+    readability.use_shared_checkpoints(spark)
+    got = {r["word"]: r["rank"] for r in readability._ranked(words).collect()}
+    want = sorted(((r["word"], r["n"]) for r in words.collect()), key=lambda x: (-x[1], x[0]))
+    assert got == {w: k + 1 for k, (w, _) in enumerate(want)}
 
 
 def test_coverage_ranks_beyond_the_vocabulary(spark):
@@ -271,7 +283,7 @@ def test_coverage_ranks_beyond_the_vocabulary(spark):
             bag[w] = bag.get(w, 0) + 1
         rows.append((doc, r.choice(["en", "de"]), 1.0, 1.0, list(bag), list(bag.values())))
     rows += [rows[0], (90, None, None, None, [], [])]
-    measured = spark.createDataFrame(rows, readability.MEASURES)
+    measured = spark.createDataFrame(rows, T.StructType([T.StructField("doc_id", T.LongType()), *readability.MEASURES.fields]))
     total = {}
     for _, language, _, _, own, counts in rows:
         for w, n in zip(own, counts):
