@@ -55,10 +55,11 @@ OPEN_COST = 4 << 20
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, where the scan is too small for Spark to cut it into as many partitions.
 
-    The size is the plan's own estimate: nothing is run to find it. Larger inputs stay as they are.
+    The size is the plan's own estimate of its sources: nothing is run to find it. Larger inputs stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     return df.repartition(cores) if size < cores * OPEN_COST else df
 
 
