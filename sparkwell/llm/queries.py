@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import once, table
 from .langid import detect_languages, fit, language_stretches, latest_guess, mislabelled
 from .leaks import find_leaks
 from .mixing import actual_shares, mix_sources, token_counter
@@ -18,9 +18,10 @@ from .splitting import split_items
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def _units(spark: SparkSession, sf_dir: str, *which: tuple[str, str, str]) -> DataFrame:
-    """unit_table, unit_id, text of the named (table, id column, text column)s."""
-    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("unit_table"), F.col(i).cast("string").alias("unit_id"), F.col(x).alias("text")) for t, i, x in which]
+def _units(spark: SparkSession, sf_dir: str, *which: tuple[str, str, str], distinct: bool = False) -> DataFrame:
+    """unit_table, unit_id, text of the named (table, id column, text column)s; distinct: equal rows once."""
+    scan = lambda t, i, x: once(table(spark, sf_dir, t), i, x) if distinct else table(spark, sf_dir, t)
+    parts = [scan(t, i, x).select(F.lit(t).alias("unit_table"), F.col(i).cast("string").alias("unit_id"), F.col(x).alias("text")) for t, i, x in which]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -72,13 +73,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences themselves, of every distinct text."""
-    return split_sentences(_units(spark, sf_dir, *_P4).distinct())
+    return split_sentences(_units(spark, sf_dir, *_P4, distinct=True))
 
 
 # ---- p5: oversized items
-def _p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p5_items(spark: SparkSession, sf_dir: str, distinct: bool = False) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("item_table"), F.col("doc_id").cast("string").alias("item_id"), F.lit(None).cast("string").alias("heading"), "text")
-    return documents.unionByName(table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("item_table"), F.col("id").alias("item_id"), "heading", "text"))
+    # documents are unique, chunks repeat
+    chunks = once(table(spark, sf_dir, "chunks"), "id", "heading", "text") if distinct else table(spark, sf_dir, "chunks")
+    return documents.unionByName(chunks.select(F.lit("chunks").alias("item_table"), F.col("id").alias("item_id"), "heading", "text"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +90,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of the oversized items, with heading, position and text."""
-    return split_items(_p5_items(spark, sf_dir).where(F.length("text") > 900).distinct())
+    return split_items(_p5_items(spark, sf_dir, distinct=True).where(F.length("text") > 900))
 
 
 # ---- p6: leaks of evaluation items

@@ -58,7 +58,7 @@ _QUOTED = re.compile(r"„[^„“”\n]*[“”]|“[^“”\n]*”|«[^«»\n]
 _BRACKETED = re.compile(r"\([^()\n]*\)|（[^（）\n]*）|\[[^\[\]\n]*\]|【[^【】\n]*】")
 # Dots that need their word looked at; any other follows a word too long for an abbreviation.
 _DOT = re.compile(r"\.(?!\.)(?:(?<![a-zäöüß]{5}\.)(?<![\u0620-\u06ff]{3}\.)|(?<=pharm\.|masch\.|ogist\.|pprox\.|bschn\.|distr\.))(?<!\.\.)")
-_NEXT = re.compile(r"\s*(\S*)")
+_NEXT = re.compile(r"[^\S\n]*(\S*)")
 _NO_SPACE = re.compile(r"[A-ZÄÖÜ][a-zäöüß]|[A-ZÄÖÜ] ")
 
 
@@ -192,7 +192,7 @@ def _dot_symbol(text: str, at: int, end: int) -> int:
             return OTHER
         if following and "؀" <= following[0] < "ݿ":
             return OTHER if following.strip("،.") in CARRY_ON else WEAK
-        before = text[max(0, begin - 24) : begin].split()
+        before = text[max(0, begin - 24) : begin].rsplit("\n", 1)[-1].split()
         if last in TRADE and (not before or before[-1][:1].islower() or before[-1][-1] in ".!?:"):
             return OTHER
         return WEAK

@@ -6,7 +6,7 @@ breaks, sentence ends, clause marks, white space), at equal strength the one
 nearest to its midpoint, and both halves are treated alike. Then each piece but the
 first is extended backwards by at most the overlap, to a natural boundary again.
 Without any boundary a stretch is cut at its midpoint, yet not before a combining
-mark if that can be helped.
+mark, within a flag or a joined sign if that can be helped.
 
 Defined results: an item within the limit is one piece; null and empty items give
 none. Pieces without their overlaps, joined, are the text exactly. The heading of a
@@ -35,6 +35,8 @@ _HEADING = re.compile(r"^#{1,6}[ \t]+(.*)$", re.M)
 _BLANK = re.compile(r"\n[ \t]*\n\s*")
 _CLAUSE = re.compile(r"[,;:，；：、،؛]\s*")
 _SPACE = re.compile(r"\s+")
+#: Two letters of a flag; what is joined to the sign before it.
+_TOGETHER = re.compile(r"[\U0001f1e6-\U0001f1ff](?=[\U0001f1e6-\U0001f1ff])|\u200d(?=.)", re.S)
 _COMBINING = re.compile(r"[̀-ًͯ-ٰٟ‍︀-️\U0001f3fb-\U0001f3ff]")
 
 
@@ -42,6 +44,11 @@ def boundary_strengths(text: str, ends: np.ndarray) -> np.ndarray:
     """strength[i]: how naturally the text can be cut before code point i."""
     at = np.full(len(text) + 1, NONE, np.uint8)
     at[[m.start() for m in _COMBINING.finditer(text)]] = INSIDE
+    flag = -1
+    for m in _TOGETHER.finditer(text):
+        # the second letter of a flag isn't the first one of another
+        if m.group() == "\u200d" or m.start() != flag:
+            at[m.end()], flag = INSIDE, m.end()
     at[[m.end() for m in _SPACE.finditer(text)]] = SPACE
     at[[m.end() for m in _CLAUSE.finditer(text)]] = CLAUSE
     for e in ends.tolist():

@@ -59,6 +59,14 @@ def test_splitting_round_trip(spark):
         splitting.split_items(items, 100, 100)
 
 
+def test_no_cut_within_flags_and_joined_signs():
+    flags, family = "\U0001f1e9\U0001f1ea" * 30, "\U0001f469\u200d\U0001f467" * 30
+    at = splitting.boundary_strengths(flags, np.array([len(flags)]))
+    assert [x == splitting.INSIDE for x in at[1:60].tolist()] == [k % 2 == 0 for k in range(59)]
+    at = splitting.boundary_strengths(family, np.array([len(family)]))
+    assert all((at[k] == splitting.INSIDE) == (k % 3 != 0) for k in range(1, 89))
+
+
 def test_pfair_stays_within_a_block():
     weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
     period, slots = mixing.pfair_period(weights)
