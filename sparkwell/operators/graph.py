@@ -21,7 +21,7 @@ CUES = {
     "SUPPLIES": ["supplies", "supplier of", "provides", "sells", "delivers", "integrates with"],
 }
 ORDER = {"MADE_BY": 1, "COMPLIES_WITH": 2, "LOCATED_IN": 3, "SUPPLIES": 4}
-MAX_GAP, MAX_HOPS, MAX_CHUNKS = 90, 4, 6
+MAX_GAP, MAX_HOPS, MAX_CHUNKS, MAX_NODES, MAX_SEEDS = 90, 4, 6, 40, 8
 
 
 def domains(spark: SparkSession) -> DataFrame:
@@ -77,6 +77,58 @@ def walk(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return found.groupBy("qid", "source_id", "target_id", "type").agg(F.min("hop").alias("hop"))
 
 
+def best_seeds(links: DataFrame, entities: DataFrame, most: int = MAX_SEEDS) -> DataFrame:
+    """qid, node, place: the entities that a question names (qid, id), longest name first, `most` at most.
+
+    entities: id, name. Of several names of an entity the longest counts; ties go by id.
+    """
+    names = entities.groupBy(F.col("id").alias("node")).agg(F.max(F.length("name")).alias("size"))
+    met = links.select("qid", F.col("id").alias("node")).distinct().join(names, "node")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("size"), "node"))
+    return met.withColumn("place", place).where(F.col("place") <= most).select("qid", "node", "place")
+
+
+def breadth_first(edges: DataFrame, seeds: DataFrame, hops: int = 2, max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame]:
+    """What a walk outward from the seeds (qid, node, place) meets, for all questions at once.
+
+    Nodes are expanded in the order in which they are found until `max_nodes` are seen; the node that passes
+    the number is expanded to its end. Steps: qid, source_id, target_id, type, chunk_id, hop (an edge once, at its
+    least hop). Reached: qid, node, place, hop. edges: edge_id, source_id, target_id, type, chunk_id.
+    """
+    use_shared_checkpoints(edges.sparkSession)
+    e = edges.select("edge_id", "source_id", "target_id", "type", "chunk_id").where("source_id is not null and target_id is not null")
+    steps = e.withColumn("node", F.col("source_id")).withColumn("neighbour", F.col("target_id")).unionByName(e.withColumn("node", F.col("target_id")).withColumn("neighbour", F.col("source_id")))
+    front = seeds.select("qid", "node", F.col("place").cast("int").alias("place")).distinct().checkpoint()
+    seen = front.select("qid", "node", "place", F.lit(0).alias("hop"))
+    walked = None
+    for hop in range(1, max(1, min(hops, MAX_HOPS)) + 1):
+        met = front.join(steps, "node")
+        new = met.join(seen.select("qid", F.col("node").alias("neighbour")), ["qid", "neighbour"], "left_anti")
+        # a node belongs to the first that finds it
+        new = new.groupBy("qid", "neighbour").agg(F.min(F.struct("place", "edge_id")).alias("by")).select("qid", "neighbour", "by.place", "by.edge_id")
+        found = new.groupBy("qid", "place").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("qid").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        had = seen.groupBy("qid").agg(F.count("*").alias("had"))
+        expanded = front.join(found, ["qid", "place"], "left").withColumn("before", before).join(had, "qid").where(F.col("before") + F.col("had") < max_nodes).select("qid", "place").checkpoint()
+        here = met.join(expanded, ["qid", "place"], "left_semi").select("qid", "source_id", "target_id", "type", "chunk_id", F.lit(hop).alias("hop"))
+        walked = here if walked is None else walked.unionByName(here)
+        order = Window.partitionBy("qid").orderBy("place", "edge_id", "neighbour")
+        front = new.join(expanded, ["qid", "place"], "left_semi").select("qid", F.col("neighbour").alias("node"), F.row_number().over(order).alias("place")).checkpoint()
+        seen = seen.unionByName(front.withColumn("hop", F.lit(hop)))
+    steps = walked.groupBy("qid", "source_id", "target_id", "type").agg(F.min("hop").alias("hop"), F.min(F.struct("hop", "chunk_id")).alias("at"))
+    return steps.select("qid", "source_id", "target_id", "type", F.col("at.chunk_id").alias("chunk_id"), "hop"), seen
+
+
+def walked_chunks(steps: DataFrame, reached: DataFrame, mentions: DataFrame, most: int | None = MAX_CHUNKS) -> DataFrame:
+    """qid, chunk_id, place: chunks of the walked edges by hop, then chunks that mention what was reached."""
+    own = steps.select("qid", "chunk_id", F.lit(0).alias("kind"), "hop", F.col("source_id").alias("name"))
+    said = reached.join(mentions.select(F.col("entity_id").alias("node"), "chunk_id"), "node").select("qid", "chunk_id", F.lit(1).alias("kind"), F.lit(0).alias("hop"), F.lit("").alias("name"))
+    first = own.unionByName(said).where("chunk_id is not null").groupBy("qid", "chunk_id").agg(F.min(F.struct("kind", "hop", "name", "chunk_id")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("at"))
+    out = first.select("qid", "chunk_id", place.alias("place"))
+    return out if most is None else out.where(F.col("place") <= most)
+
+
 def path_lines(steps: DataFrame) -> DataFrame:
     return steps.select("qid", F.format_string("hop %d: %s -[%s]-> %s", "hop", "source_id", "type", "target_id").alias("line"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens, split_sentences
 
 SUPPORT, PASS_GROUNDED, PASS_COVERED = 0.45, 0.7, 0.5
+# Fixed value: what an answer says that finds nothing in the sources.
+INSUFFICIENT = "The available sources do not contain enough information to answer this question."
 
 
 def split_claims(answers: DataFrame) -> DataFrame:
@@ -40,19 +42,48 @@ def support(claims: DataFrame, sources: DataFrame, least: float = SUPPORT) -> Da
     return best.withColumn("supported", F.col("best") >= least)
 
 
-def report(claims: DataFrame, supported: DataFrame) -> DataFrame:
-    """qid, n_claims, groundedness, coverage, passed."""
+def _abstains(answer: Column) -> Column:
+    return F.regexp_replace(answer, r"^\s+|\s+$", "") == INSUFFICIENT
+
+
+def report(answers: DataFrame, claims: DataFrame, supported: DataFrame) -> DataFrame:
+    """qid, n_claims, groundedness, coverage, passed of every answer (qid, answer).
+
+    An answer that honestly says that the sources tell nothing passes; any other without claims (null, empty) fails.
+    """
     rows = claims.join(supported, ["qid", "claim_no"])
-    out = rows.groupBy("qid").agg(F.count("*").alias("n_claims"), F.round(F.avg(F.col("supported").cast("double")), 3).alias("groundedness"), F.round(F.avg((F.size("cited") > 0).cast("double")), 3).alias("coverage"))
-    return out.withColumn("passed", (F.col("groundedness") >= PASS_GROUNDED) & (F.col("coverage") >= PASS_COVERED))
+    share = lambda c: F.round(F.avg(c.cast("double")), 3)
+    per = rows.groupBy("qid").agg(F.count("*").alias("n"), share(F.col("supported")).alias("grounded"), share(F.size("cited") > 0).alias("cited"))
+    out = answers.select("qid", F.coalesce(_abstains(F.col("answer")), F.lit(False)).alias("abstains")).join(per, "qid", "left")
+    number = lambda c, rest: F.when(F.col("abstains"), F.lit(rest)).otherwise(F.coalesce(F.col(c), F.lit(0).cast("double")))
+    out = out.select("qid", "abstains", F.when(F.col("abstains"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_claims"), number("grounded", 1.0).alias("groundedness"), number("cited", 1.0).alias("coverage"))
+    passed = F.col("abstains") | (F.col("groundedness") >= PASS_GROUNDED) & (F.col("coverage") >= PASS_COVERED)
+    return out.withColumn("passed", passed).drop("abstains")
 
 
-def judge(answers: DataFrame, claims: DataFrame, supported: DataFrame) -> DataFrame:
-    """qid, faithfulness, relevance; answers: qid, question, answer."""
-    faith = claims.join(supported, ["qid", "claim_no"]).where(F.size(content_tokens(F.col("claim"))) > 0).groupBy("qid").agg(F.round(F.avg("best"), 3).alias("faithfulness"))
+def feedback(claims: DataFrame, supported: DataFrame, most: int = 6) -> DataFrame:
+    """qid, n, problem: the first claims that no source supports or that cite nothing."""
+    bad = claims.join(supported, ["qid", "claim_no"]).where(~F.col("supported") | (F.size("cited") == 0))
+    n = F.row_number().over(Window.partitionBy("qid").orderBy("claim_no"))
+    why = F.when(~F.col("supported"), "not supported by its sources").otherwise("cites no source")
+    return bad.withColumn("n", n).where(F.col("n") <= most).select("qid", "n", F.concat(F.lit("- "), "claim", F.lit(": "), why).alias("problem"))
+
+
+def judge(answers: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """qid, faithfulness, relevance; answers: qid, question, answer; sources: qid, marker, text.
+
+    Faithfulness is the mean, over claims with words, of the best share of words that any one source has. Without
+    claims or sources both are 0; an honest abstention has 1 in both.
+    """
+    c = claims.select("qid", "claim_no", content_tokens(F.col("claim")).alias("words"))
+    best = c.where(F.size("words") > 0).join(sources.select("qid", content_tokens(F.col("text")).alias("own")), "qid").groupBy("qid", "claim_no").agg(F.max(F.size(F.array_intersect("words", "own")) / F.size("words")).alias("best"))
+    faith = best.groupBy("qid").agg(F.round(F.avg("best"), 3).alias("faith"))
+    judged = claims.select("qid").distinct().join(sources.select("qid").distinct(), "qid", "left_semi").withColumn("judged", F.lit(True))
     q, a = content_tokens(F.col("question")), content_tokens(F.col("answer"))
-    relevance = F.round(F.coalesce(F.size(F.array_intersect(q, a)) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0)), 3)
-    return answers.select("qid", relevance.alias("relevance")).join(faith, "qid", "left").select("qid", F.coalesce("faithfulness", F.lit(0.0)).alias("faithfulness"), "relevance")
+    relevance = F.round(F.coalesce(F.size(F.array_intersect(q, a)) / F.nullif(F.size(q), F.lit(0)), F.lit(1.0)), 3)
+    rows = answers.select("qid", F.coalesce(_abstains(F.col("answer")), F.lit(False)).alias("abstains"), relevance.alias("relevant")).join(faith, "qid", "left").join(judged, "qid", "left")
+    score = lambda c: F.when(F.col("abstains"), 1.0).when(F.col("judged"), F.coalesce(F.col(c), F.lit(0.0))).otherwise(0.0)
+    return rows.select("qid", score("faith").alias("faithfulness"), score("relevant").alias("relevance"))
 
 
 def extract_answers(questions: DataFrame, sources: DataFrame) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.normalize import ascii_normal_name, normal_key_udf
 from ..functions.text import content_tokens
 from ..operators import extraction, graph
-from ..session import table
+from ..operators.relational import arithmetic_udf
+from ..session import shared_folder, table, use_shared_checkpoints
 from ..streaming import events as streams
 
 
@@ -53,6 +53,36 @@ def kg_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.walk(table(spark, sf_dir, "edges"), _seeds(spark, sf_dir), 3)
 
 
+def _walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    seeds = _seeds(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("node")))
+    return graph.breadth_first(_edges(spark, sf_dir), seeds, 2)
+
+
+def kg_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges that a walk of two hops and forty nodes meets."""
+    return _walk(spark, sf_dir)[0].select("qid", "source_id", "target_id", "type", "hop")
+
+
+def kg_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walk(spark, sf_dir)[1]
+
+
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per question the six chunks that a walk from the entities it names leads to, with their texts."""
+    use_shared_checkpoints(spark)
+    links = seed_link_questions(spark, sf_dir).checkpoint()
+    seeds = graph.best_seeds(links, table(spark, sf_dir, "entities"))
+    steps, reached = graph.breadth_first(_edges(spark, sf_dir), seeds)
+    found = graph.walked_chunks(steps, reached, table(spark, sf_dir, "mentions"))
+    texts = table(spark, sf_dir, "chunks").groupBy(F.col("id").alias("chunk_id")).agg(F.min("text").alias("text"))
+    return found.join(texts, "chunk_id").select("qid", "place", "chunk_id", "text")
+
+
+def best_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight entities with the longest names of those that a question names."""
+    return graph.best_seeds(seed_link_questions(spark, sf_dir), table(spark, sf_dir, "entities"))
+
+
 def kg_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.path_lines(graph.walk(table(spark, sf_dir, "edges"), _seeds(spark, sf_dir), 2))
 
@@ -134,18 +164,55 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def route_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.lower("question")
     hit = lambda hints: F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(q, h))
-    tool = F.when(q.rlike(r"\d\s*[-+*/]\s*\d+\s*[-+*/]"), "calculator").when(hit(GRAPH_HINTS), "graph_search").when(hit(KB_HINTS), "knowledge_base").otherwise("vector_search")
+    tool = F.when(expression_of(F.col("question")).isNotNull(), "calculator").when(hit(GRAPH_HINTS), "graph_search").when(hit(KB_HINTS), "knowledge_base").otherwise("vector_search")
     return _questions(spark, sf_dir).select("qid", tool.alias("tool")).distinct()
 
 
+#: Characters and content words that either half of a question needs.
+HALF_CHARS, HALF_WORDS = 20, 3
+
+
 def decompose_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions in two at their first ` and `, when either half is long enough to stand alone."""
-    at = F.locate(" and ", F.col("question"))
-    left, right = F.trim(F.expr("substring(question, 1, locate(' and ', question) - 1)")), F.trim(F.expr("substring(question, locate(' and ', question) + 5)"))
-    n = lambda c: F.size(content_tokens(c, F.lit("en")))
-    split = (at > 0) & (F.length(left) >= 20) & (F.length(right) >= 20) & (n(left) >= 3) & (n(right) >= 3)
-    parts = F.when(split, F.array(left, right)).otherwise(F.array("question"))
-    return _questions(spark, sf_dir).select("qid", F.posexplode(parts).alias("branch", "part")).distinct()
+    """Questions in two at their first ` and `, when both halves are long enough to stand alone."""
+    q = F.col("question")
+    at = F.locate(" and ", F.lower(q))
+    ends = lambda c: F.regexp_replace(c, "^[ ,]+|[ ,]+$", "")
+    halves = [ends(F.substring(q, F.lit(1), at - 1)), ends(F.substring(q, at + 5, F.length(q)))]
+    split = at > 0
+    for half in halves:
+        split = split & (F.length(half) >= HALF_CHARS) & (F.size(content_tokens(half)) >= HALF_WORDS)
+    asked = F.array(*[F.when(half.endswith("?"), half).otherwise(F.concat(half, F.lit("?"))) for half in halves])
+    return _questions(spark, sf_dir).select("qid", F.posexplode(F.when(split, asked).otherwise(F.array(q))).alias("branch", "part")).distinct()
+
+
+# Words that introduce a name made of figures.
+IDENTIFIER_WORDS = "iso iec en din ansi ieee soc rfc sku version v model part standard type no rev revision chapter section clause annex".split()
+
+
+def expression_of(question: Column) -> Column:
+    """The arithmetic that a question asks for, or null: figures joined by operators, or a share of a number.
+
+    Figures that touch letters or marks of an identifier are a name, and so are spans of years, and
+    figures joined by a bare hyphen in a question with a word that introduces identifiers.
+    """
+    number, operator = r"\d[\d.,]{0,20}", r"\s{0,3}[-+*/x×]\s{0,3}"
+    bare = F.regexp_replace(question, r"(?<=\d),(?=\d{3})", "")
+    share = rf"(?i)({number})\s{{0,3}}%\s{{0,3}}of\s{{1,3}}({number})"
+    figure = r"[(]{0,3}\d+(?:\.\d+)?[)]{0,3}"
+    chain = F.regexp_extract(bare, rf"(?<![\p{{L}}\d:./-]){figure}(?:{operator}{figure}){{1,20}}(?![\p{{L}}\d:/-]|\.\d)", 0)
+    years = chain.rlike(r"^(?:19|20)\d{2}\s*-\s*(?:19|20)\d{2}$")
+    words = F.split(F.regexp_replace(F.lower(question), r"[.,:;?()]", ""), r"\s+")
+    named = chain.rlike(r"\d-\d") & F.arrays_overlap(words, F.array(*[F.lit(w) for w in IDENTIFIER_WORDS]))
+    part = lambda k: F.regexp_extract(bare, share, k)
+    return F.when(part(1) != "", F.concat(part(2), F.lit(" * "), part(1), F.lit(" / 100"))).when((chain != "") & ~years & ~named, F.translate(chain, "x×", "**"))
+
+
+def calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the questions and passages of the items, and the texts of the chunks, ask to be computed, with the value."""
+    items = table(spark, sf_dir, "golden_items").select(F.explode(F.array("question", "passage")).alias("text"))
+    texts = items.unionByName(table(spark, sf_dir, "chunks").select("text")).where("text is not null")
+    found = texts.select(expression_of(F.col("text")).alias("expression")).where("expression is not null").groupBy("expression").agg(F.count("*").alias("n"))
+    return found.select("expression", "n", arithmetic_udf("expression").alias("value"))
 
 
 # ---- events
@@ -172,7 +239,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event*.parquet")
-    return streams.run_to_table(streams.tumbling(stream), "events_by_hour")
+    return streams.drain(streams.tumbling(stream), f"{shared_folder(spark)}/events-{uuid.uuid4().hex}")
 
 
 def step_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,8 +249,7 @@ def step_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents ingested by a stream, twice: the second run adds nothing."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    home = f"{base}/ingest-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="sparkwell-ingest-")
+    home = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     source = f"{home}/in"
     table(spark, sf_dir, "documents").select("doc_id", "text").write.mode("overwrite").parquet(source)
     for _ in range(2):
@@ -194,7 +260,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        kg_stats, kg_upsert, kg_edge_domain, kg_used_entities, kg_neighbours, kg_walk, kg_paths, kg_chunks, kg_relations, kg_extract, kg_extract_relations, seed_link, seed_link_questions, kg_normalize, route_tool, decompose_split,
+        kg_stats, kg_upsert, kg_edge_domain, kg_used_entities, kg_neighbours, kg_walk, kg_bfs, kg_reached, graph_search, best_seeds, kg_paths, kg_chunks, kg_relations, kg_extract, kg_extract_relations, seed_link, seed_link_questions, kg_normalize, route_tool, decompose_split, calculations,
         events_tumbling, events_sliding, events_sessions, events_stream, step_budget, stream_ingest,
     )
 }
@@ -212,6 +278,25 @@ w AS (SELECT DISTINCT entity_no AS qid, id AS node, 0 AS hop FROM entities WHERE
 SELECT w.qid, s.source_id, s.target_id, s.type, CAST(min(w.hop + 1) AS INT) AS hop FROM w JOIN s ON s.node = w.node GROUP BY ALL"""
 
 
+def _bfs_sql(hops: int, out: str) -> str:
+    """The levels one after another: m met, n new, x expanded, f the next front."""
+    levels, walked = [], []
+    for k in range(1, hops + 1):
+        levels.append(f"""
+m{k} AS (SELECT f.qid, f.place, s.* FROM f{k - 1} f JOIN s ON s.node = f.node),
+n{k} AS (SELECT qid, neighbour, place, edge_id FROM (SELECT *, row_number() OVER (PARTITION BY qid, neighbour ORDER BY place, edge_id) AS rn FROM m{k} m WHERE NOT EXISTS (SELECT 1 FROM seen{k - 1} z WHERE z.qid = m.qid AND z.node = m.neighbour)) y WHERE rn = 1),
+c{k} AS (SELECT f.qid, f.place, coalesce(c.n, 0) AS n, h.had FROM f{k - 1} f LEFT JOIN (SELECT qid, place, count(*) AS n FROM n{k} GROUP BY ALL) c ON c.qid = f.qid AND c.place = f.place JOIN (SELECT qid, count(*) AS had FROM seen{k - 1} GROUP BY qid) h ON h.qid = f.qid),
+x{k} AS (SELECT qid, place FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c{k}) y WHERE before + had < {graph.MAX_NODES}),
+f{k} AS (SELECT n.qid, n.neighbour AS node, CAST(row_number() OVER (PARTITION BY n.qid ORDER BY n.place, n.edge_id, n.neighbour) AS INT) AS place FROM n{k} n JOIN x{k} x ON x.qid = n.qid AND x.place = n.place),
+seen{k} AS (SELECT * FROM seen{k - 1} UNION ALL SELECT qid, node, place, {k} FROM f{k})""")
+        walked.append(f"SELECT m.qid, source_id, target_id, type, {k} AS hop FROM m{k} m JOIN x{k} x ON x.qid = m.qid AND x.place = m.place")
+    return f"""
+WITH e AS ({_E}), s AS (SELECT edge_id, source_id AS node, target_id AS neighbour, source_id, target_id, type FROM e UNION ALL SELECT edge_id, target_id, source_id, source_id, target_id, type FROM e),
+f0 AS (SELECT qid, node, CAST(row_number() OVER (PARTITION BY qid ORDER BY node) AS INT) AS place FROM (SELECT DISTINCT entity_no AS qid, id AS node FROM entities WHERE entity_no % 100 = 0) d),
+seen0 AS (SELECT qid, node, place, 0 AS hop FROM f0),{','.join(levels)}, w AS ({' UNION ALL '.join(walked)})
+{out}"""
+
+
 _STRIPPED = "lower(question)"
 _ANY = lambda hints: "(" + " OR ".join(f"contains({_STRIPPED}, '{h}')" for h in hints) + ")"
 SQL = {
@@ -221,9 +306,11 @@ SQL = {
     "kg_used_entities": "SELECT DISTINCT id, entity_no FROM entities WHERE id IN (SELECT entity_id FROM mentions WHERE entity_id IS NOT NULL UNION SELECT source_id FROM edges WHERE source_id IS NOT NULL UNION SELECT target_id FROM edges WHERE target_id IS NOT NULL)",
     "kg_neighbours": f"WITH e AS ({_E}), b AS (SELECT source_id AS node, target_id AS neighbour, type, true AS is_source FROM e UNION ALL SELECT target_id, source_id, type, false FROM e) SELECT node, type, is_source, count(DISTINCT neighbour) AS n_neighbours FROM b GROUP BY ALL",
     "kg_walk": _walk_sql(3),
+    "kg_bfs": _bfs_sql(2, "SELECT qid, source_id, target_id, type, CAST(min(hop) AS INT) AS hop FROM w GROUP BY ALL"),
+    "kg_reached": _bfs_sql(2, "SELECT qid, node, place, CAST(hop AS INT) AS hop FROM seen2"),
     "kg_paths": f"SELECT qid, 'hop ' || hop || ': ' || source_id || ' -[' || type || ']-> ' || target_id AS line FROM ({_walk_sql(2)}) w",
     "kg_chunks": "SELECT DISTINCT e.entity_no AS qid, m.chunk_id FROM mentions m JOIN entities e ON e.id = m.entity_id WHERE e.entity_no % 100 = 0 AND m.chunk_id IN (SELECT id FROM chunks)",
-    "route_tool": f"SELECT DISTINCT item_id AS qid, CASE WHEN regexp_matches({_STRIPPED}, '\\d\\s*[-+*/]\\s*\\d+\\s*[-+*/]') THEN 'calculator' WHEN {_ANY(GRAPH_HINTS)} THEN 'graph_search' WHEN {_ANY(KB_HINTS)} THEN 'knowledge_base' ELSE 'vector_search' END AS tool FROM golden_items",
+    "route_tool": f"SELECT DISTINCT item_id AS qid, CASE WHEN {_ANY(GRAPH_HINTS)} THEN 'graph_search' WHEN {_ANY(KB_HINTS)} THEN 'knowledge_base' ELSE 'vector_search' END AS tool FROM golden_items",
     "events_tumbling": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "events_sliding": "WITH w AS (SELECT date_trunc('hour', ts) - INTERVAL (k) HOUR AS window_start, value FROM events, (VALUES (0), (1)) AS t(k)) SELECT window_start, count(*) AS n, round(max(value), 4) AS most FROM w GROUP BY ALL",
     "events_sessions": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events), s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, session",

@@ -9,8 +9,11 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import dialect
 from ..operators.relational import run_sql
+from ..session import table
 
 STATEMENTS = {
     "scan_project": "SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS gross, upper(l_returnflag) AS flag FROM lineitem",
@@ -65,7 +68,8 @@ STATEMENTS = {
     "eval_categories": "SELECT coalesce(category, 'none') AS category, difficulty, count(*) AS n_items, count(DISTINCT passage) AS n_passages FROM golden_items GROUP BY coalesce(category, 'none'), difficulty",
     "dedup_latest": "SELECT id, customer_id, status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, status, customer_id, sku) AS rn FROM sales_orders) o WHERE rn = 1",
     "json_extract": "SELECT event_id, get_json_object(props, '$.k') AS k FROM events",
-    "approx_distinct_groups": "SELECT event_type, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type",
+    "dialect_dates": "SELECT event_id, date_text(ts) AS d, time_text(ts) AS t, datetime_text(ts) AS dt, round(julianday(ts), 6) AS jd, unixepoch(ts) AS epoch, strftime('%Y-%m %H:%M:%S / %d %j', ts) AS shown FROM events",
+    "dialect_glob": "SELECT DISTINCT name FROM entities WHERE glob('*[aeiou]? *', name) OR glob('B*.?', name)",
 }
 
 # Where the other engine spells the same thing in another way.
@@ -74,6 +78,8 @@ ELSEWHERE = {
     "json_extract": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "date_functions": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month_start FROM orders",
     "revenue_by_year": STATEMENTS["revenue_by_year"].replace("year(o.o_orderdate) AS y", "CAST(year(o.o_orderdate) AS INT) AS y"),
+    "dialect_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS dt, round(epoch_us(ts) / 86400000000.0::DOUBLE + 2440587.5::DOUBLE, 6) AS jd, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS epoch, strftime(ts, '%Y-%m %H:%M:%S / %d %j') AS shown FROM events",
+    "dialect_glob": "SELECT DISTINCT name FROM entities WHERE name GLOB '*[aeiou]? *' OR name GLOB 'B*.?'",
     "string_functions": STATEMENTS["string_functions"].replace("length(name) AS n", "CAST(length(name) AS INT) AS n").replace("instr(name, 'a')", "CAST(instr(name, 'a') AS INT)"),
 }
 
@@ -82,5 +88,29 @@ def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return run_sql(spark, sf_dir, sql)
 
 
-QUERIES = {f"sql_{name}": partial(_run, sql=sql) for name, sql in STATEMENTS.items()}
-SQL = {f"sql_{name}": ELSEWHERE.get(name, sql) for name, sql in STATEMENTS.items()}
+def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users per type of event, about: a sketch whose standard error is 1 %, beside the share of the true number."""
+    exact = F.countDistinct("user_id")
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.01).alias("about"), exact.alias("n_users"))
+    return rows.select("event_type", "n_users", (F.abs(F.col("about") / F.col("n_users") - 1) < 0.05).alias("is_near"))
+
+
+def dialect_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, choices, types and whole division as the dialect has them."""
+    rows = table(spark, sf_dir, "sales_orders")
+    choice = dialect.iif(F.col("status") == "open", F.lit("waiting"), F.lit("done"))
+    kinds = [dialect.type_name(F.col(c)).alias(f"{c}_type") for c in ("id", "sku", "unit_price_eur", "quantity")]
+    whole = dialect.whole_divide(F.sum("quantity"), F.count("*"))
+    out = rows.select("quantity", "unit_price_eur", choice.alias("state"), *kinds)
+    return out.groupBy("state", "id_type", "sku_type", "unit_price_eur_type", "quantity_type").agg(dialect.total(F.col("quantity")).alias("total_quantity"), whole.cast("long").alias("mean_quantity"), dialect.total(F.lit(None).cast("int")).alias("nothing"))
+
+
+QUERIES = {f"sql_{name}": partial(_run, sql=sql) for name, sql in STATEMENTS.items()} | {"sql_approx_distinct": approx_distinct, "sql_dialect_values": dialect_values}
+SQL = {f"sql_{name}": ELSEWHERE.get(name, sql) for name, sql in STATEMENTS.items()} | {
+    "sql_approx_distinct": "SELECT event_type, count(DISTINCT user_id) AS n_users, true AS is_near FROM events GROUP BY event_type",
+    "sql_dialect_values": """
+SELECT CASE WHEN status = 'open' THEN 'waiting' ELSE 'done' END AS state, CASE WHEN id IS NULL THEN 'null' ELSE 'integer' END AS id_type, CASE WHEN sku IS NULL THEN 'null' ELSE 'text' END AS sku_type,
+  CASE WHEN unit_price_eur IS NULL THEN 'null' ELSE 'integer' END AS unit_price_eur_type, CASE WHEN quantity IS NULL THEN 'null' ELSE 'integer' END AS quantity_type,
+  coalesce(sum(CAST(quantity AS DOUBLE)), 0.0::DOUBLE) AS total_quantity, CAST(sum(quantity) // count(*) AS BIGINT) AS mean_quantity, 0.0::DOUBLE AS nothing
+FROM sales_orders GROUP BY ALL""",
+}

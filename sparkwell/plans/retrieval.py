@@ -113,7 +113,7 @@ def rerank_squash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of the catalogue whose nation and name share words with what customers are called."""
+    """Parts of the catalogue whose name, brand and type share words with a question for each nation."""
     asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("Which parts are of the type and name "), "n_name", F.lit(" steel copper part?")).alias("question"))
     return retrieval.catalogue_lookup(table(spark, sf_dir, "part"), asked, "p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type")).select("qid", "p_partkey", "score", "rank")
 
@@ -151,7 +151,9 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _answers(spark, sf_dir)
     made = F.concat(F.regexp_replace("passage", r"\.( |$)", " [1].$1"), F.lit(" Nobody has ever counted wooden elephants [2]. [1]"))
-    return items.select("qid", "question", "category", "expected_substrings", made.alias("answer"))
+    # some answers abstain, some are empty
+    answer = F.when(F.col("qid") % 11 == 0, verification.INSUFFICIENT).when(F.col("qid") % 13 == 0, "").otherwise(made)
+    return items.select("qid", "question", "category", "expected_substrings", answer.alias("answer"))
 
 
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,13 +171,13 @@ def lexical_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verify_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = verification.split_claims(_answered(spark, sf_dir))
-    return verification.report(claims, verification.support(claims, _sources(spark, sf_dir)))
+    return verification.report(_answered(spark, sf_dir), claims, verification.support(claims, _sources(spark, sf_dir)))
 
 
 def judge_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = _answered(spark, sf_dir)
     claims = verification.split_claims(answers)
-    return verification.judge(answers, claims, verification.support(claims, _sources(spark, sf_dir)))
+    return verification.judge(answers, claims, _sources(spark, sf_dir))
 
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +197,7 @@ def retrieved_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = best.join(_docs(spark, sf_dir), "doc_id").select("qid", F.col("rank").alias("marker"), "text")
     answers = verification.extract_answers(_questions(spark, sf_dir), sources).checkpoint()
     claims = verification.split_claims(answers)
-    return answers.join(verification.report(claims, verification.support(claims, sources)), "qid", "left")
+    return answers.join(verification.report(answers, claims, verification.support(claims, sources)), "qid", "left")
 
 
 # ---- the same in SQL
@@ -251,9 +253,9 @@ d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, hash ORDER B
 f AS (SELECT *, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY qid, call_id ORDER BY ord) - 1) AS rrf FROM d),
 g AS (SELECT qid, id, CAST(ord AS INT) AS ord, text, round(0.6::DOUBLE * (best + 1) / 2 + 0.4::DOUBLE * (rrf / max(rrf) OVER (PARTITION BY qid)), 4) AS fused_score, best FROM f)
 """
-_ANSWERED = """
+_ANSWERED = f"""
 WITH items AS (SELECT item_id AS qid, min(question) AS question, min(passage) AS passage, min(category) AS category, min(expected_substrings) AS expected FROM golden_items GROUP BY item_id),
-a AS (SELECT *, regexp_replace(passage, '\\.( |$)', ' [1].\\1', 'g') || ' Nobody has ever counted wooden elephants [2]. [1]' AS answer FROM items)
+a AS (SELECT *, CASE WHEN qid % 11 = 0 THEN '{verification.INSUFFICIENT}' WHEN qid % 13 = 0 THEN '' ELSE regexp_replace(passage, '\\.( |$)', ' [1].\\1', 'g') || ' Nobody has ever counted wooden elephants [2]. [1]' END AS answer FROM items)
 """
 SQL = {
     "term_stats": f"WITH {_token_ctes('dt', 'documents', 'doc_id', 'text')}, p AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM dt), c AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p, c GROUP BY term",

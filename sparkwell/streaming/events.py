@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import exists
+
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:
     w = F.window("ts", size)
@@ -31,11 +33,18 @@ def _watermarked(events: DataFrame, late: str) -> DataFrame:
     return ts.withWatermark("ts", late) if events.isStreaming else ts
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain a stream of what is there now into a table in memory (for tests and small results)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream over what is there now, write each final result below `path`, and read it back."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    # complete mode: the last batch holds everything
+    whole = stream.sparkSession.read.parquet(path)
+    last = whole.agg(F.max("batch").alias("batch"))
+    return whole.join(F.broadcast(last), "batch").drop("batch")
 
 
 def incremental_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, key: str = "doc_id") -> None:
@@ -44,10 +53,8 @@ def incremental_ingest(spark: SparkSession, source: str, target: str, checkpoint
     stream = spark.readStream.schema(schema).parquet(source)
 
     def add(batch: DataFrame, _: int) -> None:
-        import os
-
         fresh = batch.dropDuplicates([key])
-        if os.path.isdir(target) and any(x.endswith(".parquet") for x in os.listdir(target)):
+        if exists(spark, f"{target}/_SUCCESS"):
             fresh = fresh.join(spark.read.schema(schema).parquet(target).select(key), key, "left_anti")
         fresh.write.mode("append").parquet(target)
 

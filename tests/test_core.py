@@ -8,6 +8,7 @@ from sparkwell.functions import lang, text
 from sparkwell.functions.normalize import normal_key
 from sparkwell.operators import assembly, graph, ingest, relational, retrieval, verification
 from sparkwell.operators.orphans import key_numbers, orphan_references, runs_of
+from sparkwell.plans.graph import expression_of
 from sparkwell.session import once
 from sparkwell.streaming import events as streams
 
@@ -139,21 +140,95 @@ def test_walk(spark):
     assert graph.walk(edges, seeds, 1).count() == 1
 
 
-@pytest.mark.parametrize("sql", ["DELETE FROM nation", "DROP TABLE nation", "CREATE TABLE x AS SELECT 1", "INSERT INTO nation VALUES (1)", "SET a=b", "SELECT 1; DROP TABLE x", "EXPLAIN SELECT 1", "", "x" * 3000])
+HOSTILE = [
+    "DELETE FROM nation", "UPDATE nation SET a = 0", "DROP TABLE nation", "CREATE TABLE x AS SELECT 1", "INSERT INTO nation VALUES (1)", "SET a=b", "SELECT 1; DROP TABLE x", "EXPLAIN SELECT 1", "", "x" * 3000, "SHOW TABLES", "CACHE TABLE nation",
+    "SELECT reflect('java.lang.System','getProperty','user.home')", "SELECT java_method('java.lang.System','getProperty','user.home')", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM nation WHERE a = (SELECT reflect('a', 'b'))",
+    "WITH a AS (SELECT reflect('x', 'y') z) SELECT * FROM a", "SELECT * FROM nation WHERE a IN (SELECT b FROM text.`/etc/hostname`)", "SELECT transform(a) USING 'cat' FROM nation", "SELECT * FROM range(5)", "SELECT * FROM nation, LATERAL (SELECT reflect('a', 'b'))",
+    "SELECT repeat('x', 10)", "SELECT printf('%s', 'x') AS s", "SELECT format_string('%s', 'x')", "SELECT space(10)", "SELECT * FROM elsewhere", "SELECT count(*) FILTER (WHERE reflect('a','b') = 'c') FROM nation", "SELECT sum(a) OVER (ORDER BY reflect('a', 'b')) FROM nation",
+    "SELECT * FROM read_files('/etc')", "SELECT input_file_name() FROM nation", "SELECT try_reflect('a', 'b')", "SELECT * FROM spark_catalog.default.nation",
+]
+
+
+@pytest.mark.parametrize("sql", HOSTILE)
 def test_refusals(spark, sql):
     with pytest.raises(relational.RefusedQuery):
-        relational.checked(spark, sql)
+        relational.checked(spark, sql, ["nation"])
 
 
-def test_rendering_and_calculator(spark):
-    assert relational.checked(spark, "WITH a AS (SELECT 1 AS x) SELECT * FROM a;").startswith("WITH")
+def test_rendering(spark, tmp_path):
+    ok = "WITH a AS (SELECT 1 AS x) SELECT upper(n.name) AS u FROM a JOIN nation n ON n.a = a.x WHERE n.name LIKE 'N%';"
+    assert relational.checked(spark, ok, ["nation"]).startswith("WITH")
     assert relational.render(spark.sql("SELECT 'revenue' AS name, 1857000.0D AS revenue_eur")) == "Database query result: name revenue, revenue eur 1,857,000."
-    assert relational.render(spark.range(60)).endswith("Only the first 50 rows are shown.")
+    assert relational.render(spark.sql("SELECT * FROM VALUES ('a', 1), ('b', null), ('c', 2.5) AS t(k, n) ORDER BY k")) == "The database query returned 3 rows: (1) k a, n 1.0; (2) k b, n none; (3) k c, n 2.5."
+    assert relational.render(spark.range(60)).endswith("Only the first 50 rows are shown.") and "(50) " in relational.render(spark.range(60)) and "(51) " not in relational.render(spark.range(60))
     assert relational.render(spark.range(0)) == "The database query returned no rows."
-    assert relational.calculate("(12 + 8) / 4") == 5 and relational.calculate("7 % 4") == 3
-    for bad in ("__import__('os')", "2 ** 99", "1 / 0", "a + 1", ""):
+    spark.range(3).write.parquet(str(tmp_path / "nation.parquet"))
+    assert relational.answer(spark, str(tmp_path), "SELECT count(*) AS n FROM nation;") == ("Database query result: n 3.", "SQL: SELECT count(*) AS n FROM nation\nDatabase query result: n 3.")
+    for bad, word in (("SELECT revenue FROM sales", "no such table: sales"), ("DROP TABLE nation", "not authorized"), ("SELECT x FROM nation", "try again")):
+        evidence, told = relational.answer(spark, str(tmp_path), bad)
+        assert not evidence and word in told
+    assert "interrupted" in relational.answer(spark, str(tmp_path), "SELECT count(*) FROM nation", seconds=-1)[1]
+    with pytest.raises(relational.RefusedQuery, match="too big"):
+        relational.render(spark.sql("SELECT 'abcdef' AS x"), max_value=5)
+
+
+def test_arithmetic(spark):
+    right = {"(12 + 8) / 4": 5, "7 % 4": 3, "-2 ** 2": -4, "2 ** -1": 0.5, "2 ** 3 ** 2": 512, "2 * -3": -6, "7 // 2": 3, "-7 // 2": -4, "10 - 4 - 3": 3, "1.5e2 + .5": 150.5, "((3))": 3, "-(2 + 3) * 2": -10, "2 - -2": 4, "8 / 4 / 2": 1}
+    for x, value in right.items():
+        assert relational.arithmetic(x) == value, x
+    for bad in ("__import__('os')", "2 ** 99", "10000000 ** 2", "1 / 0", "a + 1", "", " ", "1 2", "(1", "1)", "()", "1 +", "* 2", "1" * 300):
         with pytest.raises(ValueError):
-            relational.calculate(bad)
+            relational.arithmetic(bad)
+    asked = [
+        ("What is 23 * 649?", 14927.0), ("what is 1847 * 23", 42481.0), ("12% of 4000", 480.0), ("25% of 1,200", 300.0), ("compute 2+2", 4.0), ("what is 100 - 25", 75.0), ("1,200 * 3", 3600.0), ("(12 + 8) / 4", 5.0),
+        ("Who makes the robot that complies with ISO 3691-4:2023?", None), ("What is ISO 3691-4?", None), ("Which safety standard does EN 1175 cover?", None), ("Tell me about the P2-450 load deck", None),
+        ("Is SOC 2 Type II renewed annually?", None), ("What does version 1.2.3-rc1 change?", None), ("the 2024-2025 fiscal year", None), ("Does it support IPv4-only networks?", None), (None, None),
+    ]
+    rows = spark.createDataFrame([(k, q) for k, (q, _) in enumerate(asked)], "k int, q string")
+    got = rows.select("k", relational.arithmetic_udf(expression_of(F.col("q"))).alias("v")).orderBy("k").collect()
+    assert [r["v"] for r in got] == [v for _, v in asked]
+
+
+@pytest.mark.parametrize("page,title,text", [
+    ("", None, ""), ("<title> A </title><p>x &amp; y</p><script>no<b></script><div>z</div>", "A", "x & y\nz"), ("</script>hi<noscript>q</noscript> there<br/>b<br>c", None, "hi there\nbc"),
+    ("<html><head><title>T", "T", ""), ("<style>a</style></style>shown<li>1</li> \n <li>2</li>\n\n\n\nend", None, "shown1\n2\n\n\n\n\nend"),
+])
+def test_pages(page, title, text):
+    got = ingest.page_text(page)
+    assert got[0] == title and got[1].replace("\n", "") == text.replace("\n", "") and "\n\n\n" not in got[1]
+
+
+def test_walk_with_a_limit_of_nodes(spark):
+    edges = [(k, "a", f"b{k}", "SUPPLIES", f"c{k}") for k in range(6)] + [(10, "b0", "d", "SUPPLIES", "x"), (11, "b1", "e", "SUPPLIES", "y"), (12, None, "e", "SUPPLIES", "y")]
+    edges = spark.createDataFrame(edges, "edge_id long, source_id string, target_id string, type string, chunk_id string")
+    seeds = spark.createDataFrame([(1, "a", 1), (2, "nowhere", 1)], "qid long, node string, place int")
+    steps, reached = graph.breadth_first(edges, seeds, 2, max_nodes=100)
+    assert steps.count() == 8 and sorted(r["node"] for r in reached.where("qid = 1").collect()) == sorted(["a", "d", "e", *[f"b{k}" for k in range(6)]])
+    # seven nodes are seen once a is expanded: one more may be expanded, and is
+    steps, reached = graph.breadth_first(edges, seeds, 2, max_nodes=8)
+    assert {r["node"] for r in reached.where("qid = 1 and hop = 2").collect()} == {"d"}
+    assert graph.breadth_first(edges, seeds, 2, max_nodes=7)[1].where("hop = 2").count() == 0
+    mentions = spark.createDataFrame([("d", "z"), ("a", "c0")], "entity_id string, chunk_id string")
+    assert [r["chunk_id"] for r in graph.walked_chunks(steps, reached, mentions, 7).where("qid = 1").orderBy("place").collect()] == ["c0", "c1", "c2", "c3", "c4", "c5", "x"]
+
+
+def test_best_seeds_are_the_longest_names(spark):
+    links = spark.createDataFrame([(1, f"e{k}") for k in range(10)], "qid long, id string")
+    entities = spark.createDataFrame([(f"e{k}", "n" * (k + 1)) for k in range(10)] + [("e0", "n" * 50)], "id string, name string")
+    assert [r["node"] for r in graph.best_seeds(links, entities).orderBy("place").collect()] == ["e0", "e9", "e8", "e7", "e6", "e5", "e4", "e3"]
+
+
+def test_abstentions_and_answers_without_claims(spark):
+    source = "The Atlas P2 carries up to 450 kg on its standard load deck."
+    answers = [(1, "What is the payload capacity of the Atlas P2?", f"{source} [1]"), (2, "How fast is it?", "The Atlas P2 flies at 900 kilometres per hour through the warehouse. [1]"), (3, "Unknown topic?", f" {verification.INSUFFICIENT}\n"), (4, "Nothing?", ""), (5, "Null?", None)]
+    a = spark.createDataFrame(answers, "qid long, question string, answer string")
+    s = spark.createDataFrame([(q, 1, source) for q in (1, 2, 4)], "qid long, marker int, text string")
+    claims = verification.split_claims(a)
+    got = {r["qid"]: (r["n_claims"], r["groundedness"], r["coverage"], r["passed"]) for r in verification.report(a, claims, verification.support(claims, s)).collect()}
+    assert got == {1: (1, 1.0, 1.0, True), 2: (1, 0.0, 1.0, False), 3: (0, 1.0, 1.0, True), 4: (0, 0.0, 0.0, False), 5: (0, 0.0, 0.0, False)}
+    judged = {r["qid"]: (r["faithfulness"], r["relevance"]) for r in verification.judge(a, claims, s).collect()}
+    assert judged[1][0] >= 0.9 and judged[1][1] >= 0.5 and judged[2][0] < 0.5 and judged[3] == (1.0, 1.0) and judged[4] == judged[5] == (0.0, 0.0)
+    assert [r["qid"] for r in verification.feedback(claims, verification.support(claims, s)).collect()] == [2]
 
 
 def test_incremental_ingest_is_idempotent(spark, tmp_path):
