@@ -61,9 +61,10 @@ def report(answers: DataFrame, claims: DataFrame, supported: DataFrame) -> DataF
     return out.withColumn("passed", passed).drop("abstains")
 
 
-def feedback(claims: DataFrame, supported: DataFrame, most: int = 6) -> DataFrame:
-    """qid, n, problem: the first claims that no source supports or that cite nothing."""
-    bad = claims.join(supported, ["qid", "claim_no"]).where(~F.col("supported") | (F.size("cited") == 0))
+def feedback(answers: DataFrame, claims: DataFrame, supported: DataFrame, most: int = 6) -> DataFrame:
+    """qid, n, problem: the first claims that no source supports or that cite nothing, of answers that don't abstain."""
+    said = answers.where(~_abstains(F.col("answer"))).select("qid")
+    bad = claims.join(said, "qid", "left_semi").join(supported, ["qid", "claim_no"]).where(~F.col("supported") | (F.size("cited") == 0))
     n = F.row_number().over(Window.partitionBy("qid").orderBy("claim_no"))
     why = F.when(~F.col("supported"), "not supported by its sources").otherwise("cites no source")
     return bad.withColumn("n", n).where(F.col("n") <= most).select("qid", "n", F.concat(F.lit("- "), "claim", F.lit(": "), why).alias("problem"))

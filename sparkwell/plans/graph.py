@@ -14,6 +14,7 @@ from ..operators import extraction, graph
 from ..operators.relational import arithmetic_udf
 from ..session import shared_folder, table, use_shared_checkpoints
 from ..streaming import events as streams
+from .orphans import _key_sql
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,6 +268,25 @@ QUERIES = {
 
 _LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, target_id, type, chunk_id ORDER BY seen_at DESC, edge_id DESC) AS n FROM {} WHERE source_id IS NOT NULL AND target_id IS NOT NULL) x WHERE n = 1"
 _E = _LAST.format("edges")
+
+
+def _decompose_sql() -> str:
+    from .retrieval import _token_ctes
+
+    return f"""
+WITH q AS (SELECT DISTINCT item_id AS qid, question, strpos(lower(question), ' and ') AS pos FROM golden_items WHERE question IS NOT NULL),
+h AS (SELECT qid, question, pos, trim(substr(question, 1, pos - 1), ' ,') AS l, trim(substr(question, pos + 5), ' ,') AS r FROM q),
+n AS (SELECT *, row_number() OVER (ORDER BY qid, question) AS key FROM h), {_token_ctes('lt', 'n', 'key', 'l')}, {_token_ctes('rt', 'n', 'key', 'r')},
+s AS (SELECT n.*, pos > 0 AND length(l) >= {HALF_CHARS} AND length(r) >= {HALF_CHARS} AND len(list_distinct(lt.toks)) >= {HALF_WORDS} AND len(list_distinct(rt.toks)) >= {HALF_WORDS} AS split FROM n JOIN lt ON lt.key = n.key JOIN rt ON rt.key = n.key)
+SELECT qid, 0 AS branch, CASE WHEN split THEN rtrim(l, '?') || '?' ELSE question END AS part FROM s UNION SELECT qid, 1, rtrim(r, '?') || '?' FROM s WHERE split"""
+
+
+_FOLD = "replace(lower({}), 'ß', 'ss')".format
+_SEEDS_SQL = f"""
+WITH e AS (SELECT DISTINCT id, name FROM entities), k AS (SELECT DISTINCT id, {_key_sql('id')} AS key FROM e),
+m AS (SELECT DISTINCT {_key_sql('entity_id')} AS key, surface FROM mentions WHERE entity_id IS NOT NULL),
+names AS (SELECT id, {_FOLD('trim(name)')} AS name FROM e UNION SELECT k.id, {_FOLD('trim(m.surface)')} FROM m JOIN k ON k.key = m.key),
+"""
 _DOMAINS = ", ".join(f"('{t}', '{a}', '{b}')" for t, a, b in graph.DOMAINS)
 _STEPS = "SELECT source_id AS node, target_id AS neighbour, source_id, target_id, type FROM d UNION ALL SELECT target_id, source_id, source_id, target_id, type FROM d"
 
@@ -306,6 +326,9 @@ SQL = {
     "kg_used_entities": "SELECT DISTINCT id, entity_no FROM entities WHERE id IN (SELECT entity_id FROM mentions WHERE entity_id IS NOT NULL UNION SELECT source_id FROM edges WHERE source_id IS NOT NULL UNION SELECT target_id FROM edges WHERE target_id IS NOT NULL)",
     "kg_neighbours": f"WITH e AS ({_E}), b AS (SELECT source_id AS node, target_id AS neighbour, type, true AS is_source FROM e UNION ALL SELECT target_id, source_id, type, false FROM e) SELECT node, type, is_source, count(DISTINCT neighbour) AS n_neighbours FROM b GROUP BY ALL",
     "kg_walk": _walk_sql(3),
+    "decompose_split": _decompose_sql(),
+    "seed_link": _SEEDS_SQL + f"t AS (SELECT doc_id, {_FOLD('text')} AS x FROM documents) SELECT DISTINCT t.doc_id, n.id FROM t JOIN names n ON n.name <> '' AND contains(t.x, n.name)",
+    "seed_link_questions": _SEEDS_SQL + f"t AS (SELECT DISTINCT item_id AS qid, {_FOLD('question')} AS x FROM golden_items) SELECT DISTINCT t.qid, n.id FROM t JOIN names n ON n.name <> '' AND contains(t.x, n.name)",
     "kg_bfs": _bfs_sql(2, "SELECT qid, source_id, target_id, type, CAST(min(hop) AS INT) AS hop FROM w GROUP BY ALL"),
     "kg_reached": _bfs_sql(2, "SELECT qid, node, place, CAST(hop AS INT) AS hop FROM seen2"),
     "kg_paths": f"SELECT qid, 'hop ' || hop || ': ' || source_id || ' -[' || type || ']-> ' || target_id AS line FROM ({_walk_sql(2)}) w",

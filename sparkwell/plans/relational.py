@@ -68,7 +68,7 @@ STATEMENTS = {
     "eval_categories": "SELECT coalesce(category, 'none') AS category, difficulty, count(*) AS n_items, count(DISTINCT passage) AS n_passages FROM golden_items GROUP BY coalesce(category, 'none'), difficulty",
     "dedup_latest": "SELECT id, customer_id, status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC, status, customer_id, sku) AS rn FROM sales_orders) o WHERE rn = 1",
     "json_extract": "SELECT event_id, get_json_object(props, '$.k') AS k FROM events",
-    "dialect_dates": "SELECT event_id, date_text(ts) AS d, time_text(ts) AS t, datetime_text(ts) AS dt, round(julianday(ts), 6) AS jd, unixepoch(ts) AS epoch, strftime('%Y-%m %H:%M:%S / %d %j', ts) AS shown FROM events",
+    "dialect_dates": "SELECT event_id, date_text(ts) AS d, time_text(ts) AS t, datetime_text(ts) AS dt, round(julianday(ts), 3) AS jd, unixepoch(ts) AS epoch, strftime('%Y-%m %H:%M:%S / %d %j', ts) AS shown FROM events",
     "dialect_glob": "SELECT DISTINCT name FROM entities WHERE glob('*[aeiou]? *', name) OR glob('B*.?', name)",
 }
 
@@ -78,7 +78,7 @@ ELSEWHERE = {
     "json_extract": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "date_functions": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month_start FROM orders",
     "revenue_by_year": STATEMENTS["revenue_by_year"].replace("year(o.o_orderdate) AS y", "CAST(year(o.o_orderdate) AS INT) AS y"),
-    "dialect_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS dt, round(epoch_us(ts) / 86400000000.0::DOUBLE + 2440587.5::DOUBLE, 6) AS jd, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS epoch, strftime(ts, '%Y-%m %H:%M:%S / %d %j') AS shown FROM events",
+    "dialect_dates": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS d, strftime(ts, '%H:%M:%S') AS t, strftime(ts, '%Y-%m-%d %H:%M:%S') AS dt, round(epoch_us(ts) / 86400000000.0::DOUBLE + 2440587.5::DOUBLE, 3) AS jd, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS epoch, strftime(ts, '%Y-%m %H:%M:%S / %d %j') AS shown FROM events",
     "dialect_glob": "SELECT DISTINCT name FROM entities WHERE name GLOB '*[aeiou]? *' OR name GLOB 'B*.?'",
     "string_functions": STATEMENTS["string_functions"].replace("length(name) AS n", "CAST(length(name) AS INT) AS n").replace("instr(name, 'a')", "CAST(instr(name, 'a') AS INT)"),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import assembly, retrieval, verification
 from ..session import table, use_shared_checkpoints
-from .text import tokens_sql
+from .text import sentences_sql, tokens_sql
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +161,7 @@ def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verification.split_claims(_answered(spark, sf_dir))
+    return verification.split_claims(_answered(spark, sf_dir)).withColumn("cited", F.array_join("cited", ","))
 
 
 def lexical_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +257,54 @@ _ANSWERED = f"""
 WITH items AS (SELECT item_id AS qid, min(question) AS question, min(passage) AS passage, min(category) AS category, min(expected_substrings) AS expected FROM golden_items GROUP BY item_id),
 a AS (SELECT *, CASE WHEN qid % 11 = 0 THEN '{verification.INSUFFICIENT}' WHEN qid % 13 = 0 THEN '' ELSE regexp_replace(passage, '\\.( |$)', ' [1].\\1', 'g') || ' Nobody has ever counted wooden elephants [2]. [1]' END AS answer FROM items)
 """
+_CLAIMS = _ANSWERED + f"""
+, raws AS (SELECT qid, unnest(ss) AS raw, generate_subscripts(ss, 1) AS pos FROM (SELECT qid, {sentences_sql('answer')} AS ss FROM a WHERE answer <> '') x),
+pieces AS (SELECT qid, pos, trim(regexp_replace(regexp_replace(raw, '\\[\\d{{1,2}}\\]', '', 'g'), '\\s+', ' ', 'g')) AS claim, list_transform(regexp_extract_all(raw, '\\[(\\d{{1,2}})\\]', 1), lambda x: CAST(x AS INT)) AS marks FROM raws),
+counted AS (SELECT *, length(claim) >= 3 AS whole, sum(CASE WHEN length(claim) >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY pos) AS claim_no FROM pieces),
+claims AS (SELECT qid, CAST(claim_no AS BIGINT) AS claim_no, max(CASE WHEN whole THEN claim END) AS claim, list_sort(list_distinct(flatten(list(marks)))) AS cited FROM counted WHERE claim_no > 0 GROUP BY ALL)
+"""
+_SUPPORT = _CLAIMS + f"""
+, ck AS (SELECT qid * 1000 + claim_no AS key, qid, claim_no, cited, claim FROM claims), {_token_ctes('ct', 'ck', 'key', 'claim')},
+sk AS (SELECT qid * 10 + 1 AS key, qid, 1 AS marker, passage AS text FROM items UNION ALL SELECT qid * 10 + 2, qid, 2, question FROM items), {_token_ctes('st', 'sk', 'key', 'text')},
+cw AS (SELECT ck.*, list_distinct(ct.toks) AS words FROM ck JOIN ct ON ct.key = ck.key), sw AS (SELECT sk.qid, sk.marker, list_distinct(st.toks) AS words FROM sk JOIN st ON st.key = sk.key),
+met AS (SELECT cw.qid, cw.claim_no, cw.cited, len(cw.words) AS n, s.marker, coalesce(list_contains(cw.cited, s.marker), false) AS cites, len(list_intersect(cw.words, s.words)) AS shared FROM cw LEFT JOIN sw s ON s.qid = cw.qid),
+pool AS (SELECT *, bool_or(cites) OVER (PARTITION BY qid, claim_no) AS any_cited FROM met),
+support AS (SELECT qid, claim_no, any_value(cited) AS cited, max(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE coalesce(shared / n, 0) END) AS best FROM pool WHERE cites OR NOT any_cited GROUP BY qid, claim_no)
+"""
 SQL = {
+    "claim_split": _CLAIMS + "SELECT qid, claim_no, claim, array_to_string(cited, ',') AS cited FROM claims",
+    "lexical_support": _SUPPORT + f"SELECT qid, claim_no, round(best, 6) AS best, best >= {verification.SUPPORT} AS supported FROM support",
+    "verify_report": _SUPPORT
+    + f"""
+, per AS (SELECT qid, count(*) AS n, round(avg(CASE WHEN best >= {verification.SUPPORT} THEN 1.0::DOUBLE ELSE 0 END), 3) AS grounded, round(avg(CASE WHEN len(cited) > 0 THEN 1.0::DOUBLE ELSE 0 END), 3) AS cites FROM support GROUP BY qid),
+r AS (SELECT a.qid, trim(a.answer) = '{verification.INSUFFICIENT}' AS abstains, per.* EXCLUDE (qid) FROM a LEFT JOIN per ON per.qid = a.qid),
+v AS (SELECT qid, abstains, CASE WHEN abstains THEN 0 ELSE coalesce(n, 0) END AS n_claims, CASE WHEN abstains THEN 1.0::DOUBLE ELSE coalesce(grounded, 0) END AS groundedness, CASE WHEN abstains THEN 1.0::DOUBLE ELSE coalesce(cites, 0) END AS coverage FROM r)
+SELECT qid, n_claims, groundedness, coverage, abstains OR (groundedness >= {verification.PASS_GROUNDED} AND coverage >= {verification.PASS_COVERED}) AS passed FROM v""",
+    "judge_lexical": _SUPPORT
+    + f"""
+, best AS (SELECT qid, claim_no, max(shared / n) AS b FROM met WHERE n > 0 GROUP BY qid, claim_no), faith AS (SELECT qid, round(avg(b), 3) AS f FROM best GROUP BY qid),
+qk AS (SELECT qid, question FROM a), {_token_ctes('qq', 'qk', 'qid', 'question')}, ak AS (SELECT qid, answer FROM a), {_token_ctes('aa', 'ak', 'qid', 'answer')},
+rel AS (SELECT a.qid, a.answer, CASE WHEN len(list_distinct(q.toks)) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(list_distinct(q.toks), list_distinct(w.toks))) / len(list_distinct(q.toks)), 3) END AS r FROM a JOIN qq q ON q.qid = a.qid JOIN aa w ON w.qid = a.qid)
+SELECT rel.qid, CASE WHEN trim(answer) = '{verification.INSUFFICIENT}' THEN 1.0::DOUBLE WHEN c.qid IS NULL THEN 0 ELSE coalesce(f.f, 0) END AS faithfulness,
+  CASE WHEN trim(answer) = '{verification.INSUFFICIENT}' THEN 1.0::DOUBLE WHEN c.qid IS NULL THEN 0 ELSE rel.r END AS relevance
+FROM rel LEFT JOIN (SELECT DISTINCT qid FROM claims) c ON c.qid = rel.qid LEFT JOIN faith f ON f.qid = rel.qid""",
+    "extractive_answer": _ANSWERED
+    + f"""
+, qk AS (SELECT qid, question FROM items), {_token_ctes('qq', 'qk', 'qid', 'question')},
+said AS (SELECT qid, unnest(ss) AS sentence, generate_subscripts(ss, 1) AS pos FROM (SELECT qid, {sentences_sql('passage')} AS ss FROM items) x),
+sk AS (SELECT qid * 10000 + pos AS key, qid, pos, sentence FROM said), {_token_ctes('st', 'sk', 'key', 'sentence')},
+met AS (SELECT s.qid, s.pos, s.sentence, len(list_intersect(list_distinct(q.toks), list_distinct(t.toks))) AS n FROM sk s JOIN st t ON t.key = s.key JOIN qq q ON q.qid = s.qid),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, pos) AS place FROM met WHERE n > 0),
+one AS (SELECT * FROM ranked WHERE place = 1),
+two AS (SELECT r.qid, arg_min(r.sentence, r.place) AS sentence FROM ranked r JOIN one o ON o.qid = r.qid WHERE r.place > 1 AND r.n >= greatest(2, o.n - 1) AND r.sentence <> o.sentence AND r.n = o.n GROUP BY r.qid)
+SELECT o.qid, o.sentence || ' [1]' || CASE WHEN t.sentence IS NULL THEN '' ELSE ' ' || t.sentence || ' [1]' END AS answer FROM one o LEFT JOIN two t ON t.qid = o.qid""",
+    "greedy_pack": _EVIDENCE.replace("WITH o AS", "WITH RECURSIVE o AS")
+    + f"""
+, p AS (SELECT qid, id, text, ord, greatest(1, length(text) // 4) AS cost, row_number() OVER (PARTITION BY qid ORDER BY fused_score DESC, ord) AS k FROM g),
+w AS (SELECT qid, 0 AS k, 0 AS used, 0 AS picked, false AS fits FROM (SELECT DISTINCT qid FROM p) q UNION ALL
+  SELECT qid, k, used + CASE WHEN ok THEN cost ELSE 0 END, picked + CASE WHEN ok THEN 1 ELSE 0 END, ok FROM (
+    SELECT w.qid, p.k, w.used, w.picked, p.cost, w.picked < {assembly.MOST_SOURCES} AND (w.picked = 0 OR w.used + p.cost <= {assembly.BUDGET}) AS ok FROM w JOIN p ON p.qid = w.qid AND p.k = w.k + 1) x)
+SELECT w.qid, CAST(w.picked AS INT) AS marker, p.id, CAST(p.cost AS INT) AS cost FROM w JOIN p ON p.qid = w.qid AND p.k = w.k WHERE w.fits""",
     "term_stats": f"WITH {_token_ctes('dt', 'documents', 'doc_id', 'text')}, p AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM dt), c AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p, c GROUP BY term",
     "bm25_topk": _BM25 + "SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5",
     "bm25_normalised": _BM25 + "SELECT qid, doc_id, round(score / max(score) OVER (PARTITION BY qid), 4) AS score FROM r WHERE rank <= 8",

@@ -228,7 +228,7 @@ def test_abstentions_and_answers_without_claims(spark):
     assert got == {1: (1, 1.0, 1.0, True), 2: (1, 0.0, 1.0, False), 3: (0, 1.0, 1.0, True), 4: (0, 0.0, 0.0, False), 5: (0, 0.0, 0.0, False)}
     judged = {r["qid"]: (r["faithfulness"], r["relevance"]) for r in verification.judge(a, claims, s).collect()}
     assert judged[1][0] >= 0.9 and judged[1][1] >= 0.5 and judged[2][0] < 0.5 and judged[3] == (1.0, 1.0) and judged[4] == judged[5] == (0.0, 0.0)
-    assert [r["qid"] for r in verification.feedback(claims, verification.support(claims, s)).collect()] == [2]
+    assert [r["qid"] for r in verification.feedback(a, claims, verification.support(claims, s)).collect()] == [2]
 
 
 def test_incremental_ingest_is_idempotent(spark, tmp_path):
