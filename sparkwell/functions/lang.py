@@ -42,8 +42,8 @@ ENGLISH_ONLY = [w for w in STOPWORDS["en"] if w not in set(STOPWORDS["de"])]
 
 
 def listed_in(word: Column, words: list[str]) -> Column:
-    """Whether a word without commas is listed; the list is one literal, so plans stay small."""
-    return F.find_in_set(word, F.lit(",".join(words))) > 0
+    """Whether a word is listed: Spark makes a hash set of the list."""
+    return word.isin(words)
 
 
 def hits(words: Column, listed: list[str]) -> Column:
@@ -53,8 +53,8 @@ def hits(words: Column, listed: list[str]) -> Column:
 
 def script_counts(text: Column) -> dict[str, Column]:
     """Letters by script; one Chinese or Japanese character weighs as much as a short word."""
-    letters = F.regexp_replace(text, r"[^\p{L}]", "")
-    only = lambda cls: F.length(F.regexp_replace(letters, f"[^{cls}]", "")).cast("double")
+    letters = F.regexp_replace(text, r"[^\p{L}]+", "")
+    only = lambda cls: F.length(F.regexp_replace(letters, f"[^{cls}]+", "")).cast("double")
     return {"latin": only("\\x{00}-\\x{036f}"), "arabic": only(ARABIC), "cjk": only(CJK) * CJK_WEIGHT}
 
 
@@ -64,7 +64,7 @@ def english_or_german(text: Column) -> Column:
     words = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9äöüß]+"), F.lit(0)), lambda w: ~w.rlike("[0-9]"))
     de, en = hits(words, GERMAN_ONLY), hits(words, ENGLISH_ONLY)
     long_de = hits(words, [w for w in GERMAN_ONLY if len(w) > 2])
-    chars = F.length(F.regexp_replace(low, f"[^{GERMAN_CHARS}]", ""))
+    chars = F.length(F.regexp_replace(low, f"[^{GERMAN_CHARS}]+", ""))
     n = F.size(words)
     score = de + chars * 2
     needed = F.when(chars > 0, 2).otherwise(3)
@@ -81,14 +81,18 @@ def arabic_or_urdu(text: Column) -> Column:
 
 def detect_language(text: Column) -> Column:
     """Code of the language that contributes most; en when nothing is known."""
-    n = script_counts(text)
-    latin, arabic, cjk = n["latin"], n["arabic"], n["cjk"]
-    return (
-        F.when(text.isNull() | (latin + arabic + cjk == 0), "en")
-        .when((cjk > latin) & (cjk > arabic), "zh")
-        .when(arabic > latin, arabic_or_urdu(text))
-        .otherwise(english_or_german(text))
-    )
+
+    def by_script(n: Column) -> Column:
+        latin, arabic, cjk = n["latin"], n["arabic"], n["cjk"]
+        return (
+            F.when(text.isNull() | (latin + arabic + cjk == 0), "en")
+            .when((cjk > latin) & (cjk > arabic), "zh")
+            .when(arabic > latin, arabic_or_urdu(text))
+            .otherwise(english_or_german(text))
+        )
+
+    # bound once, so that the letters aren't counted again for every comparison
+    return F.transform(F.array(F.struct(*[c.alias(name) for name, c in script_counts(text).items()])), by_script)[0]
 
 
 def language_name(code: Column) -> Column:

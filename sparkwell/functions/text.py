@@ -26,9 +26,12 @@ def close_cjk_gaps(text: Column) -> Column:
 def raw_tokens(text: Column) -> Column:
     """Lower-case words, numbers and codes; Chinese runs as overlapping pairs."""
     pieces = F.regexp_extract_all(close_cjk_gaps(F.lower(text)), F.lit(TOKEN), F.lit(0))
+    # most texts have no such runs, and their pieces are the tokens
+    plain = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
     runs = F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(f"[{CJK}]+|[^{CJK}]+"), F.lit(0))))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), pairs(r)).otherwise(F.array(r))))
+    cut = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]"), pairs(r)).otherwise(F.array(r))))
+    return F.when(text.rlike(f"[{CJK}]"), cut).otherwise(plain)
 
 
 def tokens(text: Column, language: Column | None = None) -> Column:
@@ -37,7 +40,7 @@ def tokens(text: Column, language: Column | None = None) -> Column:
     raw = raw_tokens(text)
 
     def kept(words: list[str]) -> Column:
-        keep = lambda t: F.when(t.rlike(f"^[{CJK}]"), ~t.rlike(f"^[{CHINESE_STOP_CHARS}]+$")).otherwise((F.length(t) > 1) & (~listed_in(t, words) if words else F.lit(True)))
+        keep = lambda t: F.when((t >= CJK[0]) & t.rlike(f"^[{CJK}]"), ~t.rlike(f"^[{CHINESE_STOP_CHARS}]+$")).otherwise((F.length(t) > 1) & (~listed_in(t, words) if words else F.lit(True)))
         return F.filter(raw, keep)
 
     def by_language(code: Column) -> Column:

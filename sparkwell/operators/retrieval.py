@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import spread
+from ..session import spread, use_shared_checkpoints
 
 K1, B, RRF_K, DIM = 1.5, 0.75, 60, 768
 
@@ -31,30 +31,26 @@ def term_stats(post: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def corpus_stats(docs: DataFrame, post: DataFrame) -> DataFrame:
-    """One row: number of documents, mean length in tokens; texts aren't read again."""
-    return docs.agg(F.count("*").alias("n")).join(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avg_len"))
-
-
 def top_k(scored: DataFrame, k: int, tie: str, by: str = "qid") -> DataFrame:
     """The k best rows of each question with their rank from 1."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), F.asc(tie))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, questions: DataFrame, key: str, k: int = 5) -> DataFrame:
+def bm25(docs: DataFrame, questions: DataFrame, key: str, k: int = 5, text: str = "text") -> DataFrame:
     """qid, key, score, rank of the best documents of each question (qid, question).
 
     A term asked twice counts twice; only positive scores rank; ties go by the key.
     """
-    # the index: tokenised once, then read by the counts, the weights and the scores
-    post = postings(docs, key).persist()
-    post.count()
-    stats = corpus_stats(docs, post)
+    use_shared_checkpoints(docs.sparkSession)
     asked = questions.select("qid", F.explode(tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    # only postings of asked terms go on
-    post = post.join(terms, "term", "left_semi")
+    # documents are tokenised once: a row of the empty term for each tells its length, and of the others only asked ones go on
+    said = spread(docs.select(key, text)).select(key, tokens(F.col(text)).alias("words"))
+    rows = said.select(key, F.size("words").alias("doc_len"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    terms = asked.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    index = rows.join(terms, "term", "left_semi").groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf")).checkpoint()
+    stats = index.where("term = ''").agg(F.count("*").alias("n"), F.avg(F.greatest("doc_len", F.lit(0))).alias("avg_len"))
+    post = index.where("term <> ''")
     weights = term_stats(post, stats)
     met = asked.join(weights, "term").join(post, "term").join(F.broadcast(stats.select("avg_len")))
     tf = F.col("tf")

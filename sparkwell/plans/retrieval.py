@@ -21,12 +21,6 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.agg(F.min("question").alias("question"))
 
 
-def _ascii_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The questions that the SQL of bm25_topk and bm25_normalised asks; the queries named _all ask every one."""
-    items = table(spark, sf_dir, "golden_items").where(F.col("question").rlike("^[ -~]+$")).groupBy(F.col("item_id").alias("qid"))
-    return items.agg(F.min("question").alias("question"))
-
-
 def _en_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.postings(_docs(spark, sf_dir), "doc_id")
 
@@ -46,7 +40,7 @@ def _normalised(docs: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(_docs(spark, sf_dir), _ascii_questions(spark, sf_dir))
+    return _best(_docs(spark, sf_dir), _questions(spark, sf_dir))
 
 
 def bm25_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +48,7 @@ def bm25_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _normalised(_docs(spark, sf_dir), _ascii_questions(spark, sf_dir))
+    return _normalised(_docs(spark, sf_dir), _questions(spark, sf_dir))
 
 
 def bm25_normalised_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +195,7 @@ def retrieved_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- the same in SQL
-_ASKED = "SELECT item_id AS qid, min(question) AS question FROM golden_items WHERE regexp_matches(question, '^[ -~]+$') GROUP BY item_id"
+_ASKED = "SELECT item_id AS qid, min(question) AS question FROM golden_items WHERE question IS NOT NULL GROUP BY item_id"
 
 QUERIES = {
     f.__name__: f
@@ -245,6 +239,30 @@ s AS (SELECT q.qid, p.doc_id, round(sum(q.qtf * ln(1 + (stats.n - df.df + 0.5) /
       FROM q JOIN df USING (term) JOIN post p USING (term), stats GROUP BY q.qid, p.doc_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
 """
+
+
+def _vectors_sql(name: str, source: str, key: str, x: str) -> str:
+    """CTE `name`: key, bucket, value of hashed vectors."""
+    triples = "list_transform(range(1, length(t) - 1), lambda i: 'cg:' || substr(t, i, 3))"
+    return f"""{_token_ctes(name + "_t", source, key, x)},
+{name}_f AS (SELECT {key}, unnest(CASE WHEN length(t) >= 5 THEN list_concat([t], {triples}) ELSE [t] END) AS feature FROM (SELECT {key}, unnest(toks) AS t FROM {name}_t) y),
+{name}_w AS (SELECT {key}, feature, (1 + ln(count(*))) * CASE WHEN feature LIKE 'cg:%' THEN 0.4::DOUBLE ELSE 1 END AS weight FROM {name}_f GROUP BY {key}, feature),
+{name}_b AS (SELECT {key}, CAST(('0x' || substr(md5(feature), 1, 8))::BIGINT % 768 AS INT) AS bucket, sum(weight * CASE WHEN ('0x' || substr(md5(feature), 9, 2))::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM {name}_w GROUP BY 1, 2),
+{name} AS (SELECT {key}, bucket, v / CASE WHEN n = 0 THEN 1 ELSE n END AS value FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY {key})) AS n FROM {name}_b) z)"""
+
+
+_HASHED = f"""
+WITH asked AS ({_ASKED}), {_vectors_sql("dv", "documents", "doc_id", "text")}, {_vectors_sql("qv", "asked", "qid", "question")},
+hs AS (SELECT qv.qid, dv.doc_id, round(sum(qv.value * dv.value), 9) AS score FROM qv JOIN dv USING (bucket) GROUP BY ALL),
+hr AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INT) AS rank FROM hs)
+"""
+_HYBRID = f"""
+WITH h AS ({_HASHED} SELECT qid, doc_id, rank FROM hr WHERE rank <= 8), b AS ({_BM25} SELECT qid, doc_id, rank FROM r WHERE rank <= 8),
+l AS (SELECT qid, doc_id, rank - 1 AS place, 0 AS source FROM h UNION ALL SELECT qid, doc_id, rank - 1, 1 FROM b),
+f AS (SELECT qid, doc_id, sum(1.0::DOUBLE / ({retrieval.RRF_K} + place)) AS score, min(source * 100000 + place) AS first FROM l GROUP BY qid, doc_id),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, first) AS INT) AS rank FROM f)
+SELECT qid, doc_id, round(score / max(score) OVER (PARTITION BY qid), 4) AS score, rank FROM o WHERE rank <= 5
+"""
 _DOT = "list_sum(list_transform(list_zip(q, embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
 _EVIDENCE = """
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY position, id, text) AS ord FROM (SELECT DISTINCT doc_id AS qid, id, text, position FROM chunks) c),
@@ -307,6 +325,10 @@ w AS (SELECT qid, 0 AS k, 0 AS used, 0 AS picked, false AS fits FROM (SELECT DIS
 SELECT w.qid, CAST(w.picked AS INT) AS marker, p.id, CAST(p.cost AS INT) AS cost FROM w JOIN p ON p.qid = w.qid AND p.k = w.k WHERE w.fits""",
     "term_stats": f"WITH {_token_ctes('dt', 'documents', 'doc_id', 'text')}, p AS (SELECT DISTINCT doc_id, unnest(toks) AS term FROM dt), c AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM p, c GROUP BY term",
     "bm25_topk": _BM25 + "SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5",
+    "bm25_topk_all": _BM25 + "SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5",
+    "bm25_normalised_all": _BM25 + "SELECT qid, doc_id, round(score / max(score) OVER (PARTITION BY qid), 4) AS score FROM r WHERE rank <= 8",
+    "hashed_search": _HASHED + "SELECT qid, doc_id, round(score, 6) AS score FROM hr WHERE rank <= 5",
+    "hybrid_rrf": _HYBRID,
     "bm25_normalised": _BM25 + "SELECT qid, doc_id, round(score / max(score) OVER (PARTITION BY qid), 4) AS score FROM r WHERE rank <= 8",
     "l2_norm": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS norm FROM embeddings",
     "cosine_topk": f"WITH a AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT qid, vec_id, {_DOT} AS score FROM embeddings, a), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) SELECT qid, vec_id, round(score, 5) AS score, rank FROM r WHERE rank <= 5",
