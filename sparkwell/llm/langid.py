@@ -10,7 +10,9 @@ belong to another language than their label are left out of the second.
 Codes, figures, addresses and capitalised names have no language and are taken out
 first; in a line with words of another script, so are Latin letters. The network
 reads what is left of every line, and the line's probabilities are pooled over all
-its positions. A
+its positions. A line of six words or more of which training has seen hardly any is in another
+language than the five, and counts as without one. Stretches go by the positions themselves where a line may be mixed:
+words take the mean of their positions, and a change of language has to gain more than it costs. A
 unit's languages are those of its whole sentences, headings and lines; the confidence
 is the share of probability that the network gives to the language there. Neighbouring
 lines of one language form a stretch.
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lang import STOPWORDS
 from .sentences import sentence_ends
 
 LANGUAGES = ("en", "de", "zh", "ar", "ur")
@@ -113,8 +116,8 @@ class ByteGRU:
             out[t, j:] = s
         return out
 
-    def pooled(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Probabilities of lines (time, batch), in order of their sizes, pooled over their positions."""
+    def positions(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Probabilities (time, batch, languages) at every position of lines (time, batch), in order of their sizes."""
         first = np.searchsorted(sizes, np.arange(len(x)), side="right")
         x = x.astype(np.intp)
         h = self.h
@@ -123,7 +126,11 @@ class ByteGRU:
         p += self.c
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
-        p = p.reshape(*x.shape, -1)
+        return p.reshape(*x.shape, -1)
+
+    def pooled(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Probabilities of lines, pooled over their positions."""
+        p = self.positions(x, sizes)
         p *= (np.arange(len(x))[:, None] < sizes)[:, :, None]
         return p.sum(0) / np.maximum(sizes, 1)[:, None]
 
@@ -194,13 +201,14 @@ class ByteGRU:
         return ge, gu, gb
 
     def loss_gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Mean cross entropy over the positions of the lines, and its gradients."""
+        """Mean cross entropy over the positions of the lines, and its gradients; y: a label for each line, or for each position."""
         p, hf, hb, kf, kb = self.forward(x, mask, keep=True)
         total, h = mask.sum(), self.h
-        at = np.take_along_axis(p, np.broadcast_to(y[None, :, None], (*x.shape, 1)), -1)[..., 0]
+        labels = np.broadcast_to(y, x.shape)[..., None]
+        at = np.take_along_axis(p, labels, -1)[..., 0]
         loss = float(-(np.log(np.maximum(at, 1e-9)) * mask).sum() / total)
         dl = p.copy()
-        np.put_along_axis(dl, np.broadcast_to(y[None, :, None], (*x.shape, 1)), np.take_along_axis(dl, np.broadcast_to(y[None, :, None], (*x.shape, 1)), -1) - 1, -1)
+        np.put_along_axis(dl, labels, np.take_along_axis(dl, labels, -1) - 1, -1)
         dl *= (mask / total)[..., None]
         flat = dl.reshape(-1, dl.shape[-1])
         gw = np.concatenate([hf.reshape(-1, h).T @ flat, hb.reshape(-1, h).T @ flat])
@@ -209,8 +217,8 @@ class ByteGRU:
         return loss, [gf[0], gf[1], gf[2], gb[0], gb[1], gb[2], gw, flat.sum(0)]
 
 
-def train(lines: list[tuple[bytes, int]], steps: int = 160, batch: int = 120, width: int = 56, seed: int = 7, model: ByteGRU | None = None, rate: float = 0.02) -> ByteGRU:
-    """Adam over random windows of the lines, as many of each language."""
+def train(lines: list[tuple[bytes, int]], steps: int = 160, batch: int = 120, width: int = 56, seed: int = 7, model: ByteGRU | None = None, rate: float = 0.02, mixed: float = 0.0) -> ByteGRU:
+    """Adam over random windows of the lines, as many of each language; a share `mixed` of them goes on in another one."""
     r = np.random.default_rng(seed)
     model = model or ByteGRU()
     by = [[b for b, y in lines if y == k and len(b) >= 4] for k in range(len(LANGUAGES))]
@@ -220,13 +228,21 @@ def train(lines: list[tuple[bytes, int]], steps: int = 160, batch: int = 120, wi
     ws = model.weights()
     m, v = [np.zeros_like(w) for w in ws], [np.zeros_like(w) for w in ws]
     for step in range(1, steps + 1):
-        x, mask, y = np.zeros((width, batch), np.uint8), np.zeros((width, batch), np.float32), np.zeros(batch, np.int64)
+        x, mask, y = np.zeros((width, batch), np.uint8), np.zeros((width, batch), np.float32), np.zeros((width, batch), np.int64)
         for j in range(batch):
             k = present[j % len(present)]
             line = by[k][int(r.integers(len(by[k])))]
             a = int(r.integers(max(1, len(line) - width + 1)))
             part = np.frombuffer(line[a : a + width], np.uint8)
-            x[: len(part), j], mask[: len(part), j], y[j] = part, 1, k
+            x[: len(part), j], mask[: len(part), j], y[:, j] = part, 1, k
+            if mixed and r.random() < mixed:
+                other = present[int(r.integers(len(present)))]
+                second = by[other][int(r.integers(len(by[other])))]
+                # both start with whole words
+                cut = line[a : a + width].rfind(b" ", 0, int(r.integers(width // 3, width))) + 1
+                more = np.frombuffer(second[: width - cut], np.uint8)
+                x[cut : cut + len(more), j], mask[: cut + len(more), j], y[cut:, j] = more, 1, other
+                x[cut + len(more) :, j], mask[cut + len(more) :, j] = 0, 0
         _, grads = model.loss_gradients(x, mask, y)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         for w, g, mm, vv in zip(ws, grads, m, v):
@@ -262,9 +278,8 @@ def prepared(line: str) -> tuple[str, int]:
     return " ".join(words).lower(), 2 if caps >= 5 and caps * 2 > len(words) else 1 if words else 0
 
 
-def line_probabilities(model: ByteGRU, lines: list[bytes], block: int = 1 << 18) -> np.ndarray:
-    """Probabilities of each line, pooled over its positions; lines of like length go together."""
-    out = np.zeros((len(lines), len(LANGUAGES)))
+def _batches(lines: list[bytes], block: int = 1 << 18) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Numbers, bytes (time, line) and sizes of lines of like length."""
     order = sorted(range(len(lines)), key=lambda k: len(lines[k]))
     first = 0
     while first < len(order):
@@ -275,12 +290,79 @@ def line_probabilities(model: ByteGRU, lines: list[bytes], block: int = 1 << 18)
         width = max(1, len(lines[part[-1]]))
         sizes = np.array([len(lines[k]) for k in part])
         x = np.frombuffer(b"".join(lines[k].ljust(width, b" ") for k in part), np.uint8).reshape(len(part), width).T
-        out[part] = model.pooled(np.ascontiguousarray(x), sizes)
+        yield part, np.ascontiguousarray(x), sizes
         first = last
+
+
+def line_probabilities(model: ByteGRU, lines: list[bytes]) -> np.ndarray:
+    """Probabilities of each line, pooled over its positions."""
+    out = np.zeros((len(lines), len(LANGUAGES)))
+    for part, x, sizes in _batches(lines):
+        out[part] = model.pooled(x, sizes)
+    return out
+
+
+class Detector:
+    """The trained network, and the words that it was trained on: lines of hardly any known word are in another language."""
+
+    def __init__(self, model: ByteGRU, vocabulary: set[str]):
+        self.model, self.vocabulary = model, vocabulary
+
+    def knows(self, words: str, least: float = 0.15, enough: int = 6) -> bool:
+        units = [c for w in words.split() for c in (w if "぀" <= w[0] <= "鿿" else (w,))]
+        return len(units) < enough or sum(u in self.vocabulary for u in units) >= least * len(units)
+
+
+_UNIT = re.compile(r"[぀-鿿]|[^\W\d_぀-鿿]+")
+#: What a change of language within a line has to gain, in the logarithm of probability.
+SWITCH = 12.0
+
+
+def may_be_mixed(line: str, p: np.ndarray | None) -> bool:
+    """Whether a line is worth a look at every position: whole words of two scripts, or an unsure network."""
+    latin = sum(len(w) > 1 and w.isascii() and w.islower() for w in line.split())
+    other = len("".join(_FOREIGN.findall(line))) if not line.isascii() else 0
+    return latin >= 2 and other >= 4 or p is not None and float(p.max()) < 0.9 and len(line.split()) >= 6
+
+
+def line_parts(detector: Detector, lines: list[str]) -> list[list[tuple[int, int, float]]]:
+    """For each line its parts of one language: (end, language, confidence), from the labels of all positions.
+
+    Words take the mean of their positions; the parts are the likeliest ones if each change costs SWITCH.
+    """
+    spans = [[m.span() for m in _UNIT.finditer(line) if not (m.group()[0].isupper() and m.start())] for line in lines]
+    coded = [[line[a:b].lower().encode("utf-8", "replace") for a, b in own] for line, own in zip(lines, spans)]
+    out: list[list[tuple[int, int, float]]] = [[] for _ in lines]
+    for part, x, sizes in _batches([b" ".join(c) for c in coded]):
+        every = np.log(np.maximum(detector.model.positions(x, sizes), 1e-6))
+        for column, k in enumerate(part):
+            own, at = spans[k], 0
+            if not own:
+                continue
+            score = np.zeros((len(own), len(LANGUAGES)))
+            for w, code in enumerate(coded[k]):
+                score[w] = every[at : at + len(code), column].mean(0) * (2 if len(code) > 3 else 1)
+                at += len(code) + 1
+            best, back = score[0].copy(), np.zeros(score.shape, np.int64)
+            for w in range(1, len(own)):
+                jump = int(best.argmax())
+                stay = best >= best[jump] - SWITCH
+                back[w] = np.where(stay, np.arange(len(LANGUAGES)), jump)
+                best = np.where(stay, best, best[jump] - SWITCH) + score[w]
+            path = [int(best.argmax())]
+            for w in range(len(own) - 1, 0, -1):
+                path.append(int(back[w][path[-1]]))
+            path.reverse()
+            first = 0
+            for w in range(1, len(own) + 1):
+                if w == len(own) or path[w] != path[first]:
+                    sure = float(np.exp(score[first:w, path[first]] / np.array([2 if len(c) > 3 else 1 for c in coded[k][first:w]])).mean())
+                    out[k].append((own[w][0] if w < len(own) else len(lines[k]), path[first], sure))
+                    first = w
     return out
 
 
-def _tell(model: ByteGRU, texts: list[str], known: dict) -> list[list[tuple[int, int, int, float, int, str]]]:
+def _tell(detector: Detector, texts: list[str], known: dict) -> list[list[tuple[int, int, int, float, int, str]]]:
     """For each text its lines: start, end, language (-1: none), confidence, strength, mark (whole, cut at the start, cut at the end)."""
     new: dict[str, int] = {}
     rows = []
@@ -294,9 +376,9 @@ def _tell(model: ByteGRU, texts: list[str], known: dict) -> list[list[tuple[int,
             lines.append((start, end, words, strong, line))
             start = end
         rows.append(lines)
-    p = line_probabilities(model, [w.encode("utf-8", "replace") for w in new])
+    p = line_probabilities(detector.model, [w.encode("utf-8", "replace") for w in new])
     for words, k in new.items():
-        known[words] = p[k]
+        known[words] = p[k] if detector.knows(words) else None
     out = []
     for text, lines in zip(texts, rows):
         told = []
@@ -370,46 +452,56 @@ STRETCH = T.StructType([
 PART = 10_000
 
 
-def _languages_of(batches: Iterator[pd.DataFrame], model: ByteGRU, sure: float) -> Iterator[pd.DataFrame]:
+def _languages_of(batches: Iterator[pd.DataFrame], detector: Detector, sure: float) -> Iterator[pd.DataFrame]:
     known: dict = {}
     for pdf in batches:
         rows = []
         for a in range(0, len(pdf), PART):
             part = pdf.iloc[a : a + PART]
-            for table, unit, label, told in zip(part["unit_table"], part["unit_id"], part["label"], _tell(model, part["text"].tolist(), known)):
-                found = _summary(told, table == "chunks", sure)
+            for table, unit, label, cut, told in zip(part["unit_table"], part["unit_id"], part["label"], part["is_piece"], _tell(detector, part["text"].tolist(), known)):
+                found = _summary(told, cut, sure)
                 rows += [(table, unit, label, language, n, confidence, len(found)) for language, n, confidence in found]
             if len(known) > KNOWN:
                 known.clear()
         yield pd.DataFrame(rows, columns=[f.name for f in TOLD.fields]).astype({"n_lines": "int32", "n_languages": "int32"})
 
 
-def _stretches_of(batches: Iterator[pd.DataFrame], model: ByteGRU) -> Iterator[pd.DataFrame]:
+def _stretches_of(batches: Iterator[pd.DataFrame], detector: Detector) -> Iterator[pd.DataFrame]:
     known: dict = {}
     for pdf in batches:
         rows = []
         for a in range(0, len(pdf), PART):
             part = pdf.iloc[a : a + PART]
             texts = part["text"].tolist()
-            for table, unit, text, told in zip(part["unit_table"], part["unit_id"], texts, _tell(model, texts, known)):
+            told = _tell(detector, texts, known)
+            # lines that may change their language are labelled position by position
+            mixed = [(u, n, text[start:end]) for u, (text, lines) in enumerate(zip(texts, told)) for n, (start, end, language, confidence, strong, _) in enumerate(lines) if language >= 0 and may_be_mixed(text[start:end], np.array([confidence]))]
+            parts = {(u, n): own for (u, n, _), own in zip(mixed, line_parts(detector, [line for _, _, line in mixed])) if len({x[1] for x in own}) > 1}
+            for u, (table, unit, text, lines) in enumerate(zip(part["unit_table"], part["unit_id"], texts, told)):
                 own: list[list] = []
-                for start, end, language, confidence, strong, _ in told:
+                pieces = []
+                for n, (start, end, language, confidence, strong, _) in enumerate(lines):
+                    last = start
+                    for stop, code, sure in parts.get((u, n), [(end - start, language, confidence)]):
+                        pieces.append((last, start + stop, code, sure, strong))
+                        last = start + stop
+                for start, end, language, confidence, strong in pieces:
                     if language < 0 or strong < 2 and own:
                         if own:
                             own[-1][1] = end
                     elif own and own[-1][2] == language:
                         own[-1][1], own[-1][3], own[-1][4] = end, own[-1][3] + confidence * (end - start), own[-1][4] + end - start
                     else:
-                        own.append([start if own else 0, end, language, confidence * (end - start), end - start])
+                        own.append([own[-1][1] if own else 0, end, language, confidence * (end - start), end - start])
                 if own:
                     own[-1][1] = len(text)
-                rows += [(table, unit, s, e, LANGUAGES[k], w / n) for s, e, k, w, n in own]
+                rows += [(table, unit, s, e, LANGUAGES[k], w / max(1, n)) for s, e, k, w, n in own]
             if len(known) > KNOWN:
                 known.clear()
         yield pd.DataFrame(rows, columns=[f.name for f in STRETCH.fields]).astype({"start_char": "int32", "end_char": "int32"})
 
 
-def fit(labelled: DataFrame, train_docs: int = 1200, lines_each: int = 1500) -> ByteGRU:
+def fit(labelled: DataFrame, train_docs: int = 1200, lines_each: int = 1500) -> Detector:
     """Train on a bounded sample of labelled rows (doc_id, text, lang)."""
     sample = labelled.select("doc_id", "text", language_label(F.col("lang")).alias("y")).where("y is not null and text is not null")
     # the ids first, so that no partition sends train_docs texts of its own
@@ -432,19 +524,22 @@ def fit(labelled: DataFrame, train_docs: int = 1200, lines_each: int = 1500) ->
     model = train(lines, steps=150)
     p = line_probabilities(model, [b for b, _ in lines])
     agree = [(b, y) for (b, y), q in zip(lines, p) if not (q.argmax() != y and q.max() > 0.6)]
-    return train(agree, steps=350, seed=8, model=model, rate=0.015)
+    vocabulary = {w for words in STOPWORDS.values() for w in words}
+    for line, _ in agree:
+        vocabulary.update(c for w in line.decode("utf-8", "replace").split() for c in (w if "぀" <= w[0] <= "鿿" else (w,)))
+    return Detector(train(agree, steps=350, seed=8, model=model, rate=0.015, mixed=0.3), vocabulary)
 
 
-def detect_languages(units: DataFrame, model: ByteGRU, sure: float = 0.75) -> DataFrame:
-    """One row per language that a unit has; units: unit_table, unit_id, label, text."""
-    shared = units.sparkSession.sparkContext.broadcast(model)
-    units = units.select("unit_table", "unit_id", "label", "text").where("text is not null")
+def detect_languages(units: DataFrame, detector: Detector, sure: float = 0.75) -> DataFrame:
+    """One row per language that a unit has; units: unit_table, unit_id, label, text, is_piece (cut out of a text, so that its ends may be cut)."""
+    shared = units.sparkSession.sparkContext.broadcast(detector)
+    units = units.select("unit_table", "unit_id", "label", "text", "is_piece").where("text is not null")
     return units.mapInPandas(lambda batches: _languages_of(batches, shared.value, sure), TOLD)
 
 
-def language_stretches(units: DataFrame, model: ByteGRU) -> DataFrame:
+def language_stretches(units: DataFrame, detector: Detector) -> DataFrame:
     """The single-language stretches of each unit (unit_table, unit_id, text), in order, nothing left out."""
-    shared = units.sparkSession.sparkContext.broadcast(model)
+    shared = units.sparkSession.sparkContext.broadcast(detector)
     units = units.select("unit_table", "unit_id", "text").where("text is not null")
     return units.mapInPandas(lambda batches: _stretches_of(batches, shared.value), STRETCH)
 

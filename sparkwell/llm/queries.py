@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import once, table
-from .langid import detect_languages, fit, language_stretches, latest_guess, mislabelled
+from .langid import Detector, detect_languages, fit, language_stretches, latest_guess, mislabelled
 from .leaks import find_leaks
 from .mixing import actual_shares, mix_sources, token_counter
 from .names import link_names, name_pairs
@@ -42,25 +42,41 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- p3: languages
-def _p3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("unit_table"), F.col("doc_id").cast("string").alias("unit_id"), F.col("lang").alias("label"), "text")
-    chunks = table(spark, sf_dir, "chunks").join(latest_guess(table(spark, sf_dir, "language_guesses")), F.col("id") == F.col("chunk_id"), "left")
-    return documents.unionByName(chunks.select(F.lit("chunks").alias("unit_table"), F.col("id").alias("unit_id"), "label", "text"))
+_detectors: dict[tuple[str, str], Detector] = {}
+
+
+def _detector(spark: SparkSession, sf_dir: str) -> Detector:
+    """Trained once for the tables of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _detectors:
+        _detectors[key] = fit(table(spark, sf_dir, "documents"))
+    return _detectors[key]
+
+
+def _p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.lit("documents").alias("unit_table"), F.col("doc_id").cast("string").alias("unit_id"), F.col("lang").alias("label"), "text", F.lit(False).alias("is_piece"))
+
+
+def _p3_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of documents and chunks; the chunks' guesses join their languages, not their texts."""
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("unit_table"), F.col("id").alias("unit_id"), F.lit(None).cast("string").alias("label"), "text", F.lit(True).alias("is_piece"))
+    told = detect_languages(_p3_documents(spark, sf_dir).unionByName(chunks), _detector(spark, sf_dir)).distinct()
+    guess = latest_guess(table(spark, sf_dir, "language_guesses")).select(F.lit("chunks").alias("unit_table"), F.col("chunk_id").alias("unit_id"), F.col("label").alias("guess"))
+    return told.join(guess, ["unit_table", "unit_id"], "left").withColumn("label", F.coalesce("guess", "label")).drop("guess")
 
 
 def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every language of every document and chunk, with its confidence."""
-    return detect_languages(_p3_units(spark, sf_dir), fit(table(spark, sf_dir, "documents"))).drop("label").distinct()
+    return _p3_told(spark, sf_dir).drop("label").distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = detect_languages(_p3_units(spark, sf_dir), fit(table(spark, sf_dir, "documents")))
-    return mislabelled(told).select("unit_table", "unit_id", "language").distinct()
+    return mislabelled(_p3_told(spark, sf_dir)).select("unit_table", "unit_id", "language").distinct()
 
 
 def p3_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The single-language stretches of the documents."""
-    return language_stretches(_p3_units(spark, sf_dir).where("unit_table = 'documents'"), fit(table(spark, sf_dir, "documents")))
+    return language_stretches(_p3_documents(spark, sf_dir), _detector(spark, sf_dir))
 
 
 # ---- p4: sentences

@@ -253,9 +253,15 @@ def test_languages_on_held_out_lines(spark):
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     units = [("documents", code, "n/a", t.format("far") + ".\nNRS 4170-1\n" + t.format("near") + ".") for code, t in made.items()]
     units += [("documents", "codes", "en", "NRS 4170-1:2015\nVS-44809"), ("documents", "empty", None, ""), ("documents", "null", None, None), ("documents", "mix", "en", made["en"].format("far") + ".\n" + made["zh"].format("9") + "。")]
-    df = spark.createDataFrame(units, "unit_table string, unit_id string, label string, text string")
+    df = spark.createDataFrame(units, "unit_table string, unit_id string, label string, text string").withColumn("is_piece", F.lit(False))
     got = sorted((r["unit_id"], r["language"]) for r in langid.detect_languages(df, model).collect())
     assert got == sorted([(c, c) for c in made] + [("mix", "en"), ("mix", "zh")])
+    # no other language is one of the five, and a line may change its language
+    foreign = ["El carro espera en la puerta verde y después vuelve al almacén.", "Le chariot attend devant la porte et puis il retourne au dépôt.", "Вчера была хорошая погода, и дети гуляли вдоль реки."]
+    others = spark.createDataFrame([("documents", str(k), None, x, False) for k, x in enumerate(foreign)], df.schema)
+    assert langid.detect_languages(others, model).count() == 0
+    line = f"{made['en'].format('far')} 然后等待小车在门口转弯"
+    assert [(end, code) for end, code, _ in langid.line_parts(model, [line])[0]] == [(line.index("然"), 0), (len(line), 2)]
     stretches = langid.language_stretches(df.where("unit_id = 'mix'"), model).orderBy("start_char").collect()
     assert [r["language"] for r in stretches] == ["en", "zh"] and stretches[0]["end_char"] == stretches[1]["start_char"] and stretches[-1]["end_char"] == len(units[-1][3])
 
