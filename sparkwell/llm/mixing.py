@@ -14,7 +14,7 @@ period, whose length is bounded by `max_period` whatever the data, is made once;
 each block finds its slot by its number, so no task goes through all blocks.
 
 Running sums are taken in two levels: within a range of hash values, and over the
-at most `ranges` sums of a source.
+sums of the ranges of a source, whose number follows that of the documents.
 
 Defined results: source names are matched without case, blanks and the kind of
 dash; documents of other sources, or without one, are never drawn. Null and empty
@@ -34,11 +34,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import spread
+from ..session import spread, use_shared_checkpoints
 
 BLOCK_TOKENS = 65_536
 MAX_PERIOD = 10_000
-RANGES = 512
+#: Ranges of hash values that running sums are taken in: RANGES at least, and one for so many documents.
+RANGES, RANGE_DOCS = 512, 100_000
 # Fixed value: how the public byte-level vocabularies split a text first.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -116,10 +117,14 @@ def mix_sources(docs: DataFrame, targets: DataFrame, counter, block_tokens: int
     if len(keys) > max_period:
         raise ValueError("more sources than the period has slots")
     table = spark.createDataFrame([(r["key"], r["target"]) for r in keys], T.StructType([T.StructField("key", T.StringType()), T.StructField("target", T.StringType())]))
+    use_shared_checkpoints(spark)
+    # a count of rows reads no texts
+    ranges = max(ranges, docs.count() // RANGE_DOCS)
     # as many rows as there are targets, max_period at most
     sized = spread(docs.select("doc_id", "source", "text")).select("doc_id", source_key(F.col("source")).alias("key"), counter(F.col("text")).alias("tokens")).join(F.broadcast(table), "key")
     sized = sized.where("tokens > 0").withColumn("h", F.xxhash64("doc_id")).withColumn("range", F.pmod(F.shiftrightunsigned("h", 40), F.lit(ranges)))
-    sized = sized.persist()
+    # tokens are counted once, then read by the sums and the schedule
+    sized = sized.select("doc_id", "key", "target", "tokens", "h", "range").checkpoint()
     sums = sized.groupBy("key", "range").agg(F.sum("tokens").alias("sum"))
     per_source = {r["key"]: r["sum"] for r in sums.groupBy("key").agg(F.sum("sum").alias("sum")).collect()}
     present = [r for r in keys if per_source.get(r["key"], 0) > 0]
