@@ -92,7 +92,10 @@ def detect_language(text: Column) -> Column:
         )
 
     # bound once, so that the letters aren't counted again for every comparison
-    return F.transform(F.array(F.struct(*[c.alias(name) for name, c in script_counts(text).items()])), by_script)[0]
+    counted = F.transform(F.array(F.struct(*[c.alias(name) for name, c in script_counts(text).items()])), by_script)[0]
+    # most texts have one script, which what is left without ASCII shows
+    rest = F.regexp_replace(text, r"[\x00-\x7f]+", "")
+    return F.when(~rest.rlike(f"[{ARABIC}{CJK}]"), english_or_german(text)).otherwise(counted)
 
 
 def language_name(code: Column) -> Column:
