@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import spread, use_shared_checkpoints
 
@@ -57,24 +61,83 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("target_id").alias("node"), F.col("source_id").alias("neighbour"), "type", F.lit(False).alias("is_source")))
 
 
+#: Questions whose marks share a row of a walk, a bit each, in words of 64 bits.
+WORDS = 8
+BLOCK = 64 * WORDS
+#: Questions whose keys are sent to tasks; those of more are joined.
+MOST_ASKED = 1_000_000
+
+
+def _numbered(seeds: DataFrame) -> tuple[DataFrame, int]:
+    """qid, node, block, place: every question has a place of its own in a block of BLOCK at most; the number of questions.
+
+    Places are counted from 0 within a block, without gaps. A null question is one too.
+    """
+    n = seeds.select("qid").distinct().count()
+    blocks = max(1, -(-10 * n // (9 * BLOCK)))
+    seeds = seeds.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+    rank = F.dense_rank().over(Window.partitionBy("block").orderBy("qid")) - 1
+    seeds = seeds.withColumn("rank", rank)
+    # the few that a bucket has beyond BLOCK go to a block of their own
+    block = F.col("block") + blocks * F.floor(F.col("rank") / BLOCK)
+    return seeds.select("qid", "node", block.alias("block"), (F.col("rank") % BLOCK).alias("place")), n
+
+
+def _joined_marks(a: Column, b: Column) -> Column:
+    """Maps of block to words, those of a block in both put together bit by bit."""
+    either = lambda x, y, both: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(both)
+    words = lambda x, y: F.zip_with(x, y, lambda v, w: v.bitwiseOR(w))
+    return either(a, b, F.map_zip_with(a, b, lambda _, x, y: either(x, y, words(x, y))))
+
+
+def _places(batches: Iterator[pa.RecordBatch], levels: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """From the bits of an edge's block, a row for each hop with the places of the questions that walk the edge at it first."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            words = part.column("bits").flatten().to_numpy(zero_copy_only=False)
+            within = np.unpackbits(words.view(np.uint8).reshape(part.num_rows, levels, BLOCK // 8), axis=2, bitorder="little")
+            # a mark stays from level to level: the first counts
+            first = np.diff(within, axis=1, prepend=np.uint8(0))
+            counts = first.sum(axis=2, dtype=np.int64).ravel()
+            some = np.flatnonzero(counts)
+            ends = np.concatenate([[0], np.cumsum(counts[some])])
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(first)[2], pa.int32()))
+            kept = part.select(["source_id", "target_id", "type", "block"]).take(pa.array(some // levels))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(some % levels + 1, pa.int32()), places], schema=schema)
+
+
 def walk(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """qid, source_id, target_id, type, hop: edges within reach of the seeds (qid, node), at their least hop.
 
-    Level by level for all questions at once; at most four levels, each cut off from its lineage.
+    Level by level for all questions at once; at most four levels. Most questions that come near a
+    node of many edges walk the same edges, so rows of questions and edges grow with the square of the
+    input. They are made last, from an edge's own row, and never shuffled: until then a node has a bit
+    for each question of a block and level. An edge's least hop is one more than the nearer end's distance.
     """
-    use_shared_checkpoints(edges.sparkSession)
-    steps = both_ways(edges.select("source_id", "target_id", "type").where("source_id is not null and target_id is not null").distinct())
-    seen = seeds.select("qid", "node").distinct()
-    front, found = seen, None
-    for hop in range(1, max(1, min(hops, MAX_HOPS)) + 1):
-        met = front.join(steps, "node")
-        walked = met.select("qid", F.when(F.col("is_source"), F.col("node")).otherwise(F.col("neighbour")).alias("source_id"), F.when(F.col("is_source"), F.col("neighbour")).otherwise(F.col("node")).alias("target_id"), "type", F.lit(hop).alias("hop"))
-        found = walked if found is None else found.unionByName(walked)
-        front = met.select("qid", F.col("neighbour").alias("node")).distinct().join(seen, ["qid", "node"], "left_anti")
-        if hop < hops:
-            front = front.checkpoint()
-            seen = seen.unionByName(front)
-    return found.groupBy("qid", "source_id", "target_id", "type").agg(F.min("hop").alias("hop"))
+    levels = max(1, min(hops, MAX_HOPS))
+    asked, n = _numbered(seeds.select("qid", "node").where("node is not null").distinct())
+    e = edges.select("source_id", "target_id", "type").where("source_id is not null and target_id is not null").distinct()
+    ends = both_ways(e).select("node", "neighbour").distinct()
+    # a node keeps its own marks
+    ends = ends.withColumn("own", F.lit(False)).unionByName(ends.select("node", F.col("node").alias("neighbour"), F.lit(True).alias("own")).distinct())
+    names = [[f"w{level}_{k}" for k in range(WORDS)] for level in range(levels)]
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    near = asked.groupBy("node", "block").agg(*[F.bit_or(F.when(F.floor(F.col("place") / 64) == k, bit).otherwise(0)).alias(c) for k, c in enumerate(names[0])])
+    for level in range(1, levels):
+        met = near.join(ends, "node")
+        kept = [F.bit_or(F.when(F.col("own"), F.col(c)).otherwise(0)).alias(c) for words in names[:level] for c in words]
+        near = met.groupBy(F.col("neighbour").alias("node"), "block").agg(*kept, *[F.bit_or(c).alias(new) for c, new in zip(names[level - 1], names[level])])
+    marks = near.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("block", F.array(*[c for words in names for c in words])))).alias("marks"))
+    side = lambda c: marks.select(F.col("node").alias(c + "_id"), F.col("marks").alias(c))
+    both = e.join(side("source"), "source_id", "left").join(side("target"), "target_id", "left")
+    each = both.select("source_id", "target_id", "type", F.explode(_joined_marks(F.col("source"), F.col("target"))).alias("block", "bits"))
+    schema = T.StructType([*each.select("source_id", "target_id", "type", "block").schema, T.StructField("hop", T.IntegerType(), False), T.StructField("places", T.ArrayType(T.IntegerType(), False), False)])
+    arrow = to_arrow_schema(schema)
+    each = each.mapInArrow(lambda batches: _places(batches, levels, arrow), schema)
+    keys = asked.groupBy("block").agg(F.sort_array(F.collect_set(F.struct("place", "qid"))).alias("at")).select("block", F.col("at.qid").alias("qids"))
+    each = each.join(F.broadcast(keys) if n <= MOST_ASKED else keys, "block").select("qids", "source_id", "target_id", "type", "hop", F.explode("places").alias("place"))
+    return each.select(F.get("qids", "place").alias("qid"), "source_id", "target_id", "type", "hop")
 
 
 def best_seeds(links: DataFrame, entities: DataFrame, most: int = MAX_SEEDS) -> DataFrame:

@@ -140,6 +140,46 @@ def test_walk(spark):
     assert graph.walk(edges, seeds, 1).count() == 1
 
 
+def _shuffled(spark) -> int:
+    """Bytes that the session has written for shuffles so far."""
+    hosts = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(hosts.apply(k).totalShuffleWrite() for k in range(hosts.size()))
+
+
+def test_walk_makes_rows_of_questions_and_edges_last(spark):
+    """1,200 questions around one hub, more than two blocks of them: 2.2 million rows, none of them shuffled."""
+    n = 1200
+    edges = [(f"P:{k}", "C:hub", "MADE_BY") for k in range(n)] + [("C:hub", f"L:{k}", "LOCATED_IN") for k in range(600)] + [("L:0", "L:0", "NEAR"), ("far", "farther", "NEAR")]
+    edges = spark.createDataFrame(edges + edges[:9] + [(None, "C:hub", "MADE_BY"), ("P:1", None, "MADE_BY")], "source_id string, target_id string, type string")
+    seeds = spark.createDataFrame([(k, f"P:{k}") for k in range(n)] + [(5, "L:3"), (5, "L:3"), (None, "L:0"), (7, None), (8, "nowhere")], "qid long, node string")
+    before = _shuffled(spark)
+    found = graph.walk(edges, seeds, 2).groupBy("qid").agg(F.count("*").alias("n"), F.sum("hop").alias("hops"), F.count_if(F.col("hop") == 1).alias("first")).collect()
+    assert _shuffled(spark) - before < 2_000_000
+    met = {r["qid"]: (r["n"], r["hops"], r["first"]) for r in found}
+    assert met.pop(None) == (n + 601, 2 * (n + 601) - 2, 2)
+    assert met.pop(5) == (n + 600, 2 * (n + 600) - 2, 2)
+    assert sorted(met) == [k for k in range(n) if k != 5] and set(met.values()) == {(n + 600, 2 * (n + 600) - 1, 1)}
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 4])
+def test_walk_of_random_edges(spark, hops):
+    rng = random.Random(hops)
+    edges = {(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", rng.choice("xy")) for _ in range(70)}
+    seeds = {(k % 9, f"n{rng.randrange(60)}") for k in range(14)}
+    wanted = set()
+    for q in {q for q, _ in seeds}:
+        seen = front = {node for k, node in seeds if k == q}
+        least = {}
+        for hop in range(1, hops + 1):
+            met = {e for e in edges if e[0] in front or e[1] in front}
+            least |= {e: hop for e in met if e not in least}
+            front = {x for e in met for x in e[:2]} - seen
+            seen = seen | front
+        wanted |= {(q, *e, hop) for e, hop in least.items()}
+    found = graph.walk(spark.createDataFrame(sorted(edges), "source_id string, target_id string, type string"), spark.createDataFrame(sorted(seeds), "qid int, node string"), hops)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted) and dict(found.dtypes) == {"qid": "int", "source_id": "string", "target_id": "string", "type": "string", "hop": "int"}
+
+
 HOSTILE = [
     "DELETE FROM nation", "UPDATE nation SET a = 0", "DROP TABLE nation", "CREATE TABLE x AS SELECT 1", "INSERT INTO nation VALUES (1)", "SET a=b", "SELECT 1; DROP TABLE x", "EXPLAIN SELECT 1", "", "x" * 3000, "SHOW TABLES", "CACHE TABLE nation",
     "SELECT reflect('java.lang.System','getProperty','user.home')", "SELECT java_method('java.lang.System','getProperty','user.home')", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM nation WHERE a = (SELECT reflect('a', 'b'))",
