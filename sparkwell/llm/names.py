@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,8 @@ from ..session import use_shared_checkpoints
 SUFFIX, SKELETON, COMMON = 4, 5, 12
 #: How often a block that stays large is refined, each time with two more consonants of either end.
 LEVELS = 4
+#: Blocks to refine whose keys are sent to tasks; more are joined.
+MOST_LARGE = 100_000
 #: A refined block may be so many times as large before it is refined again: that parts more of the misspelt.
 DEEPER = 10
 
@@ -377,16 +379,15 @@ def connected(spark, links: DataFrame, most_rounds: int = 30) -> DataFrame:
     use_shared_checkpoints(spark)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     for _ in range(most_rounds):
-        ends = edges.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w"))
-        centres = edges.select(F.col("v").alias("u")).distinct()
-        if ends.where("v <> w").isEmpty() and edges.join(centres, "u", "left_semi").isEmpty():
-            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint()
+        # a star's centre has no lesser neighbour, its other nodes have one neighbour
+        ends = both.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("w"))
+        if ends.where("v < u and v <> w").isEmpty():
+            break
+        own = Window.partitionBy("u")
+        large = both.withColumn("m", F.least(F.min("v").over(own), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", F.min("v").over(own)).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        edges = small.where("u <> v").distinct().checkpoint()
     else:
         raise RuntimeError("classes did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -409,17 +410,19 @@ def candidate_pairs(forms: DataFrame, common: int = COMMON, least: float = 0.0)
     done = None
     for level in range(1, LEVELS + 1):
         most = common if level == 1 else DEEPER * common
-        large = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("large")).checkpoint()
-        if large.isEmpty():
+        large = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key").checkpoint()
+        n = large.count()
+        if n == 0:
             break
-        index = index.join(large, "key", "left")
-        small = index.where("large is null").drop("large", "rest", "side", "block")
+        large = F.broadcast(large) if n <= MOST_LARGE else large
+        small = index.join(large, "key", "left_anti").drop("rest", "side", "block")
         done = small if done is None else done.unionByName(small)
         # the start and the end go their own ways from the first level on
         sides = F.when(F.col("side") == "", F.array(F.lit("<"), F.lit(">"))).otherwise(F.array("side"))
-        index = index.where("large").drop("large").withColumn("side", F.explode(sides))
+        index = index.join(large, "key", "left_semi").withColumn("side", F.explode(sides))
         part = F.when(F.col("side") == "<", F.substring("rest", 1, 2 * level)).otherwise(F.expr(f"right(rest, {2 * level})"))
-        index = index.withColumn("key", F.xxhash64("block", "side", part))
+        # cut off: else the plan repeats every level before
+        index = index.withColumn("key", F.xxhash64("block", "side", part)).checkpoint()
     index = index.drop("rest", "side", "block")
     index = index if done is None else done.unionByName(index)
     other = index.select("key", *[F.col(c).alias(c + "2") for c in index.columns if c != "key"])
@@ -472,7 +475,8 @@ def name_pairs(customers: DataFrame, entities: DataFrame, mentions: DataFrame, *
     mentions = mentions.where("entity_id is null").select(F.lit("entity").alias("space"), F.lit("mention").alias("kind"), F.col("mention_id").alias("record"), F.col("surface").alias("name"))
     records = customers.unionByName(entities).unionByName(mentions).where("record is not null and name is not null").distinct()
     classes = link_names(records, **settings)
-    member = records.join(classes, ["space", "name"]).select("kind", "record", "class_id").distinct()
+    # read four times below: kept, so that the plan has it once
+    member = records.join(classes, ["space", "name"]).select("kind", "record", "class_id").distinct().checkpoint()
     same = member.where("kind <> 'mention'")
     right = same.select(F.col("kind").alias("kind2"), F.col("record").alias("right_id"), "class_id")
     pairs = same.join(right, "class_id").where("kind = kind2 and record < right_id").select(F.col("kind").alias("pair_kind"), F.col("record").alias("left_id"), "right_id")

@@ -315,3 +315,46 @@ def test_coverage_ranks_beyond_the_vocabulary(spark):
     for vocabulary in (1, 5, 1000):
         got = [(x["doc_id"], x["coverage_rank"]) for x in readability.coverage_ranks(measured, 0.9, vocabulary).collect()]
         assert sorted(got) == sorted(expected)
+
+
+def _jobs(spark) -> int:
+    return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def test_variant_names_take_few_jobs(spark):
+    """Jobs and large plans fill the driver's memory: blocks that are refined and classes in two rounds."""
+    letters = "bdfgklmnprst"
+    people = [f"{a}a{b}e{c}omaster" for a in letters for b in "dfgk" for c in "mnr"]
+    customers = spark.createDataFrame([(k, n) for k, n in enumerate(people + [n.upper() + " GmbH" for n in people])], "id long, name string")
+    entities = spark.createDataFrame([], "entity_no long, name string, type string")
+    mentions = spark.createDataFrame([], "mention_id long, entity_id string, surface string")
+    before = _jobs(spark)
+    pairs = {(r["left_id"], r["right_id"]) for r in names.name_pairs(customers, entities, mentions).collect()}
+    assert _jobs(spark) - before < 90
+    assert {(k, k + len(people)) for k in range(len(people))} <= pairs
+
+
+def test_classes_of_random_links(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(k, k + 1) for k in range(200, 216)] + [(300, 301), (301, 300), (302, 302)]
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    wanted = {(x, find(x)) for a, b in links if a != b for x in (a, b)}
+    found = names.connected(spark, spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == len(wanted) and {(r["node"], r["root"]) for r in found} == wanted
+
+
+def test_refined_blocks_are_joined_if_they_are_many(spark, monkeypatch):
+    forms = [(k, "customer", f"{a}a{b}emaster", "", "", "") for k, (a, b) in enumerate((a, b) for a in "bdfgkm" for b in "dfgkmn")]
+    forms = spark.createDataFrame(forms, "node long, space string, core string, first string, trade string, codes string")
+    sent = sorted(map(tuple, names.candidate_pairs(forms).collect()))
+    monkeypatch.setattr(names, "MOST_LARGE", 0)
+    assert sent and sorted(map(tuple, names.candidate_pairs(forms).collect())) == sent
