@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -80,59 +81,78 @@ class ByteGRU:
     def weights(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
 
-    def _states(self, x: np.ndarray, first: np.ndarray, d: str) -> np.ndarray:
-        """Hidden states (time, batch, h) without what training keeps.
+    def _states(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Hidden states (time, batch, 2h) of both directions side by side, without what training keeps.
 
-        The lines of x (time, batch) are in order of length: at time t those from first[t] on go on.
+        x (time, batch, 2): bytes from the start of a line, and from its end. The lines are in order
+        of length: at time t those from first[t] on go on.
         """
         h = self.h
-        e, u = getattr(self, "E" + d) + getattr(self, "b" + d), getattr(self, "U" + d)
-        cut = lambda w, k: np.ascontiguousarray(w[:, k * h : (k + 1) * h])
-        ez, er, ec = 0.25 * cut(e, 0) + np.float32(0.5), 0.25 * cut(e, 1) + np.float32(0.5), cut(e, 2)
-        uz, ur, uc = 0.25 * cut(u, 0), 0.25 * cut(u, 1), cut(u, 2)
+        cut = lambda n, d, k: getattr(self, n + d)[..., k * h : (k + 1) * h]
+
+        def both(k: int) -> tuple[np.ndarray, np.ndarray]:
+            """Weights of one gate: a row for each byte and direction, and a matrix of two blocks."""
+            u = np.zeros((2 * h, 2 * h), np.float32)
+            u[:h, :h], u[h:, h:] = cut("U", "f", k), cut("U", "b", k)
+            return np.stack([cut("E", d, k) + cut("b", d, k) for d in "fb"], 1).reshape(-1, h), u
+
+        (ez, uz), (er, ur), (ec, uc) = both(0), both(1), both(2)
+        ez, er, uz, ur = 0.25 * ez + np.float32(0.5), 0.25 * er + np.float32(0.5), 0.25 * uz, 0.25 * ur
         lines = x.shape[1]
-        out = np.zeros((len(x), lines, h), np.float32)
-        state, a, b, c = (np.zeros((lines, h), np.float32) for _ in range(4))
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+        out = np.zeros((len(x), lines, 2 * h), np.float32)
+        state, a, b, c = (np.zeros((lines, 2 * h), np.float32) for _ in range(4))
+        zero, one = np.float32(0), np.float32(1)
+        for t in range(len(x)):
             j = first[t]
             s, at, r, new, more = state[j:], x[t, j:], a[j:], b[j:], c[j:]
+            rows = more.reshape(len(at), 2, h)
             np.matmul(s, ur, out=r)
-            r += er.take(at, axis=0, out=more, mode="clip")
-            np.maximum(r, 0.0, out=r)
-            np.minimum(r, 1.0, out=r)
+            er.take(at, axis=0, out=rows, mode="clip")
+            r += more
+            r.clip(zero, one, out=r)
             r *= s
             np.matmul(r, uc, out=new)
-            new += ec.take(at, axis=0, out=more, mode="clip")
+            ec.take(at, axis=0, out=rows, mode="clip")
+            new += more
             np.abs(new, out=r)
-            r += 1.0
+            r += one
             new /= r
             new -= s
             np.matmul(s, uz, out=r)
-            r += ez.take(at, axis=0, out=more, mode="clip")
-            np.maximum(r, 0.0, out=r)
-            np.minimum(r, 1.0, out=r)
+            ez.take(at, axis=0, out=rows, mode="clip")
+            r += more
+            r.clip(zero, one, out=r)
             new *= r
             s += new
             out[t, j:] = s
         return out
 
+    def _by_language(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Probabilities (languages, time, batch) at every position of lines (time, batch), in order of their sizes."""
+        time, lines = x.shape
+        first = np.searchsorted(sizes, np.arange(time), side="right")
+        # the place of the byte that is as far from the end of its line as (t, line) is from the start
+        back = np.maximum(sizes - 1 - np.arange(time)[:, None], 0) * lines + np.arange(lines)
+        both = np.empty((time, lines, 2), np.intp)
+        np.multiply(x, 2, out=both[..., 0], dtype=np.intp)
+        np.add(2 * x.take(back).astype(np.intp), 1, out=both[..., 1])
+        states = self._states(both, first).reshape(-1, 2 * self.h).T
+        p = (self.W[self.h :].T @ states[self.h :]).take(back.ravel(), axis=1)
+        p += self.W[: self.h].T @ states[: self.h]
+        p += self.c[:, None]
+        np.exp(p, out=p)
+        p /= p.sum(0)
+        return p.reshape(-1, time, lines)
+
     def positions(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Probabilities (time, batch, languages) at every position of lines (time, batch), in order of their sizes."""
-        first = np.searchsorted(sizes, np.arange(len(x)), side="right")
-        x = x.astype(np.intp)
-        h = self.h
-        p = self._states(x, first, "f").reshape(-1, h) @ self.W[:h]
-        p += self._states(x, first, "b").reshape(-1, h) @ self.W[h:]
-        p += self.c
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        return p.reshape(*x.shape, -1)
+        return np.moveaxis(self._by_language(x, sizes), 0, -1)
 
     def pooled(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Probabilities of lines, pooled over their positions."""
-        p = self.positions(x, sizes)
-        p *= (np.arange(len(x))[:, None] < sizes)[:, :, None]
-        return p.sum(0) / np.maximum(sizes, 1)[:, None]
+        p = self._by_language(x, sizes)
+        p *= np.arange(len(x))[:, None] < sizes
+        return p.sum(1).T / np.maximum(sizes, 1)[:, None]
 
     def _layer(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple:
         """x, mask: (time, batch). Hidden states (time, batch, h) and what backpropagation needs."""
@@ -269,16 +289,19 @@ def prepared(line: str) -> tuple[str, int]:
         if words:
             enough = len(words) >= 2 or len(words[0]) >= 3 and "㐀" <= words[0][0] <= "鿿"
             return " ".join(words), 2 if enough else 1
-    tokens = [t for t in line.split() if not _CODE.search(t)]
-    words = [t for t in tokens if t[0].islower()]
+    tokens = line.split()
+    coded = _CODE.search if _CODE.search(line) else None
+    words = [t for t in tokens if t[0].islower() and (coded is None or t.isalpha() or not coded(t))]
     if len(words) >= 2:
         return " ".join(words), 2
+    if coded:
+        tokens = [t for t in tokens if not coded(t)]
     words = _LETTERS.findall(" ".join(tokens))
     caps = sum(w.isupper() and len(w) > 1 for w in words)
     return " ".join(words).lower(), 2 if caps >= 5 and caps * 2 > len(words) else 1 if words else 0
 
 
-def _batches(lines: list[bytes], block: int = 1 << 18) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def _batches(lines: list[bytes], block: int = 1 << 19) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Numbers, bytes (time, line) and sizes of lines of like length."""
     order = sorted(range(len(lines)), key=lambda k: len(lines[k]))
     first = 0
@@ -309,8 +332,10 @@ class Detector:
         self.model, self.vocabulary = model, vocabulary
 
     def knows(self, words: str, least: float = 0.15, enough: int = 6) -> bool:
-        units = [c for w in words.split() for c in (w if "぀" <= w[0] <= "鿿" else (w,))]
-        return len(units) < enough or sum(u in self.vocabulary for u in units) >= least * len(units)
+        units = words.split()
+        if units and max(units) >= "぀":
+            units = [c for w in units for c in (w if "぀" <= w[0] <= "鿿" else (w,))]
+        return len(units) < enough or sum(map(self.vocabulary.__contains__, units)) >= least * len(units)
 
 
 _UNIT = re.compile(r"[぀-鿿]|[^\W\d_぀-鿿]+")
@@ -362,81 +387,112 @@ def line_parts(detector: Detector, lines: list[str]) -> list[list[tuple[int, int
     return out
 
 
-def _tell(detector: Detector, texts: list[str], known: dict) -> list[list[tuple[int, int, int, float, int, str]]]:
-    """For each text its lines: start, end, language (-1: none), confidence, strength, mark (whole, cut at the start, cut at the end)."""
-    new: dict[str, int] = {}
-    rows = []
-    for text, ends in zip(texts, sentence_ends(texts)):
-        lines, start = [], 0
-        for end in ends.tolist():
-            line = text[start:end].strip()
+class Known:
+    """The probabilities of lines that a task has read: rows of `p`, and whether the network knows their words."""
+
+    def __init__(self) -> None:
+        self.row: dict[str, int] = {}
+        self.p = np.zeros((0, len(LANGUAGES)))
+        self.sure = np.zeros(0, bool)
+
+    def add(self, detector: Detector) -> None:
+        """Read the lines that have a row but no probabilities yet."""
+        new = list(self.row)[len(self.p) :]
+        if new:
+            self.p = np.concatenate([self.p, line_probabilities(detector.model, [w.encode("utf-8", "replace") for w in new])])
+            self.sure = np.concatenate([self.sure, np.fromiter(map(detector.knows, new), bool, len(new))])
+
+
+class Told(NamedTuple):
+    """The lines of some texts, one after another: line k belongs to the text of number unit[k]; language -1: none."""
+
+    unit: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    language: np.ndarray
+    confidence: np.ndarray
+    strong: np.ndarray
+    whole: np.ndarray
+
+
+def _tell(detector: Detector, texts: list[str], known: Known) -> Told:
+    """The lines of the texts with language, confidence, strength, and whether they are whole (not cut at the start or the end)."""
+    ends_of = sentence_ends(texts)
+    n = np.array([len(e) for e in ends_of], np.int64)
+    end = np.concatenate(ends_of) if len(ends_of) else np.zeros(0, np.int64)
+    unit, last = np.repeat(np.arange(len(texts)), n), np.cumsum(n)
+    start = np.zeros_like(end)
+    start[1:] = end[:-1]
+    start[(last - n)[n > 0]] = 0
+    rows, strengths, row = [], [], known.row
+    whole = np.ones(len(end), bool)
+    for text, ends, after in zip(texts, ends_of, last.tolist()):
+        if not len(ends):
+            continue
+        begin, line = 0, ""
+        for stop in ends.tolist():
+            line = text[begin:stop].strip()
+            if begin == 0 and line[:1].islower():
+                whole[after - len(ends)] = False
+            begin = stop
             words, strong = prepared(line)
-            if strong and words not in known:
-                new.setdefault(words, len(new))
-            lines.append((start, end, words, strong, line))
-            start = end
-        rows.append(lines)
-    p = line_probabilities(detector.model, [w.encode("utf-8", "replace") for w in new])
-    for words, k in new.items():
-        known[words] = p[k] if detector.knows(words) else None
-    out = []
-    for text, lines in zip(texts, rows):
-        told = []
-        for k, (start, end, words, strong, line) in enumerate(lines):
-            whole = True
-            if k == 0 and line[:1].islower():
-                whole = False
-            if k == len(lines) - 1 and not _STOP.search(line) and len(line) > 12 and not line.startswith(("#", "|", "-", "*")) and not text[end:].strip(" "):
-                whole = False
-            told.append((start, end, known[words] if strong else None, strong, whole))
-        out.append(_with_context(told))
+            strengths.append(strong)
+            rows.append(row.setdefault(words, len(row)) if strong else -1)
+        if not _STOP.search(line) and len(line) > 12 and not line.startswith(("#", "|", "-", "*")) and not text[begin:].strip(" "):
+            whole[after - 1] = False
+    known.add(detector)
+    rows = np.array(rows, np.int64)
+    has = np.flatnonzero(rows >= 0)
+    has = has[known.sure[rows[has]]]
+    language, confidence, strong = np.full(len(end), -1), np.zeros(len(end)), np.zeros(len(end), np.int64)
+    strong[has] = np.array(strengths, np.int64)[has]
+    language[has], confidence[has] = _with_context(known.p[rows[has]], unit[has], (end - start)[has], strong[has], len(texts))
+    return Told(unit, start, end, language, confidence, strong, whole)
+
+
+def _sums(at: np.ndarray, values: np.ndarray, shape: tuple[int, ...], first: float = 0.0) -> np.ndarray:
+    """Sums of values by place, in order."""
+    out = np.full(shape, first)
+    np.add.at(out.reshape(-1), at.reshape(-1), values.reshape(-1))
     return out
 
 
-def _with_context(told: list[tuple], doubt: float = 0.05) -> list[tuple]:
-    """The lines' languages once more, given how much of the unit is in each language.
+def _with_context(p: np.ndarray, unit: np.ndarray, size: np.ndarray, strong: np.ndarray, units: int, doubt: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """The lines' languages and confidences once more, given how much of the unit is in each language.
 
     A short line that could be either goes with the rest; a clear one stays.
     """
-    share = np.full(len(LANGUAGES), 1e-9)
-    for start, end, p, strong, whole in told:
-        if p is not None and strong == 2:
-            share += p * (end - start)
+    k = np.arange(len(LANGUAGES))
+    clear = strong == 2
+    share = _sums(unit[clear, None] * len(k) + k, p[clear] * size[clear, None], (units, len(k)), 1e-9)
     # languages of one script share what the script has: only they can be taken for one another
     for script in SCRIPTS:
-        share[script] /= share[script].sum()
-    out = []
-    for start, end, p, strong, whole in told:
-        if p is None:
-            out.append((start, end, -1, 0.0, 0, whole))
-            continue
-        q = p * (share + doubt)
-        q = q / q.sum()
-        best = int(q.argmax())
-        out.append((start, end, best, float(q[best]), strong, whole))
-    return out
-
-
-def _summary(told: list[tuple], cut_ends: bool, sure: float) -> list[tuple[str, int, float]]:
-    """(language, lines, confidence) of the languages that the unit has."""
-    n = np.zeros(len(LANGUAGES), np.int64)
-    size = np.zeros(len(LANGUAGES))
-    weight = np.zeros(len(LANGUAGES))
-    loose = np.zeros(len(LANGUAGES))
-    for start, end, language, confidence, strong, whole in told:
-        if language < 0:
-            continue
-        if strong == 2 and confidence >= sure and (whole or not cut_ends):
-            n[language] += 1
-            size[language] += end - start
-            weight[language] += confidence * (end - start)
-        loose[language] += confidence * (end - start) * (1 if strong == 2 else 0.2)
-    if not n.any() and loose.any():
-        if not any(x[4] == 2 for x in told):
-            return []
-        k = int(loose.argmax())
-        return [(LANGUAGES[k], 1, float(loose[k] / loose.sum()))]
-    return [(LANGUAGES[k], int(n[k]), float(weight[k] / size[k])) for k in np.flatnonzero(n)]
+        share[:, script] /= share[:, script].sum(1, keepdims=True)
+    q = p * (share[unit] + doubt)
+    q /= q.sum(1, keepdims=True)
+    best = q.argmax(1)
+    return best, q[np.arange(len(q)), best]
+
+
+def _summary(told: Told, cut_ends: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit, language, lines and confidence of the languages that each unit has, in order; cut_ends: for each unit."""
+    shape = len(cut_ends), len(LANGUAGES)
+    has = told.language >= 0
+    unit, confidence, size, clear = told.unit[has], told.confidence[has], (told.end - told.start)[has], told.strong[has] == 2
+    at = unit * shape[1] + told.language[has]
+    counts = clear & (confidence >= sure) & (told.whole[has] | ~cut_ends[unit])
+    n = _sums(at[counts], np.ones(counts.sum(), np.int64), shape).astype(np.int64)
+    total = _sums(at[counts], size[counts], shape)
+    weight = _sums(at[counts], confidence[counts] * size[counts], shape)
+    # where nothing counts, the likeliest language of all lines
+    loose = _sums(at, confidence * size * np.where(clear, 1, 0.2), shape)
+    some = np.zeros(shape[0], bool)
+    some[unit[clear]] = True
+    rest = np.flatnonzero(~n.any(1) & loose.any(1) & some)
+    best = loose[rest].argmax(1)
+    n[rest, best], weight[rest, best], total[rest, best] = 1, loose[rest, best], loose[rest].sum(1)
+    units, languages = np.nonzero(n)
+    return units, languages, n[units, languages], weight[units, languages] / total[units, languages]
 
 
 TOLD = T.StructType([
@@ -453,27 +509,28 @@ PART = 10_000
 
 
 def _languages_of(batches: Iterator[pd.DataFrame], detector: Detector, sure: float) -> Iterator[pd.DataFrame]:
-    known: dict = {}
+    known, codes = Known(), np.array(LANGUAGES, object)
     for pdf in batches:
-        rows = []
         for a in range(0, len(pdf), PART):
             part = pdf.iloc[a : a + PART]
-            for table, unit, label, cut, told in zip(part["unit_table"], part["unit_id"], part["label"], part["is_piece"], _tell(detector, part["text"].tolist(), known)):
-                found = _summary(told, cut, sure)
-                rows += [(table, unit, label, language, n, confidence, len(found)) for language, n, confidence in found]
-            if len(known) > KNOWN:
-                known.clear()
-        yield pd.DataFrame(rows, columns=[f.name for f in TOLD.fields]).astype({"n_lines": "int32", "n_languages": "int32"})
+            units, languages, n, confidence = _summary(_tell(detector, part["text"].tolist(), known), part["is_piece"].to_numpy(bool), sure)
+            out = {c: part[c].to_numpy()[units] for c in ("unit_table", "unit_id", "label")}
+            out |= {"language": codes[languages], "n_lines": n.astype(np.int32), "confidence": confidence, "n_languages": np.bincount(units, minlength=len(part))[units].astype(np.int32)}
+            yield pd.DataFrame(out)
+            if len(known.row) > KNOWN:
+                known = Known()
 
 
 def _stretches_of(batches: Iterator[pd.DataFrame], detector: Detector) -> Iterator[pd.DataFrame]:
-    known: dict = {}
+    known = Known()
     for pdf in batches:
         rows = []
         for a in range(0, len(pdf), PART):
             part = pdf.iloc[a : a + PART]
             texts = part["text"].tolist()
-            told = _tell(detector, texts, known)
+            told: list[list[tuple]] = [[] for _ in texts]
+            for u, *line in zip(*(x.tolist() for x in _tell(detector, texts, known))):
+                told[u].append(line)
             # lines that may change their language are labelled position by position
             mixed = [(u, n, text[start:end]) for u, (text, lines) in enumerate(zip(texts, told)) for n, (start, end, language, confidence, strong, _) in enumerate(lines) if language >= 0 and may_be_mixed(text[start:end], np.array([confidence]))]
             parts = {(u, n): own for (u, n, _), own in zip(mixed, line_parts(detector, [line for _, _, line in mixed])) if len({x[1] for x in own}) > 1}
@@ -496,8 +553,8 @@ def _stretches_of(batches: Iterator[pd.DataFrame], detector: Detector) -> Iterat
                 if own:
                     own[-1][1] = len(text)
                 rows += [(table, unit, s, e, LANGUAGES[k], w / max(1, n)) for s, e, k, w, n in own]
-            if len(known) > KNOWN:
-                known.clear()
+            if len(known.row) > KNOWN:
+                known = Known()
         yield pd.DataFrame(rows, columns=[f.name for f in STRETCH.fields]).astype({"start_char": "int32", "end_char": "int32"})
 
 

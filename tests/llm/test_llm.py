@@ -1,6 +1,8 @@
+import cProfile
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -358,3 +360,25 @@ def test_refined_blocks_are_joined_if_they_are_many(spark, monkeypatch):
     sent = sorted(map(tuple, names.candidate_pairs(forms).collect()))
     monkeypatch.setattr(names, "MOST_LARGE", 0)
     assert sent and sorted(map(tuple, names.candidate_pairs(forms).collect())) == sent
+
+
+def test_both_directions_in_one_pass_agree_with_training():
+    model, r = langid.ByteGRU(hidden=3, seed=5), np.random.default_rng(5)
+    sizes = np.array([1, 2, 2, 5, 9, 9])
+    x = r.integers(97, 123, (9, 6)).astype(np.uint8)
+    mask = np.arange(9)[:, None] < sizes
+    wanted = model.forward(x, mask.astype(np.float32))[0]
+    assert np.allclose(model.positions(x, sizes)[mask], wanted[mask], atol=1e-5)
+    assert np.allclose(model.pooled(x, sizes), (wanted * mask[..., None]).sum(0) / sizes[:, None], atol=1e-5)
+
+
+def test_languages_call_numpy_for_many_texts_at_once():
+    r, words = random.Random(6), ["the", "cart", "waits", "at", "gate", "and", "turns"]
+    texts = ["\n".join(" ".join(r.choices(words, k=8)) + "." for _ in range(4)) for _ in range(1500)]
+    units = pd.DataFrame({"unit_table": "documents", "unit_id": [str(k) for k in range(len(texts))], "label": None, "text": texts, "is_piece": False})
+    detector, counted = langid.Detector(langid.ByteGRU(), set(words)), cProfile.Profile()
+    counted.enable()
+    rows = sum(len(x) for x in langid._languages_of(iter([units]), detector, 0.0))
+    counted.disable()
+    # 48 a text while each one had its own arrays
+    assert rows >= len(texts) and sum(x.callcount for x in counted.getstats() if "numpy" in str(x.code)) < 4 * len(texts)
