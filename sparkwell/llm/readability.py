@@ -24,9 +24,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,46 +38,70 @@ from ..functions.lang import ENGLISH_ONLY, GERMAN_ONLY, URDU_ONLY
 from ..session import spread, use_shared_checkpoints
 from .sentences import sentence_ends
 
-_WORD = re.compile(r"[㐀-䶿一-鿿]|[^\W\d_㐀-䶿一-鿿]+(?:['’-][^\W\d_㐀-䶿一-鿿]+)*")
-_WHOLE = re.compile(r"[.!?。！？؟۔…][\"”»’‘“)）\]*_]*$")
+#: Words, Chinese ones by the letter; the letters are written out, which is looked up faster than classes.
+_CHINESE = "㐀-䶿一-鿿"
+_ANY_WORD = re.compile(rf"[{_CHINESE}]|[^\W\d_{_CHINESE}]+(?:['’-][^\W\d_{_CHINESE}]+)*")
+_STOPS, _CLOSERS = tuple(".!?。！？؟۔…"), "\"”»’‘“)）]*_"
 _ENGLISH, _GERMAN = set(ENGLISH_ONLY), set(GERMAN_ONLY)
-_URDU = set(URDU_ONLY)
+_URDU_WORD = re.compile(f"[{''.join(URDU_ONLY)}][^ ]*")
+
+
+@lru_cache(maxsize=1)
+def _plain_words() -> re.Pattern:
+    """_ANY_WORD for texts without code points beyond 0xFFFF."""
+    other = re.compile(rf"[\W\d_{_CHINESE}]")
+    letters = [c for c in range(0x10000) if not other.match(chr(c))]
+    starts = [c for c, before in zip(letters, [-1, *letters]) if c != before + 1]
+    ends = [c for c, after in zip(letters, [*letters[1:], -1]) if c != after - 1]
+    own = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+    return re.compile(f"[{_CHINESE}]|[{own}]+(?:['’-][{own}]+)*")
+
+
+def _words_of(text: str) -> re.Pattern:
+    return _plain_words() if text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else _ANY_WORD
+
+
+def _starting(words: list[str], low: str, high: str) -> list[str]:
+    """The words whose first letter lies between; that of the least and the greatest word may tell."""
+    first, last = min(words)[0], max(words)[0]
+    if first > high or last < low:
+        return []
+    return words if low <= first and last <= high else [w for w in words if low <= w[0] <= high]
 
 
 def language_of(words: list[str]) -> str:
-    """By script, then by frequent words or letters; words in lower case."""
+    """By script, then by frequent words or letters; words in lower case, one at least."""
     n = len(words)
-    latin = sum(w[0] < "ɐ" for w in words)
-    if latin * 2 < n or latin == n == 0:
-        han = sum("㐀" <= w[0] <= "鿿" for w in words)
-        if han * 2 >= n - latin:
+    latin = len(_starting(words, "", "ɏ"))
+    if latin < n:
+        han, arabic = len(_starting(words, "㐀", "鿿")), _starting(words, "؀", "ۿ")
+        few = latin * 2 < n
+        if few and han * 2 >= n - latin:
             return "zh"
-        arabic = [w for w in words if "؀" <= w[0] <= "ۿ"]
-        if arabic:
-            return "ur" if sum(not _URDU.isdisjoint(w) for w in arabic) * 4 > len(arabic) else "ar"
-    elif latin < n:
         # names may outnumber the words of another script around them
-        han = sum("㐀" <= w[0] <= "鿿" for w in words)
-        arabic = [w for w in words if "؀" <= w[0] <= "ۿ"]
-        if len(arabic) * 3 >= n:
-            return "ur" if sum(not _URDU.isdisjoint(w) for w in arabic) * 4 > len(arabic) else "ar"
-        if han * 3 >= n:
+        if arabic and (few or len(arabic) * 3 >= n):
+            return "ur" if len(_URDU_WORD.findall(" ".join(arabic))) * 4 > len(arabic) else "ar"
+        if not few and han * 3 >= n:
             return "zh"
     return "de" if len(_GERMAN.intersection(words)) > len(_ENGLISH.intersection(words)) else "en"
 
 
 def _own_script(language: str, words: list[str]) -> list[str]:
     if language == "zh":
-        return [w for w in words if "㐀" <= w[0] <= "鿿"]
+        return _starting(words, "㐀", "鿿")
     if language in ("ar", "ur"):
-        return [w for w in words if "؀" <= w[0] <= "ۿ"]
+        return _starting(words, "؀", "ۿ")
     return words
 
 
-def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
-    order = np.argsort(values, kind="stable")
-    upto = np.cumsum(weights[order])
-    return float(values[order][np.searchsorted(upto, upto[-1] / 2)])
+def _weighted_median(values: list[float], weights: list[int]) -> float:
+    """The least value at which half of the weight is reached."""
+    half, upto = sum(weights) / 2, 0
+    for value, weight in sorted(zip(values, weights)):
+        upto += weight
+        if upto >= half:
+            break
+    return value
 
 
 MEASURES = T.StructType([
@@ -87,32 +114,40 @@ def _with_id(docs: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([docs.schema["doc_id"], *fields])
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        texts = pdf["text"].tolist()
-        for doc, text, ends in zip(pdf["doc_id"].tolist(), texts, sentence_ends(texts)):
-            units, lines, start = [], [], 0
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[tuple] = []
+        words_of, counts_of, sizes = [], [], [0]
+        texts = batch.column("text").to_pylist()
+        for text, ends in zip(texts, sentence_ends(texts)):
+            pattern, units, lines, start = _words_of(text), [], [], 0
             for end in ends.tolist():
                 s = text[start:end]
                 start = end
-                words = _WORD.findall(s.lower())
+                words = pattern.findall(s.lower())
                 if words:
-                    (units if _WHOLE.search(s) else lines).append(words)
+                    (units if s.rstrip(_CLOSERS).endswith(_STOPS) else lines).append(words)
             size: Counter = Counter()
             told = [(language_of(words), words) for words in units or lines]
             for language, words in told:
-                size[language] += sum(map(len, words))
+                size[language] += len("".join(words))
             if not size:
-                rows.append((doc, None, None, None, [], []))
+                rows.append((None, None, None))
+                sizes.append(sizes[-1])
                 continue
             language = max(size, key=lambda x: (size[x], x))
             own = [w for w in (_own_script(language, words) for x, words in told if x == language) if w]
-            n = np.array([len(w) for w in own])
-            chars = np.array([sum(map(len, w)) for w in own]) / n
-            bag = Counter(w for words in own for w in words)
-            rows.append((doc, language, _weighted_median(n.astype(float), n), _weighted_median(chars, n), list(bag), list(bag.values())))
-        yield pd.DataFrame(rows, columns=["doc_id", *MEASURES.names])
+            n = [len(w) for w in own]
+            chars = [len("".join(words)) / k for words, k in zip(own, n)]
+            bag = Counter(chain.from_iterable(own))
+            rows.append((language, float(_weighted_median(n, n)), _weighted_median(chars, n)))
+            words_of += bag
+            counts_of += bag.values()
+            sizes.append(len(words_of))
+        at = pa.array(sizes, pa.int32())
+        lists = [pa.ListArray.from_arrays(at, pa.array(words_of, pa.string())), pa.ListArray.from_arrays(at, pa.array(counts_of, pa.int32()))]
+        told = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *told, *lists], ["doc_id", *MEASURES.names])
 
 
 def _ranked(word: DataFrame) -> DataFrame:
@@ -128,16 +163,45 @@ def _ranked(word: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(starts), ["language", "part"]).select("language", "word", (F.col("start") + F.col("k")).alias("rank"))
 
 
+def _covered(part: pa.RecordBatch, known: pa.Array, share: float, vocabulary: int) -> pa.RecordBatch:
+    """The coverage ranks of documents of one language, or what is needed to find them; known: its words in order of their ranks."""
+    words, counts = part.column("words"), part.column("counts")
+    size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words, counts = words.flatten(), counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    rank = pc.fill_null(pc.index_in(words, value_set=known), vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    doc, stop = np.repeat(np.arange(len(size)), size), np.cumsum(size)
+    order = np.argsort(doc * (vocabulary + 2) + rank)
+    upto = np.concatenate([[0], np.cumsum(counts[order])])
+    some = size > 0
+    begin = (stop - size)[some]
+    total = np.zeros(len(size), np.int64)
+    total[some] = upto[stop[some]] - upto[begin]
+    target = share * total
+    # the first word of each document with which its target is reached
+    short = (upto[1:] - upto[(stop - size)[doc]] < target[doc]).astype(np.int64)
+    coverage = np.full(len(size), np.nan)
+    if some.any():
+        coverage[some] = rank[order[begin + np.add.reduceat(short, begin)]]
+    tail = coverage > vocabulary
+    rare = (rank > vocabulary) & tail[doc]
+    n = np.bincount(doc[rare], minlength=len(size))
+    at = pa.array(np.append(0, np.cumsum(n)).astype(np.int32), mask=np.append(~tail, False))
+    rarer = [pa.ListArray.from_arrays(at, words.filter(pa.array(rare))), pa.ListArray.from_arrays(at, pa.array(counts[rare]))]
+    covered = total - np.bincount(doc[rare], weights=counts[rare], minlength=len(size)).astype(np.int64)
+    more = [pa.array(coverage, mask=tail | ~some), pa.array(target, mask=~tail), pa.array(covered, mask=~tail), *rarer]
+    names = ["doc_id", "language", "sentence_words", "word_chars"]
+    return pa.RecordBatch.from_arrays([*(part.column(x) for x in names), *more], [*names, "coverage_rank", "target", "covered", "rarer", "rarer_counts"])
+
+
 def coverage_ranks(measured: DataFrame, share: float, vocabulary: int) -> DataFrame:
     """The measures with `coverage_rank` instead of the words; `vocabulary` doesn't change it."""
     spark = measured.sparkSession
     use_shared_checkpoints(spark)
     word = measured.select("language", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("language", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("n")).persist()
     ranked = _ranked(word)
-    # at most `vocabulary` words for each of the languages that language_of knows
-    ranks: dict[str, dict[str, int]] = {}
-    for r in ranked.where(F.col("rank") <= vocabulary).toLocalIterator():
-        ranks.setdefault(r["language"], {})[r["word"]] = r["rank"]
+    # at most `vocabulary` words for each of the languages that language_of knows, in order of their ranks
+    first = ranked.where(F.col("rank") <= vocabulary).groupBy("language").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("x"))
+    ranks = {r["language"]: r["words"] for r in first.select("language", F.col("x.word").alias("words")).collect()}
     shared = spark.sparkContext.broadcast(ranks)
     # of documents whose rank lies beyond the vocabulary: the words to cover, those covered, and the rarer words
     schema = _with_id(
@@ -145,31 +209,16 @@ def coverage_ranks(measured: DataFrame, share: float, vocabulary: int) -> DataFr
         T.StructField("rarer", T.ArrayType(T.StringType())), T.StructField("rarer_counts", T.ArrayType(T.LongType())),
     )
 
-    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for language, words, counts in zip(pdf["language"], pdf["words"], pdf["counts"]):
-                own = shared.value.get(language, {})
-                if len(words) == 0:
-                    out.append((None, None, None, None, None))
-                    continue
-                rank = np.array([own.get(w, vocabulary + 1) for w in words])
-                order = np.argsort(rank)
-                upto = np.cumsum(np.asarray(counts)[order])
-                target = share * upto[-1]
-                at = rank[order][np.searchsorted(upto, target)]
-                if at <= vocabulary:
-                    out.append((float(at), None, None, None, None))
-                else:
-                    rarer = [(w, int(n)) for w, n, r in zip(words, counts, rank) if r > vocabulary]
-                    out.append((None, float(target), int(upto[-1]) - sum(n for _, n in rarer), [w for w, _ in rarer], [n for _, n in rarer]))
-            more = pd.DataFrame(out, columns=["coverage_rank", "target", "covered", "rarer", "rarer_counts"], index=pdf.index)
-            # whole numbers with nulls
-            more = more.astype({"coverage_rank": "float64", "target": "float64", "covered": "Int64"})
-            yield pd.concat([pdf[["doc_id", "language", "sentence_words", "word_chars"]], more], axis=1)
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {language: pa.array(words, pa.string()) for language, words in shared.value.items()}
+        for batch in batches:
+            language = np.array(batch.column("language").to_pylist(), object)
+            for own in set(language.tolist()):
+                part = batch.filter(pa.array(language == own)) if own is not None else batch.filter(pc.is_null(batch.column("language")))
+                yield _covered(part, known.get(own, pa.array([], pa.string())), share, vocabulary)
 
     columns = ["doc_id", "language", "sentence_words", "word_chars", "coverage_rank"]
-    covered = measured.mapInPandas(cover, schema).persist()
+    covered = measured.mapInArrow(cover, schema).persist()
     tail = covered.where("target is not null")
     if tail.isEmpty():
         word.unpersist()
@@ -252,7 +301,7 @@ def reading_bands(docs: DataFrame, ratings: DataFrame, least_chars: int = 200, s
     docs: doc_id, text. ratings: doc_id, band, labeller.
     """
     docs = docs.select("doc_id", "text").where(F.length("text") >= least_chars)
-    measured = spread(docs).mapInPandas(_measure, _with_id(docs, *MEASURES.fields)).persist()
+    measured = spread(docs).mapInArrow(_measure, _with_id(docs, *MEASURES.fields)).persist()
     # a few numbers per document, read by many steps of the calibration: cut off from their lineage
     measures = coverage_ranks(measured, share, vocabulary)
     measured.unpersist()

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -382,3 +383,33 @@ def test_languages_call_numpy_for_many_texts_at_once():
     counted.disable()
     # 48 a text while each one had its own arrays
     assert rows >= len(texts) and sum(x.callcount for x in counted.getstats() if "numpy" in str(x.code)) < 4 * len(texts)
+
+
+@pytest.mark.parametrize("text", ["The old-fashioned cart's wheel isn't far.", "Der Wagen fährt über die Brücke.", "小车在door等一等。", "گاڑی دروازہ پر gate رکتی ہے۔", "الرافع ينتظر عند الباب.", "a_b c9d ÉTÉ \U00010400\U00020000x 't' ½ ٣"])
+def test_words_by_written_out_letters(text):
+    assert readability._words_of(text).findall(text.lower()) == readability._ANY_WORD.findall(text.lower()) != []
+    assert readability._words_of("\U00010400" + text) is readability._ANY_WORD is not readability._words_of("a")
+
+
+def test_coverage_of_many_documents_takes_few_calls():
+    r = random.Random(11)
+    bags = [sorted({f"w{r.randrange(300)}" for _ in range(r.randrange(30))}) for _ in range(2000)]
+    part = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "language": ["en"] * 2000, "sentence_words": [1.0] * 2000, "word_chars": [1.0] * 2000, "words": bags, "counts": [[r.randrange(1, 5) for _ in b] for b in bags]})
+    counted = cProfile.Profile()
+    counted.enable()
+    rows = readability._covered(part, pa.array([f"w{k}" for k in range(200)]), 0.9, 200).to_pylist()
+    counted.disable()
+    assert sum(x.callcount for x in counted.getstats()) < 2000
+    for bag, counts, row in zip(bags, part.column("counts").to_pylist(), rows):
+        ranked, upto, at = sorted((min(int(w[1:]) + 1, 201), n) for w, n in zip(bag, counts)), 0, None
+        for k, n in ranked:
+            upto += n
+            if upto >= 0.9 * sum(counts):
+                at = k
+                break
+        rare = [(w, n) for w, n in zip(bag, counts) if int(w[1:]) >= 200]
+        if at == 201:
+            assert row["coverage_rank"] is None and row["target"] == 0.9 * sum(counts) and row["covered"] == sum(counts) - sum(n for _, n in rare)
+            assert list(zip(row["rarer"], row["rarer_counts"])) == rare
+        else:
+            assert row["coverage_rank"] == at and row["target"] is None and row["rarer"] is None
